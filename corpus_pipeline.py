@@ -19,10 +19,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows without an id stay; of equal ids all stay
-    if theirs is the smallest."""
-    groups = simhash.grouped(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: the one with the smallest id. Of rows that repeat an id one stays; rows without
+    an id all stay."""
+    groups, _ = common.materialise(simhash.grouped(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")), "pipeline-groups")
+    gone = F.col("doc_id") > F.col("least")
+    once = docs.join(groups.where(gone | (F.col("n") > 1)).select("doc_id"), "doc_id", "left_anti")
+    again = docs.join(groups.where(~gone & (F.col("n") > 1)).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, rules, sharding, simhash, toxicity
+from . import bpe, packing, quality, rules, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality,
@@ -12,8 +12,10 @@ QUERIES = {
     "op7_toxicity_compression": toxicity.op7_toxicity,
     "op8_sum_of_squares_packing": packing.op8_packing,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_pivot_topk": topk.op10_topk,
 }
 
 ORACLES = {
     "op9_quality_rules": rules.ORACLE,
+    "op10_pivot_topk": topk.ORACLE,
 }
