@@ -105,12 +105,13 @@ def best(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products, ties to the smaller vec_id.
 
     ``vectors`` and ``queries`` are (vec_id, embedding). A query meets vectors of its own length only, and not the row of its own
-    id. Vectors null, empty, or with null or non-finite components take no part, nor do null ids. Equal vectors and repeated rows are rows of their own;
+    id. Vectors null, empty, or with null or non-finite components take no part, nor do null ids. Equal vectors and repeated rows are rows of their own; equal query rows are one query, and
+    different ones with one id have a list each;
     empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows, _ = common.materialise(whole(vectors).where("vec_id IS NOT NULL").withColumn("dim", F.size("v")), "topk-rows")
-    asked = whole(queries).where("vec_id IS NOT NULL").withColumn("dim", F.size("v"))
+    asked = whole(queries).where("vec_id IS NOT NULL").distinct().withColumn("dim", F.size("v"))
     sizes = {r.dim: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each length of vectors
     pivots = {}
     for dim, n in sizes.items():
@@ -119,8 +120,8 @@ def best(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         pivots[dim] = choose_pivots(np.unique(sample, axis=0))
     parts = {dim: max(1, -(-n // PART), min(spark.sparkContext.defaultParallelism, -(-n // 2048))) for dim, n in sizes.items()}
     count = F.create_map(*[F.lit(x) for pair in (parts or {0: 1}).items() for x in pair])[F.col("dim")]
-    own = rows.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(3)), count).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
-    sent = asked.where(F.col("dim").isin(list(sizes) or [0])).select("dim", F.explode(F.sequence(F.lit(0), count - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
+    own = rows.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(3)), count).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0).cast("long").alias("key"))
+    sent = asked.where(F.col("dim").isin(list(sizes) or [0])).select("dim", F.explode(F.sequence(F.lit(0), count - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "v", F.xxhash64("v").alias("key"))
     dealt = own.unionByName(sent).repartition(max(1, sum(parts.values())), "dim", "part").sortWithinPartitions("dim", "part", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +129,13 @@ def best(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
         def answer() -> pa.RecordBatch:
             nonlocal waiting, index
-            ids, q = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            ids, q, keys = (np.concatenate(c) for c in zip(*waiting, strict=True))
             waiting = []
             if index is None:
-                index = Index(*(np.concatenate(c) for c in zip(*held, strict=True)), pivots[here[0]])
+                index = Index(*(np.concatenate(c) for c in list(zip(*held, strict=True))[:2]), pivots[here[0]])
             out = [index.search(ids[a : a + QUERIES], q[a : a + QUERIES], k)[:3] for a in range(0, len(ids), QUERIES)]
-            asked_by = np.concatenate([ids[a * QUERIES + o[0]] for a, o in enumerate(out)])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (asked_by, *(np.concatenate([o[i] for o in out]) for i in (1, 2)))], ["query_id", "vec_id", "score"])
+            by = np.concatenate([a * QUERIES + o[0] for a, o in enumerate(out)])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[by], keys[by], *(np.concatenate([o[i] for o in out]) for i in (1, 2)))], ["query_id", "key", "vec_id", "score"])
 
         for b in batches:
             if not len(b):
@@ -147,15 +148,15 @@ def best(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     if waiting and held:
                         yield answer()
                     here, held, index, waiting = (int(dim[s]), int(part[s])), [], None, []
-                block = (ids[s:e], flat[offset[s] : offset[e]].reshape(e - s, dim[s]))
+                block = (ids[s:e], flat[offset[s] : offset[e]].reshape(e - s, dim[s]), b.column(5).to_numpy()[s:e])
                 (waiting if kind[s] else held).append(block)
                 if kind[s] and held and sum(len(w[0]) for w in waiting) >= 8 * QUERIES:
                     yield answer()
         if waiting and held:
             yield answer()
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.mapInArrow(run, "query_id long, key long, vec_id long, score long")
+    top = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", top.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 

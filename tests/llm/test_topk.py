@@ -7,7 +7,7 @@ def plain(rows, queries, k):
     out = []
     ok = lambda v: bool(v) and all(x is not None and np.isfinite(x) for x in v)
     ints = lambda v: [int(np.floor(1024.0 * x)) for x in v]
-    for q, v in queries:
+    for q, v in {(q, tuple(v) if v else None) for q, v in queries}:
         if q is None or not ok(v):
             continue
         found = sorted((-sum(a * b for a, b in zip(ints(v), ints(w))), i) for i, w in rows if i is not None and i != q and ok(w) and len(w) == len(v))
