@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, rules, sharding, simhash, topk, toxicity
+from . import bpe, chat, lm, packing, quality, rules, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_rendezvous_sharding": sharding.op3_sharding,
+    "op4_chat_tool_calls": chat.op4_chat,
     "op5_simhash_pivots": simhash.op5_simhash,
+    "op6_lm_deleted_interpolation": lm.op6_lm,
     "op7_toxicity_compression": toxicity.op7_toxicity,
     "op8_sum_of_squares_packing": packing.op8_packing,
     "op9_quality_rules": rules.op9_quality_rules,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_chat_tool_calls": chat.ORACLE,
     "op9_quality_rules": rules.ORACLE,
     "op10_pivot_topk": topk.ORACLE,
 }
