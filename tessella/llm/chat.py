@@ -149,7 +149,7 @@ d AS (SELECT u.*, CASE WHEN a.id IS NOT NULL THEN a.id ELSE b.id END AS need
 lv AS (SELECT id, 0 AS level FROM d WHERE need IS NULL UNION SELECT d.id, lv.level + 1 FROM d JOIN lv ON d.need = lv.id),
 r AS (SELECT *, pre || (turn - 1) AS id FROM t WHERE role = 'assistant'),
 nc AS (SELECT id, count(*) AS n FROM u GROUP BY id), nr AS (SELECT id, count(*) AS n FROM r GROUP BY id),
-w AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '')) AS words FROM d)
+w AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM d)
 SELECT conv_id, turn, 'call' AS kind, id AS call_id,
        CASE WHEN coalesce(nr.n, 0) = 0 THEN 'missing' WHEN nr.n > 1 OR nc.n > 1 THEN 'ambiguous' ELSE 'linked' END AS status, CAST(level AS BIGINT) AS level,
        concat_ws('; ', CASE WHEN length(text) < 1 OR length(text) > 4000 THEN 'range of prompt' END, CASE WHEN words < 1 THEN 'range of words' END) AS errors,
