@@ -35,6 +35,7 @@ def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     path = f"{scratch_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
+    del df  # the caller's last reference, as a rule: its shuffles can go
     release(spark)
     return spark.read.schema(schema).parquet(path), path
 

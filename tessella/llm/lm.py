@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,14 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def packed(numbers: np.ndarray, kind) -> bytes:
+    return zstandard.compress(numbers.astype(kind).tobytes(), 1)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
 CHUNKS = "chunk long, bytes long, doc_id array<long>, held binary, length binary, token binary, word binary"
 
 
@@ -55,7 +64,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             own = np.array([END, *(xxhash.xxh64_intdigest(w, 42) for w in number)], np.uint64)
             number[b""] = 0
             token = np.fromiter(map(number.__getitem__, flat), np.uint32, len(flat))
-            row = [[first + made], [size], [ids], [np.array(held, np.uint8).tobytes()], [np.array(lengths, np.uint32).tobytes()], [token.tobytes()], [own.tobytes()]]
+            row = [[first + made], [size], [ids], [np.array(held, np.uint8).tobytes()], [np.array(lengths, np.uint32).tobytes()], [packed(token, np.uint32)], [own.tobytes()]]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             made, ids, held, lengths, flat, size = made + 1, [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
@@ -84,7 +93,7 @@ class Chunk:
 
     def __init__(self, held: bytes, length: bytes, token: bytes, word: bytes):
         self.held, self.length = np.frombuffer(held, np.uint8) > 0, np.frombuffer(length, np.uint32).astype(np.int64)
-        tokens, own = np.frombuffer(token, np.uint32).astype(np.int64), np.frombuffer(word, np.uint64)
+        tokens, own = unpacked(token, np.uint32).astype(np.int64), np.frombuffer(word, np.uint64)
         self.start = np.cumsum(self.length) - self.length
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
@@ -123,7 +132,7 @@ def asked(chunks: DataFrame, buckets: int) -> DataFrame:
                 own = Chunk(r["held"], r["length"], r["token"], r["word"])
                 for kind in (0, 1):
                     keys, n = own.keys(kind)
-                    rows = [(kind, bucket, r["chunk"], keys[at].tobytes(), n[at].tobytes()) for bucket, at in own.dealt(kind, buckets)]
+                    rows = [(kind, bucket, r["chunk"], keys[at].tobytes(), packed(n[at], np.uint32)) for bucket, at in own.dealt(kind, buckets)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["kind", "bucket", "chunk", "keys", "n"])
 
     return chunks.select("chunk", "held", "length", "token", "word").mapInArrow(run, "kind long, bucket long, chunk long, keys binary, n binary")
@@ -139,12 +148,12 @@ def answered(requests: DataFrame, buckets: int) -> DataFrame:
             keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.zeros(len(every), np.int64)
-            np.add.at(total, place, np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows]))
+            np.add.at(total, place, np.concatenate([unpacked(r["n"], np.uint32) for r in rows]))
             ends = np.cumsum([len(k) for k in keys])
-            out = [(r["kind"], r["bucket"], r["chunk"], total[place[e - len(k) : e]].tobytes()) for r, k, e in zip(rows, keys, ends, strict=True)]
+            out = [(r["kind"], r["bucket"], r["chunk"], packed(total[place[e - len(k) : e]], np.int64)) for r, k, e in zip(rows, keys, ends, strict=True)]
             if here[0] == 0:
                 own = total[every != START]
-                out.append((0, here[1], -1, np.array([own.sum(), (own > 0).sum()], np.int64).tobytes()))
+                out.append((0, here[1], -1, packed(np.array([own.sum(), (own > 0).sum()]), np.int64)))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["kind", "bucket", "chunk", "n"])
 
         for b in batches:
@@ -177,8 +186,8 @@ def counted(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
                 for kind, size in ((0, len(own.word)), (1, len(own.left))):
                     n = np.empty(size, np.int64)
                     for bucket, at in own.dealt(kind, buckets):
-                        n[at] = np.frombuffer(got[kind, bucket], np.int64)
-                    counts.append(n.tobytes())
+                        n[at] = unpacked(got[kind, bucket], np.int64)
+                    counts.append(packed(n, np.int64))
                 got = {}
                 row = [r["chunk"], r["bytes"], r["doc_id"], r["held"], r["length"], r["token"], r["word"], *counts]
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int64()) if isinstance(v, list) else None) for v in row], [*(c.split()[0] for c in CHUNKS.split(", ")), "n_word", "n_pair"])
@@ -195,8 +204,8 @@ class Counts(Chunk):
 
     def __init__(self, r: dict):
         super().__init__(r["held"], r["length"], r["token"], r["word"])
-        n = np.frombuffer(r["n_word"], np.int64)
-        self.context, self.single, self.both = n[self.left], n[self.right], np.frombuffer(r["n_pair"], np.int64)
+        n = unpacked(r["n_word"], np.int64)
+        self.context, self.single, self.both = n[self.left], n[self.right], unpacked(r["n_pair"], np.int64)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -270,7 +279,7 @@ def model(docs: DataFrame) -> tuple[DataFrame, int, int, np.ndarray]:
     size = chunks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET)
     answers, at_answers = common.materialise(answered(asked(chunks, buckets), buckets), "lm-answers")
-    totals = [np.frombuffer(r.n, np.int64) for r in answers.where("chunk < 0").select("n").collect()]  # two numbers from each bucket
+    totals = [unpacked(r.n, np.int64) for r in answers.where("chunk < 0").select("n").collect()]  # two numbers from each bucket
     n, v = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
     rows, _ = common.materialise(counted(chunks, answers, buckets), "lm-counted")
     common.discard(spark, at_chunks, at_answers)
