@@ -153,13 +153,13 @@ w AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'),
 SELECT conv_id, turn, 'call' AS kind, id AS call_id,
        CASE WHEN coalesce(nr.n, 0) = 0 THEN 'missing' WHEN nr.n > 1 OR nc.n > 1 THEN 'ambiguous' ELSE 'linked' END AS status, CAST(level AS BIGINT) AS level,
        concat_ws('; ', CASE WHEN length(text) < 1 OR length(text) > 4000 THEN 'range of prompt' END, CASE WHEN words < 1 THEN 'range of words' END) AS errors,
-       '{"arguments":{"prompt":' || to_json(text) || CASE WHEN need IS NULL THEN '' ELSE ',"reply_to":' || to_json(need) END || ',"words":' || words || '},"id":' || to_json(id) || ',"name":"ask","needs":[' || CASE WHEN need IS NULL THEN '' ELSE to_json(need) END || ']}' AS canonical
+       '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN need IS NULL THEN '' ELSE ',"reply_to":' || CAST(to_json(need) AS VARCHAR) END || ',"words":' || words || '},"id":' || CAST(to_json(id) AS VARCHAR) || ',"name":"ask","needs":[' || CASE WHEN need IS NULL THEN '' ELSE CAST(to_json(need) AS VARCHAR) END || ']}' AS canonical
 FROM w LEFT JOIN nc USING (id) LEFT JOIN nr USING (id) LEFT JOIN lv USING (id)
 UNION ALL
 SELECT conv_id, turn, 'result', id, CASE WHEN coalesce(nc.n, 0) = 0 THEN 'orphan' WHEN nr.n > 1 OR nc.n > 1 THEN 'ambiguous' ELSE 'linked' END, NULL, '',
-       '{"call_id":' || to_json(id) || ',"content":' || to_json(text) || '}'
+       '{"call_id":' || CAST(to_json(id) AS VARCHAR) || ',"content":' || CAST(to_json(text) AS VARCHAR) || '}'
 FROM r LEFT JOIN nc USING (id) LEFT JOIN nr USING (id)
 UNION ALL
-SELECT conv_id, turn, 'message', NULL, 'plain', NULL, '', '{"content":' || to_json(text) || CASE WHEN role IS NULL THEN '' ELSE ',"role":' || to_json(role) END || '}'
+SELECT conv_id, turn, 'message', NULL, 'plain', NULL, '', '{"content":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN role IS NULL THEN '' ELSE ',"role":' || CAST(to_json(role) AS VARCHAR) END || '}'
 FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -25,8 +26,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.15)
 
 
 def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:

@@ -45,6 +45,15 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Of sorted keys: differences, byte by byte in planes, so that those of the high bytes vanish."""
+    return zstandard.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 CHUNKS = "chunk long, bytes long, doc_id array<long>, held binary, length binary, token binary, word binary"
 
 
@@ -91,9 +100,9 @@ def chunked(docs: DataFrame) -> DataFrame:
 class Chunk:
     """Local view of a chunk: pairs of (context, word) with hashes, and which tokens are for training."""
 
-    def __init__(self, held: bytes, length: bytes, token: bytes, word: bytes):
+    def __init__(self, held: bytes, length: bytes, token: bytes, own: np.ndarray):
         self.held, self.length = np.frombuffer(held, np.uint8) > 0, np.frombuffer(length, np.uint32).astype(np.int64)
-        tokens, own = unpacked(token, np.uint32).astype(np.int64), np.frombuffer(word, np.uint64)
+        tokens = unpacked(token, np.uint32).astype(np.int64)
         self.start = np.cumsum(self.length) - self.length
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
@@ -117,22 +126,23 @@ class Chunk:
         return x ^ x >> np.uint64(31), self.n_pair
 
     def dealt(self, kind: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, places of its keys)."""
-        bucket = (self.keys(kind)[0] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at = common.runs(bucket[order])
+        """(bucket, places of its keys in their order); a bucket is a range of keys."""
+        keys = self.keys(kind)[0]
+        order = np.argsort(keys)
+        bucket = ((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        at = common.runs(bucket)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield int(bucket[order[a]]), order[a:b]
+            yield int(bucket[a]), order[a:b]
 
 
 def asked(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                own = Chunk(r["held"], r["length"], r["token"], r["word"])
+                own = Chunk(r["held"], r["length"], r["token"], np.frombuffer(r["word"], np.uint64))
                 for kind in (0, 1):
                     keys, n = own.keys(kind)
-                    rows = [(kind, bucket, r["chunk"], keys[at].tobytes(), packed(n[at], np.uint32)) for bucket, at in own.dealt(kind, buckets)]
+                    rows = [(kind, bucket, r["chunk"], packed_keys(keys[at]), packed(n[at], np.uint32)) for bucket, at in own.dealt(kind, buckets)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["kind", "bucket", "chunk", "keys", "n"])
 
     return chunks.select("chunk", "held", "length", "token", "word").mapInArrow(run, "kind long, bucket long, chunk long, keys binary, n binary")
@@ -145,7 +155,7 @@ def answered(requests: DataFrame, buckets: int) -> DataFrame:
         here, rows = None, []
 
         def answer() -> pa.RecordBatch:
-            keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+            keys = [unpacked_keys(r["keys"]) for r in rows]
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.zeros(len(every), np.int64)
             np.add.at(total, place, np.concatenate([unpacked(r["n"], np.uint32) for r in rows]))
@@ -170,8 +180,11 @@ def answered(requests: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind long, bucket long, chunk long, n binary")
 
 
+COUNTED = "doc_id array<long>, held binary, length binary, token binary, n_word binary, n_pair binary"
+
+
 def counted(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """Chunks with the counts of their words and pairs: columns n_word and n_pair."""
+    """Rows of COUNTED: chunks with the corpus' counts of their words and pairs, without the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, got = None, {}
@@ -182,29 +195,29 @@ def counted(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
                 if r["kind"] < 2:
                     got[r["kind"], r["bucket"]] = r["n"]
                     continue
-                own, counts = Chunk(r["held"], r["length"], r["token"], r["word"]), []
+                own, counts = Chunk(r["held"], r["length"], r["token"], np.frombuffer(r["word"], np.uint64)), []
                 for kind, size in ((0, len(own.word)), (1, len(own.left))):
                     n = np.empty(size, np.int64)
                     for bucket, at in own.dealt(kind, buckets):
                         n[at] = unpacked(got[kind, bucket], np.int64)
                     counts.append(packed(n, np.int64))
                 got = {}
-                row = [r["chunk"], r["bytes"], r["doc_id"], r["held"], r["length"], r["token"], r["word"], *counts]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int64()) if isinstance(v, list) else None) for v in row], [*(c.split()[0] for c in CHUNKS.split(", ")), "n_word", "n_pair"])
+                row = [r["doc_id"], r["held"], r["length"], r["token"], *counts]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int64()) if isinstance(v, list) else None) for v in row], [c.split()[0] for c in COUNTED.split(", ")])
 
     blank = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in CHUNKS.split(", ")[1:]]
     replies = answers.where("chunk >= 0").select("chunk", "kind", "bucket", "n", *blank)
     asking = chunks.select("chunk", F.lit(2).cast("long").alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("n"), *(c.split()[0] for c in CHUNKS.split(", ")[1:]))
     dealt = replies.unionByName(asking).repartition(common.shuffle_width(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return dealt.mapInArrow(run, CHUNKS + ", n_word binary, n_pair binary")
+    return dealt.mapInArrow(run, COUNTED)
 
 
 class Counts(Chunk):
     """A chunk with the corpus' counts of each pair's context, word and the pair itself."""
 
     def __init__(self, r: dict):
-        super().__init__(r["held"], r["length"], r["token"], r["word"])
         n = unpacked(r["n_word"], np.int64)
+        super().__init__(r["held"], r["length"], r["token"], np.zeros(len(n) - 1, np.uint64))
         self.context, self.single, self.both = n[self.left], n[self.right], unpacked(r["n_pair"], np.int64)
 
 
@@ -237,7 +250,7 @@ def grid(rows: DataFrame, n: int, v: int) -> list:
         got = np.array(list(cells.values())).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), *(pa.array(got[:, i]) for i in range(3))], ["cell", "n", "two", "one"])
 
-    part = rows.select("held", "length", "token", "word", "n_word", "n_pair").mapInArrow(run, "cell long, n double, two double, one double")
+    part = rows.select("held", "length", "token", "n_word", "n_pair").mapInArrow(run, "cell long, n double, two double, one double")
     return part.groupBy("cell").agg(F.sum("n"), F.sum("two"), F.sum("one")).orderBy("cell").collect()  # the grid is fixed; a few thousand cells are in use
 
 
