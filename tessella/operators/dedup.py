@@ -8,24 +8,15 @@ on the pair table in rounds: a row is kept once all similar rows before it are r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Words left out of the vocabulary: a short list of function words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "she", "that", "the", "they", "this", "to", "was", "we", "were", "will", "with", "you"]
 
 
-def _table(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage by a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path, schema = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def vectors(docs: DataFrame, max_features: int = 5000, text: str = "text", pos: str = "pos") -> DataFrame:
     """(pos, term, w): unit tf-idf vectors over words and word pairs; idf = ln((1 + n) / (1 + df)) + 1.
 
@@ -35,7 +26,7 @@ def vectors(docs: DataFrame, max_features: int = 5000, text: str = "text", pos:
     rows = docs.select(F.col(pos).alias("pos"), words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     tf = rows.select("pos", F.explode(F.concat("w", pairs)).alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"))
-    tf = _table(tf, "tfidf-tf")
+    tf = staged(tf, "tfidf-tf")
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
     n = docs.count()
     idf = stats.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
@@ -57,12 +48,12 @@ def similar_pairs(weights: DataFrame, threshold: float = 0.90) -> DataFrame:
 
 def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pos, kept) by first-kept-wins over pairs (i, j), j < i; rows without pairs are kept."""
-    pairs = _table(pairs.select("i", "j"), "greedy-pairs")
-    state = _table(pairs.select(F.col("i").alias("pos")).union(pairs.select("j")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "greedy-state")
+    pairs = staged(pairs.select("i", "j"), "greedy-pairs")
+    state = staged(pairs.select(F.col("i").alias("pos")).union(pairs.select("j")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "greedy-state")
     while True:
         below = pairs.join(state.select(F.col("pos").alias("j"), F.col("kept").alias("low")), "j").groupBy(F.col("i").alias("pos")).agg(F.bool_or(F.coalesce("low", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("low"), F.lit(False))).alias("free"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True)
-        state = _table(state.join(below, "pos", "left").select("pos", new.alias("kept")), "greedy-state")
+        state = staged(state.join(below, "pos", "left").select("pos", new.alias("kept")), "greedy-state")
         if not state.where("kept IS NULL").limit(1).count():
             return nodes.join(state, "pos", "left").select("pos", F.coalesce("kept", F.lit(True)).alias("kept"))
 
@@ -70,11 +61,11 @@ def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = 0.90, text: str = "text", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
     """Kept rows, and (removed, kept, similarity) with the most similar kept row (ties to the first) for each removed one."""
     rows = docs.select(F.col(pos).alias("pos"), F.coalesce(text, F.lit("")).alias("text"))
-    first = _table(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("pos").alias("pos"), F.collect_list("pos").alias("all")), "dedup-first")
-    weights = _table(vectors(rows, text="text"), "dedup-vectors")  # statistics count every copy
+    first = staged(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("pos").alias("pos"), F.collect_list("pos").alias("all")), "dedup-first")
+    weights = staged(vectors(rows, text="text"), "dedup-vectors")  # statistics count every copy
     own = weights.join(first.select("pos"), "pos", "left_semi")
-    pairs = _table(similar_pairs(own, threshold), "dedup-pairs")
-    state = _table(greedy(first.select("pos"), pairs), "dedup-greedy")
+    pairs = staged(similar_pairs(own, threshold), "dedup-pairs")
+    state = staged(greedy(first.select("pos"), pairs), "dedup-greedy")
     kept = state.where("kept").select("pos")
     to_kept = pairs.join(kept.withColumnRenamed("pos", "j"), "j").join(state.where("NOT kept").select(F.col("pos").alias("i")), "i")
     best = to_kept.groupBy("i").agg(F.max_by(F.struct("j", "similarity"), F.struct("similarity", -F.col("j"))).alias("b")).select(F.col("i").alias("removed"), F.col("b.j").alias("kept"), "b.similarity")

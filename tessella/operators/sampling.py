@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def order(key: str, seed: int) -> list[Column]:
     return [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
@@ -85,6 +87,7 @@ def numbered(rows: DataFrame, *keys: str) -> DataFrame:
     """``pos``: 0-based and gapless in the order of keys, from range partitions and their counts, without one sorting task."""
     spark = rows.sparkSession
     parted = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    parted = staged(parted, "numbered")  # ids and counts are of one and the same partitioning
     part = F.shiftrightunsigned("_id", 33)
     counts = {r.p: r["count"] for r in parted.groupBy(part.alias("p")).count().collect()}  # a row for each partition
     before, total = [], 0
