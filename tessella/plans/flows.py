@@ -12,7 +12,9 @@ from ..operators import curation, dedup, dialogue, rubrics
 def evaluated(samples: DataFrame, call: providers.Call, judge: providers.Call | None = None) -> DataFrame:
     """Samples with response, ratings and scores. Failed responses stay with score 0."""
     said = providers.respond(samples, call)
-    return providers.judged(said, judge).withColumns(rubrics.array_scores(F.coalesce("ratings", F.array().cast("array<struct<weight:int,passed:boolean>>")))).withColumn("n_rubrics", F.greatest(F.size("ratings"), F.lit(0)))
+    empty = {"weighted_score": 0.0, "pass_rate": 0.0, "critical_pass_rate": 1.0}
+    scores = {k: F.coalesce(c, F.lit(empty[k])) for k, c in rubrics.array_scores(F.col("ratings")).items()}
+    return providers.judged(said, judge).withColumns(scores).withColumn("n_rubrics", F.coalesce(F.greatest(F.size("ratings"), F.lit(0)), F.lit(0)))
 
 
 def report(results: DataFrame) -> DataFrame:
