@@ -23,9 +23,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     an id all stay."""
     groups, _ = common.materialise(simhash.grouped(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")), "pipeline-groups")
     gone = F.col("doc_id") > F.col("least")
-    once = docs.join(groups.where(gone | (F.col("n") > 1)).select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(groups.where(~gone & (F.col("n") > 1)).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    # One merge join at every size: the ids that go are a share of the documents, with no bound to broadcast them under.
+    once = docs.join(groups.where(gone | (F.col("n") > 1)).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    twice = groups.where(~gone & (F.col("n") > 1)).select("doc_id")
+    if not twice.limit(1).count():
+        return once
+    return once.unionByName(docs.join(twice.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
