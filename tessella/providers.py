@@ -111,7 +111,7 @@ def respond(samples: DataFrame, call: Call, rate: float | None = None, concurren
             out = asyncio.run(each(rows)) if inspect.iscoroutinefunction(call) else [one(r) for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], [*b.schema.names, "response", "error"])
 
-    schema = samples.select("*", F.lit("").alias("response"), F.lit("").alias("error")).schema
+    schema = samples.select("*", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error")).schema
     return samples.mapInArrow(run, schema)
 
 
