@@ -26,7 +26,8 @@ BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COARSE = regex.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 NONE = np.int32(2**31 - 1)
 REMEMBERED = 500_000
-CELLS = 1 << 20
+CELLS = 1 << 18
+GROUP = 2_000_000
 
 
 class Codec:
@@ -104,23 +105,31 @@ class Codec:
             for a in range(0, len(pieces), step):
                 part = pieces[a : a + step]
                 done.update(zip(part, self.merge(part, width), strict=True))
-        if len(self.known) + len(cut) > REMEMBERED:
-            self.known.clear()
         self.known.update((c, b"".join(done[p] for p in ps)) for c, ps in cut.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text. Texts are taken in groups of at most GROUP characters (one longer text is a group),
+        so that the trees of all chunks a group adds advance together."""
         out: list[bytes] = []
+        group: list[list[str]] = []
+        held = 0
         for text in texts:
-            chunks = COARSE.findall(text or "")
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                need = {c for c in chunks if c not in self.known}
-                if len(self.known) + len(need) > REMEMBERED:
-                    need = set(chunks)
-                self.learn(need)
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+            text = text or ""
+            if group and held + len(text) > GROUP:
+                out += self._look_up(group)
+                group, held = [], 0
+            group.append(COARSE.findall(text))
+            held += len(text)
+        return out + self._look_up(group)
+
+    def _look_up(self, group: list[list[str]]) -> list[bytes]:
+        met = set().union(*group)
+        need = met - self.known.keys()
+        if len(self.known) + len(need) > REMEMBERED:
+            self.known.clear()
+            need = met
+        self.learn(need)
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in group]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.word.__getitem__, np.frombuffer(ids, "<u4").tolist()))
