@@ -10,6 +10,7 @@ Distinct pieces are encoded once and remembered in a table of bounded size.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,7 @@ class Codec:
         pairs = sorted((self.rank[t[:i]] << 32 | self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank)
         self.pair = np.array([p[0] for p in pairs], np.int64)
         self.merged = np.array([p[1] for p in pairs], np.int32)
+        self.packed = {r: r.to_bytes(4, "little") for r in self.word}
         self.known: dict[str, bytes] = {}
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -92,20 +94,33 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         """Remembers the ids of coarse chunks."""
-        cut = {c: [p.encode() for p in self.fine.findall(c)] for c in chunks}
-        done: dict[bytes, bytes] = {}
-        by_width: dict[int, list[bytes]] = {}
-        for piece in {p for ps in cut.values() for p in ps}:
-            if (r := self.rank.get(piece)) is not None:  # a piece that is a token stands for itself
-                done[piece] = r.to_bytes(4, "little")
+        split, parts = self.fine.findall, {}
+        whole: list[str] = []  # chunks that are one piece
+        for c in chunks:
+            pieces = split(c)
+            if len(pieces) == 1:
+                whole.append(c)
             else:
-                by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append(piece)
-        for width, pieces in by_width.items():
-            step = max(1, CELLS // width)
-            for a in range(0, len(pieces), step):
-                part = pieces[a : a + step]
-                done.update(zip(part, self.merge(part, width), strict=True))
-        self.known.update((c, b"".join(done[p] for p in ps)) for c, ps in cut.items())
+                parts[c] = pieces
+        self.known.update(self.pieces(whole))
+        done = dict(self.pieces({p for ps in parts.values() for p in ps}))
+        self.known.update((c, b"".join([done[p] for p in ps])) for c, ps in parts.items())
+
+    def pieces(self, texts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(piece, ids): a piece that is a token stands for itself, the others are merged with those of like length."""
+        rank, by_width = self.rank.get, {}
+        for text in texts:
+            raw = text.encode()
+            if (r := rank(raw)) is not None:
+                yield text, self.packed[r]
+            else:
+                at = by_width.setdefault((len(raw) - 1).bit_length(), ([], []))
+                at[0].append(text)
+                at[1].append(raw)
+        for bits, (names, raws) in by_width.items():
+            step = max(1, CELLS >> bits)
+            for a in range(0, len(raws), step):
+                yield from zip(names[a : a + step], self.merge(raws[a : a + step], 1 << bits), strict=True)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text. Texts are taken in groups of at most GROUP characters (one longer text is a group),
@@ -168,14 +183,30 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids (packed) and decoded (the bytes they stand for) of each row.
+
+    One pass of Arrow batches does both: were they two functions of one plan, the optimiser could put the encoder in twice.
+    """
+    ranks = load(path)
+
+    def both(batches):
+        own = codec(ranks, pattern)
+        for batch in batches:
+            ids = own.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {doc_id}, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, number of tokens, digest of the ids and of the bytes decoded from them.
 
     Null and empty texts have no tokens; repeated rows and null ids stay; other columns are ignored.
     """
-    ids = common.spread(docs.select("doc_id", "text")).select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
-    both = ids.select("doc_id", "ids", decoded(F.col("ids"), path, pattern).alias("back"))
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
+    rows = round_trip(common.spread(docs.select("doc_id", "text")), path, pattern)
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
