@@ -139,7 +139,7 @@ class Codec:
 
     def _look_up(self, group: list[list[str]]) -> list[bytes]:
         met = set().union(*group)
-        need = met - self.known.keys()
+        need = met.difference(self.known)
         if len(self.known) + len(need) > REMEMBERED:
             self.known.clear()
             need = met

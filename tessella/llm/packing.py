@@ -10,8 +10,11 @@ that one partial window is left; at the end that one is cut into windows of powe
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,31 +26,59 @@ from pyspark.sql import DataFrame
 from . import common
 
 REMEMBERED = 500_000
+GROUP = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OUT = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 
+#: Letters that any version of Unicode knows and that lower-casing keeps single, and the ASCII signs apart from the apostrophe.
+LETTER, SIGN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"!-&(-@\[-`{-~"
+#: Runs between blanks, cut where letters meet signs; what holds anything else stays whole.
+CUT = re.compile(rf"[{LETTER}]++(?=[{SIGN}' \n]|\Z)|[{SIGN}]++(?=[{LETTER} \n]|\Z)|[^ \n]+")
+PLAIN = re.compile(r"[\0-\u012f\u0131-\u024f]*")
+
+
 class Words:
-    """Ids of whole texts by a tokenizer whose pieces never cross a blank: each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer that lower-cases and whose pieces cross no blank and no edge between a letter
+    and a sign, but for contractions: each distinct run is encoded once. Texts that may hold an added token are cut at
+    blanks alone."""
 
     def __init__(self, content: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.known = Tokenizer.from_str(content), int(end).to_bytes(4, "little"), {}
-
-    def ids(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words)) + self.end
-        except KeyError:
-            need = list({w for w in words if w not in self.known})
-            if len(self.known) + len(need) > REMEMBERED:
-                self.known.clear()
-                need = list(set(words))
-            found = self.tokenizer.encode_batch(need, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(need, found, strict=True))
-            return b"".join(map(self.known.__getitem__, words)) + self.end
+        self.added = {t["content"][:2] for t in json.loads(content)["added_tokens"]}
+
+    def runs(self, text: str) -> list[str]:
+        low = text.lower() if PLAIN.fullmatch(text) else text
+        if any(a in text or a in low for a in self.added):
+            return text.replace("\n", " ").split(" ")
+        return CUT.findall(low)
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text and the end, for groups of at most GROUP characters (one longer text is a group)."""
+        group, held = [], 0
+        for text in texts:
+            text = text or ""
+            if group and held + len(text) > GROUP:
+                yield from self._look_up(group)
+                group, held = [], 0
+            group.append(self.runs(text))
+            held += len(text)
+        yield from self._look_up(group)
+
+    def _look_up(self, group: list[list[str]]) -> Iterator[bytes]:
+        met = set().union(*group)
+        need = met.difference(self.known)
+        if len(self.known) + len(need) > REMEMBERED:
+            self.known.clear()
+            need = met
+        need = list(need)
+        for a in range(0, len(need), 20_000):
+            part = need[a : a + 20_000]
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return (b"".join(map(self.known.__getitem__, runs)) + self.end for runs in group)
 
 
 @lru_cache(maxsize=2)
@@ -177,8 +208,8 @@ def packed(docs: DataFrame, content: str, end: int = 2, capacity: int = 4096) ->
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], schema=OUT)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(key, words.ids(text.as_py()))
+            for key, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist()), strict=True):
+                packer.add(key, ids)
             yield flush()
         packer.finish()
         yield flush()

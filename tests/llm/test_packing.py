@@ -18,10 +18,20 @@ def plain(text):
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids(text):
-    ids = packing.Words(packing.vocabulary(), 2).ids(text)
+    (ids,) = packing.Words(packing.vocabulary(), 2).ids([text])
     assert np.frombuffer(ids, "<u4").tolist() == plain(text)
 
 
+def test_ids_of_mixed_texts():
+    """Random strings of letters, signs, marks, blanks and added tokens, against the tokenizer on whole texts."""
+    rng, words = random.Random(5), packing.Words(packing.vocabulary(), 2)
+    signs = "aBsS'tLlD.,!?$%<|> \n\t0\u0661\u00b2\u00e9\u00c9e\u0301\u0300\u0130I\u0131\u017f\u03a3\u03c3\u00df\u01c5A\u030a\u0416\u4e2d\u3000\u00a0_-\"\u00ab\u2019\U0001d400\u0345\u02bcn\u023a"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) + rng.choice([""] * 9 + ["<|endoftext|>s", "<|ENDOFTEXT|>."]) for _ in range(4000)]
+    got = words.ids(texts)
+    want = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[*w.ids, 2] for w in want]
+
+
 def test_sum_of_squares():
     """Each choice is the least over all levels, by recomputing the sums."""
     rng, packer = random.Random(1), packing.Packer(64)
