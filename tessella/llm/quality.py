@@ -1,8 +1,8 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 Statistics are measured once per text. Random Fourier features approximate a Gaussian kernel over the standardised
-statistics; every partition sums its normal equations, the driver adds one matrix per partition (at most
-``SUMS`` of them) and solves for ridge weights. Scores of a fifth of the training rows, kept out of the
+statistics; every partition sums its normal equations, a tree of shuffles adds them, and the driver solves for
+ridge weights. Scores of a fifth of the training rows, kept out of the
 sums, are counted in fixed bins and calibrated by pool-adjacent-violators.
 """
 
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from . import common
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b"\n\r", b"#*$%&", b"|<>", b"!?", b".,;:", b"()[]{}\"'`", b"_-=+~^/\\@", bytes(range(128, 256))]
 IN_CLASS = np.array([[c in group for group in CLASSES] for c in range(256)], np.float64)
 N_STATS = len(CLASSES) + 7
-FEATURES, RIDGE, SUMS, BINS = 384, 1.0, 16, 1000
+FEATURES, RIDGE, FAN, BINS = 384, 1.0, 8, 1000
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -72,18 +73,37 @@ class Model:
 
 
 def summed(rows: DataFrame, of) -> np.ndarray | None:
-    """Sum of of(x, y) over all rows (x array, y double), one matrix from each of at most SUMS partitions."""
+    """Sum of of(x, y) over all rows (x array, y double).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every partition sums its own rows; a tree of shuffles with fan-in ``FAN`` adds the sums until at most ``FAN`` are
+    left for the driver. Sums are added in order of the partition that made them, so that a repeated task gives the
+    same bits.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             if len(b):
                 part = of(matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()])], ["node", "sums"])
 
-    parts = [np.frombuffer(r.sums) for r in rows.select("x", "y").coalesce(SUMS).mapInArrow(run, "sums binary").collect()]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, total = 0, None
+        for b in batches:
+            for at, sums in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(sums.as_buffer())
+                node, total = at // FAN, part.copy() if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([total.tobytes()])], ["node", "sums"])
+
+    rows = rows.select("x", "y")
+    width, level = rows.rdd.getNumPartitions(), rows.mapInArrow(first, "node int, sums binary")
+    while width > FAN:
+        width = -(-width // FAN)
+        level = level.repartitionById(width, (F.col("node") / FAN).cast("int")).sortWithinPartitions("node").mapInArrow(add, "node int, sums binary")
+    parts = [np.frombuffer(r.sums) for r in sorted(level.collect(), key=lambda r: r.node)]  # at most FAN rows
     return sum(parts) if parts else None
 
 

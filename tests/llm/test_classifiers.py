@@ -44,3 +44,13 @@ def test_held_out(spark, module, wanted, threshold):
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1])
     assert np.interp(x, *common.isotonic(x, y, np.ones(4))).tolist() == [0.0, 0.5, 0.5, 1.0]
+
+
+def test_tree_of_sums(spark):
+    x = np.random.default_rng(2).normal(size=(400, quality.N_STATS))
+    y = np.arange(400.0)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(90)
+    of = lambda x, y: np.concatenate([(x.T @ x).ravel(), x.T @ y])
+    got = quality.summed(rows, of)
+    assert np.allclose(got, of(x, y)) and (got == quality.summed(rows, of)).all()
+    assert quality.summed(rows.limit(0), of) is None
