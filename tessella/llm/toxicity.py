@@ -27,6 +27,8 @@ from . import common
 from .quality import means
 
 MOST_TOXIC, MOST_ORDINARY = 4000, 12000
+#: Ranks are taken within so many bits of the hash, so that no task ranks a whole class.
+SLOT_BITS = 16
 DMER, LEVEL, REMEMBERED = 5, 9, 400_000
 #: A d-mer is toxic if so many times likelier in toxic documents, and in at least this share and number of them.
 RATIO, SHARE, LEAST = 25.0, 0.012, 4
@@ -111,12 +113,27 @@ def counted(rows: DataFrame, keys) -> DataFrame:
     return one.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def last_slot(slots: list, y: float, most: int) -> tuple[int, int]:
+    """The slot of hash order in which the first ``most`` rows of a class end, and how many of its rows they take."""
+    slot, left = 0, most
+    for slot, n in sorted((r.slot, r["count"]) for r in slots if r.y == y):
+        if n >= left:
+            return slot, left
+        left -= n
+    return slot, most
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str) -> tuple[DataFrame, str]:
     """(text, y, weight, aside) of a bounded sample of the labelled documents that may be learnt from."""
-    known = means(labels, column).select("doc_id", (F.col("y") >= 0.5).cast("double").alias("y"))
-    total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    top = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    kept = known.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= F.when(F.col("y") == 1, MOST_TOXIC).otherwise(MOST_ORDINARY))
+    order = F.xxhash64("doc_id")
+    known = means(labels, column).select("doc_id", (F.col("y") >= 0.5).cast("double").alias("y"), F.shiftright(order, 64 - SLOT_BITS).alias("slot"))
+    slots = known.groupBy("y", "slot").count().collect()  # at most 2 << SLOT_BITS rows
+    total = {y: sum(r["count"] for r in slots if r.y == y) for y in (0.0, 1.0)}
+    # Rows of the slots before the last are all in; only in the last one do ranks decide.
+    toxic, ordinary = last_slot(slots, 1.0, MOST_TOXIC), last_slot(slots, 0.0, MOST_ORDINARY)
+    edge, rest = (F.when(F.col("y") == 1, toxic[i]).otherwise(ordinary[i]) for i in range(2))
+    top = Window.partitionBy("y", "slot").orderBy(order, "doc_id")
+    kept = known.where(F.col("slot") <= edge).withColumn("_n", F.row_number().over(top)).where((F.col("slot") < edge) | (F.col("_n") <= rest))
     weight = F.when(F.col("y") == 1, max(1.0, total.get(1.0, 0) / MOST_TOXIC)).otherwise(max(1.0, total.get(0.0, 0) / MOST_ORDINARY))
     chosen = kept.select("doc_id", "y", weight.alias("weight"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).alias("aside"))
     own = docs.select(F.col("doc_id").cast("long"), "text")

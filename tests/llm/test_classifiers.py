@@ -54,3 +54,18 @@ def test_tree_of_sums(spark):
     got = quality.summed(rows, of)
     assert np.allclose(got, of(x, y)) and (got == quality.summed(rows, of)).all()
     assert quality.summed(rows.limit(0), of) is None
+
+
+@pytest.mark.parametrize("bits", [2, 16])
+def test_sample_takes_the_first_of_each_class(spark, monkeypatch, bits):
+    from pyspark.sql import functions as F
+
+    for name, value in (("MOST_TOXIC", 30), ("MOST_ORDINARY", 10_000), ("SLOT_BITS", bits)):
+        monkeypatch.setattr(toxicity, name, value)
+    docs, labels = corpus(spark)
+    rows, _ = toxicity.sample(docs.dropDuplicates(["doc_id"]), labels, "toxic")
+    known = quality.means(labels, "toxic").withColumn("h", F.xxhash64("doc_id")).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    first = sorted((r.h, r.doc_id) for r in known if r.y >= 0.5)[:30]
+    want = [texts[i] for _, i in first] + [texts[r.doc_id] for r in known if r.y < 0.5]
+    assert sorted(r.text for r in rows.collect()) == sorted(t for t in want if t is not None)
