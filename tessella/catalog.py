@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import stats, text
-from .operators import curation, dedup, dialogue, rubrics, sampling
+from .functions import overlap, prompts, stats, text
+from .operators import curation, dedup, dialogue, rubrics, sampling, tuning
 from .operators.staging import staged
 
 QUERIES: dict = {}
@@ -388,3 +388,82 @@ def positional_split(spark, d):
 def mastery_fold(spark, d):
     acts = turns(spark, d).where("speaker = 'tutor'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "action_type"))), lambda x: x["action_type"]).alias("actions"))
     return acts.select("conv_id", dialogue.mastery_fold(F.col("actions"), F.lit(0.2), F.lit("struggling")).alias("mastery"))
+
+
+# ---- fine-tuning rows and overlap ------------------------------------------------------------------------------------
+
+PAIRS = "q AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)"
+IDS = "i AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda c: unicode(c)) AS a, list_transform(string_split(answer, ''), lambda c: unicode(c)) AS b FROM q WHERE text <> '' AND answer <> '')"
+MASKED = f"""{PAIRS}, {IDS}, k AS (SELECT conv_id, turn, a[1:64] AS a, list_concat(b[1:32], [2]) AS b FROM i), z AS (SELECT *, list_transform(range(97 - len(a) - len(b)), lambda x: 0) AS fill FROM k),
+tr AS (SELECT conv_id, turn, list_concat(list_concat(a, b), fill) AS input_ids, list_concat(list_concat(list_transform(a, lambda x: -100), b), list_transform(fill, lambda x: -100)) AS labels, len(a) + len(b) AS n FROM z)"""
+JOINED = "md5(array_to_string({0}, ' '))"
+
+
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    following = F.lead("text").over(dialogue.Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, d, "conversations").withColumn("answer", following)
+
+
+def code_points(c: str):
+    return F.transform(F.split(c, ""), lambda x: F.ascii(x))
+
+
+def training(spark: SparkSession, d: str) -> DataFrame:
+    ids, labels = tuning.training_ids(code_points("text"), code_points("answer"), 2, 0, 64, 32)
+    return answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer"))).select("conv_id", "turn", ids.alias("input_ids"), labels.alias("labels"))
+
+
+def digest(c):
+    return F.md5(F.array_join(c.cast("array<string>"), " ").cast("binary"))
+
+
+@query(f"WITH {MASKED} SELECT conv_id, turn, {JOINED.format('input_ids')} AS input_ids, {JOINED.format('labels')} AS labels FROM tr")
+def masked_training_rows(spark, d):
+    return training(spark, d).select("conv_id", "turn", digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
+
+
+@query(f"WITH {MASKED}, m AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS most FROM tr) SELECT conv_id, turn, CAST(len(input_ids[1:most]) AS INT) AS width, {JOINED.format('input_ids[1:most]')} AS input_ids, {JOINED.format('labels[1:most]')} AS labels FROM m".replace("max(n)", "max(list_position(input_ids[1:n], list_max(input_ids)) - 1 + list_position(list_concat(input_ids[list_position(input_ids, list_max(input_ids)):], [0]), 0) - 1)"))
+def collated_rows(spark, d):
+    out = tuning.collated(training(spark, d), "conv_id", 0)
+    return out.select("conv_id", "turn", F.size("input_ids").alias("width"), digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
+
+
+@query(f"WITH {PAIRS}, {IDS}, k AS (SELECT conv_id, turn, a[1:50] AS a, 64 - len(a[1:50]) AS gap FROM i) SELECT conv_id, turn, md5(repeat('0 ', gap) || array_to_string(a, ' ')) AS input_ids, md5(repeat('0 ', gap) || array_to_string(list_transform(a, lambda x: 1), ' ')) AS attention_mask, md5(repeat('0 ', gap) || array_to_string(range(len(a)), ' ')) AS position_ids FROM k")
+def left_padded_rows(spark, d):
+    rows = answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer")))
+    padded = rows.select("conv_id", "turn", tuning.left_padded(F.slice(code_points("text"), 1, 50), F.lit(60), 0, 16).alias("p"))
+    return padded.select("conv_id", "turn", *[digest(F.col(f"p.{c}")).alias(c) for c in ("input_ids", "attention_mask", "position_ids")])
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM q WHERE answer IS NOT NULL)
+SELECT conv_id, md5(string_agg('[Round ' || k || ']\n\n问：' || text || '\n\n答：' || answer || '\n\n', '' ORDER BY k) || '[Round ' || count(*) + 1 || ']\n\n问：' || 'next' || '\n\n答：') AS prompt_md5 FROM n GROUP BY conv_id""")
+def round_prompts(spark, d):
+    past = answered(spark, d).where("answer IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("query"), F.col("answer").alias("response")))).alias("history"))
+    return past.select("conv_id", F.md5(prompts.round_prompt(F.lit("next"), F.col("history")).cast("binary")).alias("prompt_md5"))
+
+
+def _rouge_sql() -> str:
+    cut = "list_filter(regexp_split_to_array({0}, '[\\s.]+'), lambda w: w <> '')"
+    f = "round(2 * p{0} * r{0} / (p{0} + r{0} + 1e-8) * 100, 4) AS rouge_{0}"
+    return f"""WITH {PAIRS}, w AS (SELECT conv_id, turn, {cut.format("text")} AS a, {cut.format("answer")} AS b FROM q WHERE answer IS NOT NULL),
+g AS (SELECT conv_id, turn, list_distinct(a) AS a1, list_distinct(b) AS b1, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS a2, list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) AS b2 FROM w WHERE len(a) > 0 AND len(b) > 0),
+h AS (SELECT conv_id, turn, {", ".join(f"coalesce(len(list_intersect(a{n}, b{n})) / CAST(nullif(len(a{n}), 0) AS DOUBLE), 0) AS p{n}, coalesce(len(list_intersect(a{n}, b{n})) / CAST(nullif(len(b{n}), 0) AS DOUBLE), 0) AS r{n}" for n in (1, 2))} FROM g)
+SELECT conv_id, turn, {f.format(1)}, {f.format(2)} FROM h"""
+
+
+@query(_rouge_sql())
+def overlap_by_ngrams(spark, d):
+    a, b = overlap.words(F.col("text")), overlap.words(F.col("answer"))
+    rows = answered(spark, d).select("conv_id", "turn", overlap.rouge_n(a, b, 1).alias("rouge_1"), overlap.rouge_n(a, b, 2).alias("rouge_2"))
+    return rows.where("rouge_1 IS NOT NULL")
+
+
+@query()
+def overlap_means(spark, d):
+    return overlap.means(overlap.overlaps(answered(spark, d).where("answer IS NOT NULL"), "text", "answer"), "role")
+
+
+@query(f"WITH {PES}, {PESV} SELECT name, md5('Evaluation of ' || name || chr(10) || printf('PES %.2f: %s', pes_score, pes_category)) AS head_md5 FROM c")
+def pes_reports(spark, d):
+    pages = dialogue.pes_report(dialogue.pes(judged_parts(spark, d)))
+    return pages.select("name", F.md5(F.substring_index("report", "\n", 2).cast("binary")).alias("head_md5"))

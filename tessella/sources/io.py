@@ -177,6 +177,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_text(rows: DataFrame, path: str, text: str = "report", *keys: str) -> None:
+    """One text column; a folder for each value of the keys, if any are given."""
+    writer = rows.select(*keys, text).write.mode("overwrite").option("lineSep", "\n\n")
+    (writer.partitionBy(*keys) if keys else writer).text(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     kept = F.transform("ratings", lambda r: F.struct(r["criterion"].alias("criterion"), r["weight"].alias("weight"), r["passed"].alias("passed"), r["explanation"].alias("explanation")))
     write_json(results.withColumn("ratings", kept).withColumns(rubrics.array_scores(F.col("ratings"))), path)
