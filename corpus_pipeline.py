@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import common, packing, quality, simhash, toxicity
+from tessella.llm import common, packing, quality, shingles, simhash, toxicity  # noqa: F401
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Of rows that repeat an id one stays; rows without
     an id all stay."""
-    groups, _ = common.materialise(simhash.grouped(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")), "pipeline-groups")
+    groups, _ = common.materialise(shingles.grouped(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")), "pipeline-groups")
     gone = F.col("doc_id") > F.col("least")
     # One merge join at every size: the ids that go are a share of the documents, with no bound to broadcast them under.
     once = docs.join(groups.where(gone | (F.col("n") > 1)).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
