@@ -408,8 +408,8 @@ def code_points(c: str):
     return F.transform(F.split(c, ""), lambda x: F.ascii(x))
 
 
-def training(spark: SparkSession, d: str) -> DataFrame:
-    ids, labels = tuning.training_ids(code_points("text"), code_points("answer"), 2, 0, 64, 32)
+def training(spark: SparkSession, d: str, max_source: int = 64, max_target: int = 32) -> DataFrame:
+    ids, labels = tuning.training_ids(code_points("text"), code_points("answer"), 2, 0, max_source, max_target)
     return answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer"))).select("conv_id", "turn", ids.alias("input_ids"), labels.alias("labels"))
 
 
@@ -428,6 +428,19 @@ def collated_rows(spark, d):
     return out.select("conv_id", "turn", F.size("input_ids").alias("width"), digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
 
 
+@query()
+def masked_training_rows_whole(spark, d):
+    """As masked_training_rows, at the reference's 1024 and 256."""
+    return training(spark, d, 1024, 256).select("conv_id", "turn", digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
+
+
+@query()
+def collated_rows_whole(spark, d):
+    """As collated_rows, at the reference's 1024 and 256."""
+    out = tuning.collated(training(spark, d, 1024, 256), "conv_id", 0)
+    return out.select("conv_id", "turn", F.size("input_ids").alias("width"), digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
+
+
 @query(f"WITH {PAIRS}, {IDS}, k AS (SELECT conv_id, turn, a[1:50] AS a, 64 - len(a[1:50]) AS gap FROM i) SELECT conv_id, turn, md5(repeat('0 ', gap) || array_to_string(a, ' ')) AS input_ids, md5(repeat('0 ', gap) || array_to_string(list_transform(a, lambda x: 1), ' ')) AS attention_mask, md5(repeat('0 ', gap) || array_to_string(range(len(a)), ' ')) AS position_ids FROM k")
 def left_padded_rows(spark, d):
     rows = answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer")))

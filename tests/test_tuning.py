@@ -96,3 +96,25 @@ def test_text_reports(spark, tmp_path):
     io.write_text(pages, str(tmp_path / "r"), "report", "name")
     page = spark.read.text(str(tmp_path / "r" / "name=one"), wholetext=True).first().value
     assert page.startswith("Evaluation of one\nPES 100.00: Excellent\nLayers\n  layer1 (weight 0.8): 1.0000\n") and page.rstrip().endswith("icap: 5/5")
+
+
+def test_whole_rows(spark, tmp_path):
+    """Long texts are not cut to a prefix: rows hold the reference's 1024 and 256."""
+    import hashlib
+
+    from tessella import catalog
+
+    talk = [("c", 1, "ab" * 150), ("c", 2, "xyz" * 70), ("c", 3, "q" * 1100), ("d", 1, "short"), ("d", 2, "r" * 300)]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in talk], "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    digest = lambda ids: hashlib.md5(" ".join(map(str, ids)).encode()).hexdigest()
+    rows, ids, labels = [(c, t, x, y) for (c, t, x), (e, _, y) in zip(talk, talk[1:], strict=False) if c == e], {}, {}
+    for c, t, x, y in rows:
+        a, b = [ord(k) for k in x][:1024], [ord(k) for k in y][:256] + [2]
+        fill = 1281 - len(a) - len(b)
+        ids[c, t], labels[c, t] = a + b + [0] * fill, [-100] * len(a) + b + [-100] * fill
+    got = catalog.masked_training_rows_whole(spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.turn): (r.input_ids, r.labels) for r in got} == {k: (digest(ids[k]), digest(labels[k])) for k in ids}
+    # The end of a row is its first 0 here, 2 or more ids before it; the longest of a conversation is the width.
+    width = {c: max(len(ids[k]) - ids[k][::-1].index(next(i for i in reversed(ids[k]) if i)) for k in ids if k[0] == c) for c in "cd"}
+    got = catalog.collated_rows_whole(spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.turn): (r.width, r.input_ids, r.labels) for r in got} == {k: (width[k[0]], digest(ids[k][: width[k[0]]]), digest(labels[k][: width[k[0]]])) for k in ids}
