@@ -448,6 +448,15 @@ def left_padded_rows(spark, d):
     return padded.select("conv_id", "turn", *[digest(F.col(f"p.{c}")).alias(c) for c in ("input_ids", "attention_mask", "position_ids")])
 
 
+@query()
+def left_padded_rows_whole(spark, d):
+    """Whole texts, padded to the longest of their conversation, rounded up to 16."""
+    rows = answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer"))).withColumn("ids", code_points("text"))
+    longest = F.max(F.size("ids")).over(dialogue.Window.partitionBy("conv_id"))
+    padded = rows.withColumn("longest", longest).select("conv_id", "turn", tuning.left_padded(F.col("ids"), F.col("longest"), 0, 16).alias("p"))
+    return padded.select("conv_id", "turn", *[digest(F.col(f"p.{c}")).alias(c) for c in ("input_ids", "attention_mask", "position_ids")])
+
+
 @query(f"""WITH {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM q WHERE answer IS NOT NULL)
 SELECT conv_id, md5(string_agg('[Round ' || k || ']\n\n问：' || text || '\n\n答：' || answer || '\n\n', '' ORDER BY k) || '[Round ' || count(*) + 1 || ']\n\n问：' || 'next' || '\n\n答：') AS prompt_md5 FROM n GROUP BY conv_id""")
 def round_prompts(spark, d):

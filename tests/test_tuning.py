@@ -99,7 +99,7 @@ def test_text_reports(spark, tmp_path):
 
 
 def test_whole_rows(spark, tmp_path):
-    """Long texts are not cut to a prefix: rows hold the reference's 1024 and 256."""
+    """Long texts are not cut to a prefix: rows hold the reference's 1024 and 256, padded rows all of the text."""
     import hashlib
 
     from tessella import catalog
@@ -118,3 +118,9 @@ def test_whole_rows(spark, tmp_path):
     width = {c: max(len(ids[k]) - ids[k][::-1].index(next(i for i in reversed(ids[k]) if i)) for k in ids if k[0] == c) for c in "cd"}
     got = catalog.collated_rows_whole(spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): (r.width, r.input_ids, r.labels) for r in got} == {k: (width[k[0]], digest(ids[k][: width[k[0]]]), digest(labels[k][: width[k[0]]])) for k in ids}
+    got = catalog.left_padded_rows_whole(spark, str(tmp_path)).collect()
+    want = {}
+    for c, t, x, _ in rows:
+        gap = -(-max(len(u) for d, _, u, _ in rows if d == c) // 16) * 16 - len(x)
+        want[c, t] = tuple(digest([0] * gap + v) for v in ([ord(k) for k in x], [1] * len(x), list(range(len(x)))))
+    assert {(r.conv_id, r.turn): (r.input_ids, r.attention_mask, r.position_ids) for r in got} == want
