@@ -19,16 +19,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of rows that repeat an id one stays; rows without
-    an id all stay."""
-    groups, _ = common.materialise(shingles.grouped(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")), "pipeline-groups")
-    gone = F.col("doc_id") > F.col("least")
-    # One merge join at every size: the ids that go are a share of the documents, with no bound to broadcast them under.
-    once = docs.join(groups.where(gone | (F.col("n") > 1)).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.where(~gone & (F.col("n") > 1)).select("doc_id")
-    if not twice.limit(1).count():
-        return once
-    return once.unionByName(docs.join(twice.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One row of each group: the one with the smallest id, then by text. Rows that repeat an id go only with their own
+    text's group; rows without an id all stay."""
+    rows, _ = common.materialise(shingles.signed_sets(docs.withColumn("_row", F.monotonically_increasing_id())), "pipeline-rows")
+    roots, _ = shingles.links(rows)
+    own = rows.where("doc_id IS NOT NULL").select("_row", "doc_id", F.xxhash64("text").alias("h"), "_sig")
+    held, _ = common.materialise(own.join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").select("_row", "doc_id", "h", F.coalesce("root", "_sig").alias("root")), "pipeline-held")
+    least = held.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "_row")).alias("least")).where("n > 1")
+    gone = held.join(least, "root").where("_row <> least._row").select("_row")
+    # One merge join at every size: the rows that go are a share of the documents, with no bound to broadcast them under.
+    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

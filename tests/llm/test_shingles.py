@@ -60,3 +60,12 @@ def test_pipeline_drops_planted_near_copies(spark):
     assert max(bits) > 2
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [1, 20]
+
+
+def test_rows_that_repeat_an_id(spark):
+    """A text that shares its id with a copy of another document stays; the copy goes."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, c), (6, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (5, b), (6, c), (6, d)]
