@@ -1,10 +1,9 @@
-"""Near-duplicates by SimHash fingerprints and pivot distance tables.
+"""Near-duplicates by SimHash fingerprints, banding and a pivot distance table.
 
 Pairs are sought among distinct fingerprints only. Two fingerprints that differ in at most ``radius`` bits
-agree in all but ``radius`` of any parts of the bits. The first table holds distances to the zero fingerprint and to
-the fingerprints of one bit: over the bits of some parts these distances fix the bits themselves, so the parts'
-distances, all equal, are the key under which candidates meet (``parts`` choose ``radius`` keys each). Within a key,
-a second table of distances to pseudo-random pivots discards every pair whose largest coordinate difference
+agree in all but ``radius`` of any parts of the bits, so the bits of the other parts are the keys under which candidates
+meet (``parts`` choose ``radius`` keys each); no distance is computed for this. Within a key of three or more,
+a table of distances to pseudo-random pivots discards every pair whose largest coordinate difference
 exceeds the radius (triangle inequality), and survivors are verified bit by bit. Of a key's links only a spanning
 forest of short chains is kept, and components come from min-label propagation with pointer jumping.
 """
