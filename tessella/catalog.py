@@ -489,3 +489,10 @@ def overlap_means(spark, d):
 def pes_reports(spark, d):
     pages = dialogue.pes_report(dialogue.pes(judged_parts(spark, d)))
     return pages.select("name", F.md5(F.substring_index("report", "\n", 2).cast("binary")).alias("head_md5"))
+
+
+@query()
+def pes_reports_whole(spark, d):
+    """As pes_reports, over the whole report."""
+    pages = dialogue.pes_report(dialogue.pes(judged_parts(spark, d)))
+    return pages.select("name", F.md5(F.col("report").cast("binary")).alias("report_md5"))

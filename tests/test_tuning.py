@@ -124,3 +124,17 @@ def test_whole_rows(spark, tmp_path):
         gap = -(-max(len(u) for d, _, u, _ in rows if d == c) // 16) * 16 - len(x)
         want[c, t] = tuple(digest([0] * gap + v) for v in ([ord(k) for k in x], [1] * len(x), list(range(len(x)))))
     assert {(r.conv_id, r.turn): (r.input_ids, r.attention_mask, r.position_ids) for r in got} == want
+
+
+def test_whole_report_is_digested(spark, monkeypatch):
+    import hashlib
+
+    from tessella import catalog
+
+    names = [*dialogue.PES_DIMENSIONS, "question_depth", "icap"]
+    scores = spark.createDataFrame([("one", *[5] * 10), ("two", *[1] * 10)], "name string, " + ", ".join(f"{c} int" for c in names))
+    monkeypatch.setattr(catalog, "judged_parts", lambda spark, d: scores)
+    pages = {r.name: r.report for r in dialogue.pes_report(dialogue.pes(scores)).collect()}
+    assert all(p.rstrip().endswith(f"icap: {n}/5") for p, n in ((pages["one"], 5), (pages["two"], 1)))
+    got = {r.name: r.report_md5 for r in catalog.pes_reports_whole(spark, "").collect()}
+    assert got == {k: hashlib.md5(p.encode()).hexdigest() for k, p in pages.items()}
