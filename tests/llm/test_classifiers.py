@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import common, quality, toxicity
@@ -69,3 +70,37 @@ def test_sample_takes_the_first_of_each_class(spark, monkeypatch, bits):
     first = sorted((r.h, r.doc_id) for r in known if r.y >= 0.5)[:30]
     want = [texts[i] for _, i in first] + [texts[r.doc_id] for r in known if r.y < 0.5]
     assert sorted(r.text for r in rows.collect()) == sorted(t for t in want if t is not None)
+
+
+def test_windows():
+    assert toxicity.windows(b"").tolist() == toxicity.windows(b" \n\t").tolist() == []
+    assert toxicity.windows(b" a bb", 3, 2).tolist() == [[1, 4]]
+    data = b"w0 w1\nw2  w3 w4 w5 w6 "
+    assert [data[a : a + n] for a, n in toxicity.windows(data, 3, 2).tolist()] == [b"w0 w1\nw2", b"w2  w3 w4", b"w4 w5 w6"]
+    assert [data[a : a + n] for a, n in toxicity.windows(data, 4, 2).tolist()] == [b"w0 w1\nw2  w3", b"w2  w3 w4 w5", b"w3 w4 w5 w6"]
+
+
+def test_gains_by_plain_windows():
+    """Grouped texts against one compression for each window by each dictionary; a text of 400,000 words among them."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "idiot,", "Of", "\u00e9t\u00e9"]) for _ in range(n))
+    texts = [text(n) for n in (0, 1, 5, 23, 24, 25, 300, 400_000, 60)] + [None, " \n", "x" * 300_000]
+    own = toxicity.Scorer(b"some idiot, and moron there", b"alpha beta gamma delta " * 20)
+    data = toxicity.prepared(pa.array(texts))
+    assert data[9] == b"" and data[3] == texts[3].lower().encode()
+    for raw, (spans, gain) in zip(data, own.gains(data), strict=True):
+        words = raw.split()
+        starts = [*range(0, max(0, len(words) - 24), 12), max(0, len(words) - 24)] if words else []
+        assert [raw[a : a + n].split() for a, n in spans.tolist()] == [words[i : i + 24] for i in starts]
+        plain = [raw[a : a + n] for a, n in spans.tolist()] if len(spans) != 1 else [own.carrier + raw]
+        assert gain.tolist() == [len(own.by[0].compress(w)) - len(own.by[1].compress(w)) for w in plain]
+    x = own.features(pa.array(texts))
+    assert x[0].tolist() == x[9].tolist() == [1, 0, 0, 0, 0] and (x[:, 2] >= x[:, 1]).all()
+
+
+def test_logistic():
+    x = np.column_stack([np.ones(200), np.random.default_rng(1).normal(5, 3, 200)])
+    y = (x[:, 1] + np.random.default_rng(2).normal(0, 1, 200) > 5).astype(float)
+    beta = toxicity.logistic(x, y, np.ones(200))
+    p = toxicity.sigmoid(x @ beta)
+    assert abs((y - p).sum()) < 0.1 and 4 < -beta[0] / beta[1] < 6
