@@ -1,6 +1,7 @@
 """Tool-call linking for chat logs, in SQL functions only.
 
-Calls and results are joined by identifier; calls are put in topological order by the longest chain of
+Calls and results are hash-joined by identifier (the side with one row for each identifier is hashed within its
+partition); calls are put in topological order by the longest chain of
 dependencies below them; arguments are validated against schemas; and everything is serialised as canonical JSON
 (keys sorted, no blanks), which a VARIANT's objects are by construction.
 """
@@ -53,6 +54,11 @@ def validated(calls: DataFrame, schemas: dict[str, tuple[Field, ...]]) -> DataFr
     return calls.withColumn("errors", errors)
 
 
+def hashed(side: DataFrame) -> DataFrame:
+    """The build side of a hash join by identifier: it has one row for each identifier, so no hot one can swell its table."""
+    return side.hint("shuffle_hash")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(call_id, level): calls on the longest chain of dependencies below each; null in or above a cycle.
 
@@ -64,11 +70,11 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges, _ = common.materialise(edges.distinct(), "chat-edges")
     many = edges.groupBy("call_id").count().where("count > 1").limit(1).count()
     if not many:
-        state, at = common.materialise(nodes.select("call_id").distinct().join(edges, "call_id", "left").select("call_id", F.col("needs").alias("to"), F.col("needs").isNotNull().cast("long").alias("level")), "chat-levels")
+        state, at = common.materialise(nodes.select("call_id").distinct().join(hashed(edges), "call_id", "left").select("call_id", F.col("needs").alias("to"), F.col("needs").isNotNull().cast("long").alias("level")), "chat-levels")
         rounds, n = 0, state.count()
         while state.where("to IS NOT NULL").limit(1).count() and 1 << rounds <= n:
             over = state.select(F.col("call_id").alias("to"), F.col("to").alias("beyond"), F.col("level").alias("more"))
-            state, new = common.materialise(state.join(over, "to", "left").select("call_id", F.col("beyond").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "chat-levels")
+            state, new = common.materialise(state.join(hashed(over), "to", "left").select("call_id", F.col("beyond").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "chat-levels")
             common.discard(spark, at)
             rounds, at = rounds + 1, new
         return state.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
@@ -97,13 +103,16 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, tuple[Field,
     known = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("_calls"))
     given = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("_results"))
     wanted = calls.where("call_id IS NOT NULL").select("call_id", F.explode("needs").alias("needs"))
-    edges = wanted.join(known.select(F.col("call_id").alias("needs")), "needs", "left_semi").select("call_id", "needs")
-    dangling = wanted.join(known.select(F.col("call_id").alias("needs")), "needs", "left_anti").groupBy("call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("no call "), "needs"))).alias("_dangling"))
-    joined = validated(calls, schemas).join(known, "call_id", "left").join(given, "call_id", "left").join(dangling, "call_id", "left").join(levels(known, edges), "call_id", "left")
+    needed = hashed(known.select(F.col("call_id").alias("needs")))
+    edges = wanted.join(needed, "needs", "left_semi").select("call_id", "needs")
+    dangling = wanted.join(needed, "needs", "left_anti").groupBy("call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("no call "), "needs"))).alias("_dangling"))
+    joined = validated(calls, schemas)
+    for side in (known, given, dangling, levels(known, edges)):
+        joined = joined.join(hashed(side), "call_id", "left")
     status = F.when(F.coalesce("_results", F.lit(0)) == 0, "missing").when((F.col("_results") > 1) | (F.col("_calls") > 1), "ambiguous").otherwise("linked")
     shown = canonical(F.struct(F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.lit("null"))).alias("arguments"), F.col("call_id").alias("id"), "name", "needs"))
     out = joined.withColumns({"status": status, "errors": F.concat("errors", F.coalesce("_dangling", F.array().cast("array<string>"))), "canonical": shown}).drop("_calls", "_results", "_dangling")
-    met = results.join(known, "call_id", "left").join(given, "call_id", "left")
+    met = results.join(hashed(known), "call_id", "left").join(hashed(given), "call_id", "left")
     status = F.when(F.coalesce("_calls", F.lit(0)) == 0, "orphan").when((F.col("_results") > 1) | (F.col("_calls") > 1), "ambiguous").otherwise("linked")
     return out, met.withColumns({"status": status, "canonical": canonical(F.struct("call_id", "content"))}).drop("_calls", "_results")
 
@@ -117,7 +126,7 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     A user turn is a call of ``ask``, which needs the calls one or two turns before it; an assistant turn is the result of
     the call one turn before; any other turn is a plain message. Null texts are empty arguments or contents, null
-    roles are messages, null conversation or turn numbers count as empty strings in identifiers. Repeated turns make
+    roles are messages, very long texts are kept whole (and break the schema's limit), null conversation or turn numbers count as empty strings in identifiers. Repeated turns make
     their calls ambiguous and stay; an empty table gives no rows; other columns are ignored.
     """
     ident = lambda back: F.concat_ws(":", F.lit("call"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce((F.col("turn") - back).cast("string"), F.lit("")))
@@ -125,7 +134,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     before = log.where("role = 'user'").select(ident(0).alias("before")).distinct()
     calls = log.where("role = 'user'").select("conv_id", "turn", "text", ident(0).alias("call_id"), ident(1).alias("one"), ident(2).alias("two"))
     has = [before.select(F.col("before").alias(c), F.lit(True).alias(f"has_{c}")) for c in ("one", "two")]
-    calls = calls.join(has[0], "one", "left").join(has[1], "two", "left")
+    calls = calls.join(hashed(has[0]), "one", "left").join(hashed(has[1]), "two", "left")
     first = F.when(F.col("has_one"), F.col("one")).when(F.col("has_two"), F.col("two"))
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     calls = calls.select("conv_id", "turn", "call_id", F.lit("ask").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), first.alias("reply_to"), words.alias("words"))).alias("arguments"), F.array_compact(F.array(first)).alias("needs"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import tempfile
 import uuid
 
 import numpy as np
@@ -19,36 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The shared folder named by spark.checkpoint.dir. Only a local session, as in tests, may leave it unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return root or "file:///tmp/checkpoints"
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):  # the first round frees the plans, the second what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.15)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/scratch-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it back: later plans restart from files that outlive any executor."""
+    """Writes ``df`` to the shared folder and reads it back: later plans restart from files that outlive any executor.
+
+    Tables that no operator discards (those a result still reads) go when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df  # the caller's last reference, as a rule: its shuffles can go
-    release(spark)
-    return spark.read.schema(schema).parquet(path), path
+    target, files = filesystem(spark, path)
+    files.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that no later plan reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        target, files = filesystem(spark, path)
+        files.delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

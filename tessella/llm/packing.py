@@ -3,8 +3,8 @@
 A level array counts the partially filled windows by fill level. Each document goes to the level whose
 choice makes the sum of the squared counts smallest; a document of a window or more first fills whole
 windows of its own. Documents are dealt to tasks as the input's splits are, each task packs its own stream
-with its own array, and there is no shuffle. When a task's stream ends (or over ``max_open`` windows are
-open), the emptiest windows are poured into the gaps of the fullest, cutting documents where a gap ends, so
+with its own array, and there is no shuffle (a table of fewer splits than cores is dealt out first, so there the windows depend on
+the number of cores). A task holds the ids of its open windows, so at most those of its own split. When a task's stream ends, the emptiest windows are poured into the gaps of the fullest, cutting documents where a gap ends, so
 that one partial window is left; at the end that one is cut into windows of powers of two, which need no padding.
 """
 
@@ -92,8 +92,8 @@ class Packer:
     A piece is (key, first id's place in its document, ids, ids in the document).
     """
 
-    def __init__(self, capacity: int = 4096, max_open: int = 2048):
-        self.capacity, self.max_open, self.open_windows = capacity, max_open, 0
+    def __init__(self, capacity: int = 4096):
+        self.capacity = capacity
         self.count = np.zeros(capacity + 1, np.int64)
         self.level: list[list[list[tuple]]] = [[] for _ in range(capacity + 1)]
         self.done: list[list[tuple]] = []
@@ -104,11 +104,9 @@ class Packer:
         elif fill:
             self.level[fill].append(window)
             self.count[fill] += 1
-            self.open_windows += 1
 
     def take(self, fill: int) -> list[tuple]:
         self.count[fill] -= 1
-        self.open_windows -= 1
         return self.level[fill].pop()
 
     def best(self, size: int) -> int:
@@ -131,14 +129,11 @@ class Packer:
             window = self.take(fill) if fill else []
             window.append((key, at, ids[4 * at :], total))
             self.put(fill + size, window)
-        if self.open_windows > self.max_open:
-            self.pour()
 
     def pour(self) -> list[tuple]:
         """Fills the fullest open windows from the emptiest; returns the one that stays partial."""
         order = [(fill, w) for fill in range(self.capacity) for w in self.level[fill]]  # emptiest first
         self.count[:] = 0
-        self.open_windows = 0
         for fill in range(self.capacity):
             self.level[fill] = []
         lo, hi = 0, len(order) - 1
@@ -185,7 +180,8 @@ class Packer:
 def packed(docs: DataFrame, content: str, end: int = 2, capacity: int = 4096) -> DataFrame:
     """One row per piece of a document in a window of ``capacity`` tokens.
 
-    Null texts count as empty: they are their end token alone. Null ids stay null, repeated rows are packed
+    Null texts count as empty: they are their end token alone. A text of a window or more first fills whole windows, however long it is.
+    Among fill levels of equal cost (a tie) the fullest is taken. Null ids stay null, repeated rows are packed
     each on their own, an empty table gives no rows and other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(content)  # a vocabulary file, under 2 MB

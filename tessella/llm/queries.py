@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sum_of_squares_packing": packing.op8_packing,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_pivot_topk": topk.op10_topk,
+    "quality_rule_ablations": rules.quality_rule_ablations,
 }
 
 ORACLES = {
     "op4_chat_tool_calls": chat.ORACLE,
     "op9_quality_rules": rules.ORACLE,
     "op10_pivot_topk": topk.ORACLE,
+    "quality_rule_ablations": rules.ABLATIONS,
 }

@@ -34,7 +34,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, and with the measurements; names that clash are replaced by them.
 
     Null texts measure as empty texts. Repeated windows are found by 64-bit hashes of three words within one
-    text: hashes are sorted with their positions only where some hash repeats.
+    text: hashes are sorted with their positions only where some hash repeats, and windows of equal hashes are compared by their words.
+    Very long texts are measured whole, in time that grows as n log n with their words; a text's words, lines and windows are arrays in one row's memory.
     """
     own = [c for c in docs.columns if c not in (text, *MEASURES)]
     words = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text")).select(*own, "_text", F.expr(rf"regexp_extract_all(_text, '[^\\x20\\x09-\\x0D]+', 0)").alias("_words"))
@@ -45,18 +46,21 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     found = lines.select(
-        *own, "_windows",
+        *own, "_words",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.expr("cast(regexp_count(_text, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
         F.expr("cast(regexp_count(_text, '[A-Z]') as bigint)").alias("n_upper"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)").alias("n_dup_lines"),
-        F.expr("if(size(array_distinct(_windows)) < size(_windows), sort_array(transform(_windows, (h, i) -> struct(h, i))), array())").alias("_sorted"),
+        F.expr("if(size(array_distinct(_windows)) < size(_windows), sort_array(transform(_windows, (h, i) -> struct(h AS h, i AS i))), array())").alias("_sorted"),
     )
-    at = found.withColumn("_at", F.expr("sort_array(filter(transform(_sorted, (s, i) -> if(s.h = get(_sorted, i - 1).h OR s.h = get(_sorted, i + 1).h, s.i, null)), x -> x IS NOT NULL))"))
+    twice = "sort_array(filter(transform({0}, (s, i) -> if(s.{1} = get({0}, i - 1).{1} OR s.{1} = get({0}, i + 1).{1}, s.i, null)), x -> x IS NOT NULL))"
+    alike = found.withColumn("_alike", F.expr(twice.format("_sorted", "h")))
+    texts = alike.withColumn("_texts", F.expr("sort_array(transform(_alike, i -> struct(array_join(slice(_words, i + 1, 3), ' ') AS w, i AS i)))"))
+    at = texts.withColumn("_at", F.expr(twice.format("_texts", "w")))
     covered = F.expr("aggregate(transform(_at, (p, i) -> least(3, coalesce(get(_at, i + 1) - p, 3))), 0, (a, n) -> a + n)")
-    return at.withColumn("n_repeat_words", covered.cast("long")).drop("_windows", "_sorted", "_at")
+    return at.withColumn("n_repeat_words", covered.cast("long")).drop("_words", "_sorted", "_alike", "_texts", "_at")
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -83,16 +87,26 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """doc_id, the measurements, base_failed and kept under a policy.
+    """doc_id, the measurements, base_failed, kept under a policy, failures (bits of RULES), the policy, and ``only``: the rule that
+    alone rejects the document under it, so that it would stay without.
 
-    Null and empty texts have no words and fail; repeated rows and null ids stay; an empty table gives no rows.
+    Null and empty texts have no words and fail; repeated rows and null ids stay; other columns are ignored; an empty table gives no rows.
     """
+    failed = F.col("failures").bitwiseAND(mask(POLICIES[policy]))
+    only = F.coalesce(*[F.when(failed == BIT[r], F.lit(r)) for r in POLICIES[policy]])
     return ledger(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~verdict("base")).alias("base_failed"), (verdict("base") & verdict(policy)).alias("kept"), "failures",
+        F.lit(policy).alias("policy"), only.alias("only"),
     )
 
 
+def quality_rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """For each policy version and rule of it: documents rejected at all, failing the rule, and kept if the rule were dropped."""
+    rows = ledger(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))).select("failures")
+    return ablations(rows, "base").unionByName(ablations(rows, "v1"))
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -113,5 +127,12 @@ m AS (
   FROM d LEFT JOIN r USING (k)),
 f AS (SELECT *, BITS AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
-""".replace("BITS", " | ".join(f"(CASE WHEN {c} THEN {BIT[n]} ELSE 0 END)" for n, c in RULES))
+       (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures,
+       'v1' AS policy, CASE failures ONLY END AS only FROM f
+""".replace("BITS", " | ".join(f"(CASE WHEN {c} THEN {BIT[n]} ELSE 0 END)" for n, c in RULES)).replace("ONLY", " ".join(f"WHEN {b} THEN '{n}'" for n, b in BIT.items()))
+
+ABLATIONS = ORACLE[: ORACLE.rindex("SELECT doc_id")] + " UNION ALL ".join(
+    f"SELECT '{policy}' AS policy, (SELECT count(*) FROM f WHERE (failures & {mask(rules)}) <> 0) AS rejected, '{r}' AS rule, count(*) FILTER (WHERE (failures & {BIT[r]}) <> 0) AS failed, count(*) FILTER (WHERE (failures & {mask(rules)}) = {BIT[r]}) AS alone FROM f"
+    for policy, rules in POLICIES.items()
+    for r in rules
+)

@@ -33,6 +33,23 @@ def test_any(text):
     same(text)
 
 
+def test_long_pieces():
+    """Both trees on the same pieces, and unbroken runs against the library."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    pieces = ["".join(rng.choice("abcdeht") for _ in range(n)).encode() for n in (2, 3, 17, 64, 65, 400)]
+    for p in pieces:
+        assert OURS.merge_long(p) == OURS.merge([p], 1 << (len(p) - 1).bit_length())[0]
+    run = "".join(rng.choice("etaoinshr\u4e2d\u6587") for _ in range(100_000))
+    start = time.time()
+    same(run)
+    assert time.time() - start < 60
+    for text in ("a" * 30_000, "=" * 30_001, "ab" * 20_000 + " c"):
+        same(text)
+
+
 def test_query(spark):
     rows = [(1, "hello there"), (2, None), (3, ""), (3, ""), (None, "x")]
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, ids string")

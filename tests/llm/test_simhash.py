@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessella.llm import simhash
@@ -39,30 +40,55 @@ def test_fingerprint(spark):
     assert spark.sql("SELECT xxhash64('a b c') AS h").first().h == simhash.signed(xxhash.xxh64_intdigest("a b c", 42))
 
 
-def test_forest():
-    rng = random.Random(3)
-    fps = ball(rng, 400, 4)
-    a, b = simhash.forest(np.array(fps, np.uint64), 2)
-    place = {x: i for i, x in enumerate(fps)}
-    label = list(range(len(fps)))
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = label[place[x]], label[place[y]]
-        label = [min(i, j) if v == max(i, j) else v for v in label]
-    assert label == closure(fps)
-
-
-def test_links_and_components(spark):
+def test_coordinates(spark):
+    """Each bit of a fingerprint changes one coordinate by one, and the table holds distances."""
+    rng = random.Random(6)
+    middle, neighbours, spread = simhash.references()
+    x = rng.getrandbits(64)
+    near = [x] + [x ^ 1 << b for b in range(64)]
+    rows = simhash.tabled(spark.createDataFrame([(simhash.signed(f),) for f in near], "fp long"), 2).collect()
+    groups = {r.fp: r.groups for r in rows}
+    for f in near[1:]:
+        assert sum(a != b for a, b in zip(groups[simhash.signed(x)], groups[simhash.signed(f)], strict=True)) == 1
+    for r in rows:
+        f = r.fp % 2**64
+        assert list(r.near.to_bytes(8, "little") + r.far.to_bytes(8, "little")) == [(f ^ p).bit_count() for p in spread]
+        turned = [((f ^ n).bit_count() - (f ^ middle).bit_count()) // 2 + 1 for n in neighbours]
+        assert sorted(r.groups) == sorted(sum(c * 3**k for k, c in enumerate(turned[32 * i // 6 : 32 * (i + 1) // 6])) for i in range(6))
+
+
+@pytest.mark.parametrize("most, radius", [(4096, 2), (4, 2), (4, 0), (16, 4)])
+def test_links_and_components(spark, monkeypatch, most, radius):
+    """Against all pairs; cells of more than ``most`` go through finer cells, and what stays crowded is compared in place."""
     rng = random.Random(4)
     fps = ball(rng, 600, 4)
-    frame = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
-    roots, _ = simhash.components(simhash.links(frame))
+    low = rng.getrandbits(64)
+    fps = sorted({*fps, *(low ^ i for i in range(200)), *(low ^ (i << 20) ^ (1 << 50) for i in range(100))})
+    monkeypatch.setattr(simhash, "MOST", 50)
+    table = simhash.tabled(spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long"), radius)
+    edges, paths, tally = simhash.links(table, radius, most)
+    assert len(paths) == (1 if most == 4096 else len(paths)) and tally[0] >= tally[1] >= tally[2] > 0 or radius == 0
+    roots, _ = simhash.components(edges)
     got = {r.node: r.root for r in roots.collect()}
-    want, by = closure(fps), {}
+    want, by = closure(fps, radius), {}
     for x, c in zip(fps, want, strict=True):
         by.setdefault(c, []).append(simhash.signed(x))
     assert {x: min(g) for g in by.values() if len(g) > 1 for x in g} == got
 
 
+def test_random_pairs_are_discarded():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    _, _, spread = simhash.references()
+    table = np.bitwise_count(fps[:, None] ^ np.array(spread, np.uint64)).astype(np.uint8)
+    order = np.lexsort((fps, table[:, 0]))
+    packed = np.ascontiguousarray(table[order]).view(np.int64)
+    rows = np.column_stack([np.zeros((3000, 2), np.int64), fps[order].view(np.int64), packed, np.ones(3000, np.int64)])
+    tally = np.zeros(3, np.int64)
+    assert sum(len(i) for i, _ in simhash.pairs(rows, 2, tally)) == 0
+    assert tally[0] > 500_000 and tally[1] < 50
+
+
 def test_query(spark):
     base = " ".join(f"w{i}" for i in range(400))
     texts = [(3, base), (9, base + " end"), (7, base.upper()), (1, None), (2, ""), (4, "quite other words here"), (4, "quite other words here"), (None, base), (None, "lonely row with no id")]
