@@ -2,7 +2,6 @@ import math
 import random
 import zlib
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -27,7 +26,16 @@ def held(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
 
 
-def test_against_plain(spark):
+def bucket(n):
+    return min(1 + int(math.log2(n)), lm.CONTEXTS - 1) if n else 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_against_plain(spark, monkeypatch, small):
+    """With one exchange, and with chunks of some texts whose keys are summed through two levels of bundles."""
+    if small:
+        for name, value in (("CHUNK", 400), ("BUCKET", 100), ("LEAST_FAN", 4), ("FAN", 4), ("BUNDLE", 300)):
+            monkeypatch.setattr(lm, name, value)
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int").coalesce(2)
     toks = [[w.decode() for w in (t or "").encode().lower().split()] + ["</s>"] for _, t in rows]
@@ -42,10 +50,10 @@ def test_against_plain(spark):
     assert (n_got, v_got) == (n, v) and np.allclose(lam.sum(1), 1) and (lam[:, 2] > 0).all()
 
     def p(w, c):
-        b = min(int(math.log2(max(ctx[c], 1))), lm.CONTEXTS - 1)
+        b = bucket(ctx[c])
         return lam[b][0] * two[c, w] / max(ctx[c], 1) + lam[b][1] * one[w] / n + lam[b][2] / (v + 1)
 
-    assert sum(p(w, "a") for w in one) + lam[int(math.log2(ctx["a"]))][2] / (v + 1) == pytest.approx(1)
+    assert sum(p(w, "a") for w in one) + lam[bucket(ctx["a"])][2] / (v + 1) == pytest.approx(1)
     want = []
     for (i, _), t in zip(rows, toks, strict=True):
         base = sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
@@ -70,4 +78,52 @@ def test_weights_find_the_mixture():
     rng = np.random.default_rng(3)
     cells = [((5 << 18) + k, 1.0, *(np.array([0.001, 100.0]) if x < 0.3 else np.array([50.0, 0.001]))) for k, x in enumerate(rng.random(2000))]
     assert lm.weights(cells)[5][1] == pytest.approx(0.3, abs=0.05)
-    assert SimpleNamespace(l=lm.weights([])).l[3].tolist() == [0, 0, 1]
+    assert lm.weights([])[3].tolist() == lm.START_WEIGHTS.tolist()
+
+
+def test_weights_against_exact_ones(spark):
+    """The grid's weights beside expectation-maximisation on the deleted tokens one by one."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in corpus(600) if i is not None and i != 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(lm.DELETED)) == 0).collect()}
+    _, _, v, lam = lm.model(docs)
+    one, two, ctx, out = Counter(), Counter(), Counter(), []
+    for i, text in rows:
+        t = [w.decode() for w in (text or "").encode().lower().split()] + ["</s>"]
+        pairs = list(zip(["<s>", *t], t))  # noqa: B905
+        if held(i):
+            continue
+        if i in gone:
+            out += pairs
+        else:
+            one.update(t)
+            two.update(pairs)
+            ctx.update(c for c, _ in pairs)
+    n = sum(one.values())
+    for b in range(1, lm.CONTEXTS):
+        x = np.array([[two[c, w] / ctx[c], one[w] / n, 1 / (v + 1)] for c, w in out if bucket(ctx[c]) == b])
+        if len(x) < 100:
+            continue
+        exact = lm.START_WEIGHTS
+        for _ in range(lm.ROUNDS):
+            part = x * exact
+            exact = (part / part.sum(1, keepdims=True)).mean(0)
+        assert np.abs(lam[b] - exact).max() < 0.02
+
+
+def test_rows_grow_with_the_input(spark, monkeypatch):
+    """Four times the text: four times the rows sent, about, at either level."""
+    for name, value in (("CHUNK", 2000), ("BUCKET", 500), ("LEAST_FAN", 8), ("FAN", 8), ("BUNDLE", 2000)):
+        monkeypatch.setattr(lm, name, value)
+    sent = []
+    for n in (400, 1600):
+        docs = spark.createDataFrame([(i, t) for i, t in corpus(n)], "doc_id long, text string").coalesce(1)
+        chunks = lm.chunked(docs).cache()
+        requests = lm.asked(chunks, lm.FAN)
+        size = sum(r.bytes for r in chunks.collect())
+        answers, paths = lm.answered(requests, size, lm.FAN)
+        sent.append((requests.count(), answers.where("unit >= 0").count(), chunks.count()))
+        assert paths and sent[-1][0] == sent[-1][1] <= 2 * lm.FAN * sent[-1][2]
+    assert 3 < sent[1][0] / sent[0][0] < 5
