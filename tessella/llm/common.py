@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch tables that are there.
+live: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. Only a local session, as in tests, may leave it unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +41,7 @@ def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     df.write.option("compression", "zstd").parquet(path)
     target, files = filesystem(spark, path)
     files.deleteOnExit(target)
+    live.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -50,6 +55,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target, files = filesystem(spark, path)
         files.delete(target, True)
+        live.discard(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

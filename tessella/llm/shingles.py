@@ -1,8 +1,11 @@
-"""Near-duplicates by exact similarity of word shingles: Jaccard at least 4/5 over sets of five words.
+"""Near-duplicates by SimHash and exact similarity of word shingles: Jaccard at least 4/5 over sets of five words.
 
-Candidates come from prefix filtering: under one order of all shingles, two sets that reach the similarity share one of
+First the fingerprints of the sets are linked through op5's pivot distance table, and their links are verified on the
+whole sets. Sets at the similarity can differ in more bits than any search of 64-bit fingerprints can
+afford (their median is six), so prefix filtering finds the rest: under one order of all shingles, two sets that reach the similarity share one of
 their first n - ceil(4n/5) + 1. Any order gives the same pairs; shingles that a sample of texts repeats come last, the
-rest goes by hash. Every candidate is verified on the whole sets, so the links are all and only the pairs at or above
+rest goes by hash. Only sets of different components so far become candidates, and every candidate is verified on the whole sets, so
+the components are those of all pairs at or above
 the similarity (but for collisions of 64-bit hashes). A shingle of many sets first gives pairs around four centres;
 what these leave in different components is then compared in full.
 """
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 SIZE = 5
+#: Bits by which linked fingerprints may differ.
+RADIUS = 2
 #: Texts whose shingles are counted for the order (on average), and the repeated ones that are sent to the tasks.
 SAMPLED, REPEATED = 20_000, 262_144
 #: Sets of one shingle that are paired at once.
@@ -72,7 +77,7 @@ def repeats(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed_sets(docs: DataFrame) -> DataFrame:
-    """The rows with _sig, a hash of the shingle set, its size _n and its prefix _prefix."""
+    """The rows with _sig, a hash of the shingle set, its size _n, its prefix _prefix and its fingerprint _fp."""
     seen = docs.sparkSession.sparkContext.broadcast(repeats(docs))
     at = docs.columns.index("text")
 
@@ -84,26 +89,26 @@ def signed_sets(docs: DataFrame) -> DataFrame:
             first = [prefix(x, repeated, rank) for x in sets]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             flat = np.concatenate([*first, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
-            new = [pa.array(sig), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "_sig", "_n", "_prefix"])
+            fps = np.fromiter(map(simhash.majority, sets), np.uint64, len(sets)).view(np.int64)
+            new = [pa.array(sig), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "_sig", "_n", "_prefix", "_fp"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return common.spread(docs).mapInArrow(run, f"{kinds}, _sig long, _n long, _prefix array<long>")
+    return common.spread(docs).mapInArrow(run, f"{kinds}, _sig long, _n long, _prefix array<long>, _fp long")
 
 
-def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one shingle's sets that their sizes and places allow: all of a few sets; of many, those
-    with one of four centres, or (with ``root``) all of different components."""
+def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, full: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one shingle's sets of different components that their sizes and places allow: all of a few sets; of many, those
+    with one of four centres, or (``full``) all."""
 
     def allowed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = np.minimum(np.minimum(n[i], n[j]), np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]))
         keep = 9 * most >= 4 * (n[i] + n[j])
-        if root is not None:
-            keep &= root[i] != root[j]
+        keep &= root[i] != root[j]
         return i[keep], j[keep]
 
     m = len(sig)
-    if root is None and m > FEW:
+    if not full and m > FEW:
         centre = int(np.argmin((sig.view(np.uint64) ^ np.uint64((h & 3) * int(ODD) % 2**64)) * ODD))
         yield allowed(np.full(m - 1, centre), np.delete(np.arange(m), centre))
         return
@@ -114,10 +119,9 @@ def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np
 
 
 def candidates(sets: DataFrame, second: bool) -> DataFrame:
-    """(a, b) of distinct sets that meet under a shingle; in the second round of ``sets`` with their root."""
+    """(a, b) of sets of different components that meet under a shingle; the first round leaves out pairs of crowded shingles."""
     spark = sets.sparkSession
-    root = F.col("root") if second else F.lit(0).cast("long")
-    keyed = sets.select("_sig", "_n", root.alias("root"), F.posexplode("_prefix").alias("place", "h")).select("h", "_sig", "_n", F.col("place").cast("long"), "root")
+    keyed = sets.select("_sig", "_n", "root", F.posexplode("_prefix").alias("place", "h")).select("h", "_sig", "_n", F.col("place").cast("long"), "root")
     met = keyed.repartition(common.shuffle_width(spark), "h").sortWithinPartitions("h", "_sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +131,14 @@ def candidates(sets: DataFrame, second: bool) -> DataFrame:
             at = common.runs(rows[:, 0])
             size = np.diff(at)
             two = at[:-1][size == 2]
+            two = two[rows[two, 4] != rows[two + 1, 4]]
             out, held = [(rows[two, 1], rows[two + 1, 1])] if len(two) and not second else [], 0
             for start, m in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 g = rows[start : start + m]
-                if second and (m <= FEW or (g[:, 4] == g[0, 4]).all()):
+                if second and m <= FEW or (g[:, 4] == g[0, 4]).all():
                     continue
                 sig = np.ascontiguousarray(g[:, 1])
-                for i, j in pairs_of(int(g[0, 0]), sig, g[:, 2], g[:, 3], g[:, 4] if second else None):
+                for i, j in pairs_of(int(g[0, 0]), sig, g[:, 2], g[:, 3], g[:, 4], second):
                     out.append((sig[i], sig[j]))
                     held += len(i)
                     if held > CUT:
@@ -157,10 +162,10 @@ def batch_of(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b"])
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar. Only texts of candidates are joined."""
+def verified(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs whose whole sets are similar, and the scratch table of texts. Only texts of candidates are joined."""
     wanted = pairs.select(F.col("a").alias("_sig")).union(pairs.select("b")).distinct()
-    texts, _ = common.materialise(rows.select("_sig", "text").join(wanted, "_sig", "left_semi").dropDuplicates(["_sig"]), "shingle-texts")
+    texts, path = common.materialise(rows.select("_sig", "text").join(wanted, "_sig", "left_semi").dropDuplicates(["_sig"]), "shingle-texts")
     left = texts.select(F.col("_sig").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("_sig").alias("b"), F.col("text").alias("y"))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
@@ -175,28 +180,54 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 ok.append(similar(shingles(s.as_py()), y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long"), path
+
+
+def by_fingerprint(sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(a, b) of sets whose fingerprints are equal or linked, as chains; and the scratch tables behind them."""
+    least, at = common.materialise(simhash.tabled(sets.groupBy(F.col("_fp").alias("fp")).agg(F.min("_sig").alias("least")), RADIUS), "shingle-table")
+    near, paths, _ = simhash.links(least, RADIUS)
+    side = least.select("fp", "least")
+    equal = sets.select(F.col("_sig").alias("b"), F.col("_fp").alias("fp")).join(side, "fp").select(F.col("least").alias("a"), "b").where("a <> b")
+    linked = near.join(side.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(side.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    both = equal.unionByName(linked).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), [at, *paths]
 
 
 def links(rows: DataFrame, tag: str = "shingle") -> tuple[DataFrame, DataFrame]:
     """(node, root) over the hashes of sets that have a similar other one, and the links (a, b) these come from."""
-    sets, _ = common.materialise(rows.groupBy("_sig").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix")), f"{tag}-sets")
-    pairs, _ = common.materialise(candidates(sets, False), f"{tag}-pairs")
-    edges, _ = common.materialise(verified(pairs, rows), f"{tag}-edges")
-    roots, _ = simhash.components(edges, tag)
-    with_root = sets.join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").withColumn("root", F.coalesce("root", "_sig"))
-    more, _ = common.materialise(candidates(with_root, True), f"{tag}-pairs")
-    if more.limit(1).count():
-        edges, _ = common.materialise(edges.union(verified(more, rows)), f"{tag}-edges")
-        roots, _ = simhash.components(edges, tag)
+    spark = rows.sparkSession
+    sets, scratch = common.materialise(rows.groupBy("_sig").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_fp").alias("_fp")), f"{tag}-sets")
+    roots, edges, scratch = None, None, [scratch]
+    for step in ("fingerprints", "first", "second"):
+        if step == "fingerprints":
+            pairs, used = by_fingerprint(sets)
+        else:
+            pairs, used = candidates(sets.join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").withColumn("root", F.coalesce("root", "_sig")), step == "second"), []
+        pairs, at = common.materialise(pairs, f"{tag}-pairs")
+        common.discard(spark, *used)
+        found, texts = verified(pairs, rows)
+        found, path = common.materialise(found if edges is None else edges.unionByName(found), f"{tag}-edges")
+        common.discard(spark, at, texts)
+        if edges is not None:
+            common.discard(spark, *scratch[1:])
+            del scratch[1:]
+        edges = found
+        roots, paths = simhash.components(edges, tag)
+        scratch += [path, *paths]
+    common.discard(spark, scratch[0])
     return roots, edges
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id: the smallest doc_id that links reach, null only where no id is reachable."""
-    rows, _ = common.materialise(signed_sets(docs.select(F.col("doc_id").cast("long"), "text")), "shingle-rows")
+    """doc_id and component_id: the smallest doc_id that links reach, null only where no id is reachable.
+
+    Null and empty texts have no shingles and are copies of each other; repeated rows stay; other columns are ignored; an empty table gives no rows.
+    """
+    rows, at = common.materialise(signed_sets(docs.select(F.col("doc_id").cast("long"), "text")), "shingle-rows")
     roots, _ = links(rows)
     rooted = rows.select("doc_id", "_sig").join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").select("doc_id", F.coalesce("root", "_sig").alias("root"))
     rooted, _ = common.materialise(rooted, "shingle-rooted")
+    common.discard(docs.sparkSession, at)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "component_id")

@@ -35,8 +35,12 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     if len(words) <= size:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(g), 42) for g in zip(*(words[i:] for i in range(size)))], ">u8")  # noqa: B905
-    total = np.zeros(64, np.int64)
+    return majority(np.array([digest(b" ".join(g), 42) for g in zip(*(words[i:] for i in range(size)))], np.uint64))  # noqa: B905
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; none of no hashes."""
+    hashes, total = hashes.astype(">u8"), np.zeros(64, np.int64)
     for a in range(0, len(hashes), 4096):
         total += np.unpackbits(hashes[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")

@@ -8,10 +8,25 @@ def test_near_duplicates_keep_one(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "7", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "7"]
+    lonely = docs.where("doc_id IS NULL")
+    assert [r.text for r in corpus_pipeline.near_duplicate_stage(spark, lonely, "").collect()] == [a]
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_stages_on_odd_rows(spark):
+    """Null and empty texts, null and repeated ids, an empty table: quality and toxicity keep or drop whole rows, packing packs each."""
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "plain words here", None, None, 3), (None, "x " * 50_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        if name == "packing":
+            assert sum(r.length for r in got.collect()) >= 50_000
+        else:
+            assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
 def test_run(spark):
     """All stages in turn over the smallest tables: what comes out is what the stages keep, whole."""
     sf = "/root/testdata/sf0.001"
