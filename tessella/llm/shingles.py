@@ -3,8 +3,11 @@
 First the fingerprints of the sets are linked through op5's pivot distance table, and their links are verified on the
 whole sets. Sets at the similarity can differ in more bits than any search of 64-bit fingerprints can
 afford (their median is six), so prefix filtering finds the rest: under one order of all shingles, two sets that reach the similarity share one of
-their first n - ceil(4n/5) + 1. Any order gives the same pairs; shingles that a sample of texts repeats come last, the
-rest goes by hash. Only sets of different components so far become candidates, and every candidate is verified on the whole sets, so
+their first n - ceil(4n/5) + 1. The order is by count: shingles of one set come first (and are of no further use, so a set with enough of
+them has no candidates), then those of few; those that a sample of texts repeats come last, by their count there, and are never shuffled
+to be counted. Candidates are sets of different components so far that meet under a shingle, unless
+their sizes, the shingle's places or their parity bitmaps exclude the similarity (each element flips one of ``BITS`` bits, so
+two bitmaps differ in no more bits than the sets in elements). Every candidate is verified on the whole sets, so
 the components are those of all pairs at or above
 the similarity (but for collisions of 64-bit hashes). A shingle of many sets first gives pairs around four centres;
 what these leave in different components is then compared in full.
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ from . import common, simhash
 SIZE = 5
 #: Bits by which linked fingerprints may differ.
 RADIUS = 2
+#: Bits of a bitmap, and the count of sets from which shingles rank alike.
+BITS, MANY = 512, 1 << 20
 #: Texts whose shingles are counted for the order (on average), and the repeated ones that are sent to the tasks.
 SAMPLED, REPEATED = 20_000, 262_144
 #: Sets of one shingle that are paired at once.
@@ -49,13 +55,23 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * both >= 4 * (len(x) + len(y))
 
 
-def prefix(x: np.ndarray, repeated: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set: those that ``repeated`` (sorted) lacks by hash, then those it has by their rank."""
-    n = len(x) - (4 * len(x) + 4) // 5 + 1 if len(x) else 0
-    if len(repeated):
-        at = np.minimum(np.searchsorted(repeated, x), len(repeated) - 1)
-        x = x[np.argsort(np.where(repeated[at] == x, rank[at], -1), kind="stable")]
-    return x[:n]
+def prefix_size(n):
+    """How many first shingles of a set of ``n`` (above 0) hold one in common with any similar set."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def parity(x: np.ndarray) -> bytes:
+    """A bitmap in which each element flips a bit."""
+    return np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+
+
+def split(x: np.ndarray, repeated: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that ``repeated`` (sorted) lacks, and those it has by their rank."""
+    if not len(repeated) or not len(x):
+        return x, x[:0]
+    at = np.minimum(np.searchsorted(repeated, x), len(repeated) - 1)
+    has = repeated[at] == x
+    return x[~has], x[has][np.argsort(rank[at[has]], kind="stable")]
 
 
 def repeats(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -76,35 +92,140 @@ def repeats(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n.astype(np.int64)[order]
 
 
-def signed_sets(docs: DataFrame) -> DataFrame:
-    """The rows with _sig, a hash of the shingle set, its size _n, its prefix _prefix and its fingerprint _fp."""
-    seen = docs.sparkSession.sparkContext.broadcast(repeats(docs))
-    at = docs.columns.index("text")
+SET = "_sig long, _n long, _few long, _last array<long>, _fp long, _bits binary"
+
+
+def signed_sets(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows with SET: a hash of the shingle set, its size, how many of it the sample does not repeat, those of its prefix that
+    the sample repeats, its fingerprint and its bitmap; and the repeated shingles with their ranks."""
+    seen = docs.sparkSession.sparkContext.broadcast(repeats(docs))  # at most REPEATED
+    at, names = docs.columns.index("text"), [c.split()[0] for c in SET.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, rank = seen.value
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(at)]
-            sig = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-            first = [prefix(x, repeated, rank) for x in sets]
-            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            flat = np.concatenate([*first, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
-            fps = np.fromiter(map(simhash.majority, sets), np.uint64, len(sets)).view(np.int64)
-            new = [pa.array(sig), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(fps)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "_sig", "_n", "_prefix", "_fp"])
+            rows = []
+            for t in b.column(at):
+                x = shingles(t.as_py())
+                few, many = split(x, repeated, rank)
+                last = many[: max(0, prefix_size(len(x)) - len(few))] if len(x) else x
+                rows.append((xxhash.xxh64_intdigest(x.tobytes(), 42), len(x), len(few), last.view(np.int64), simhash.majority(x), parity(x)))
+            sig, n, few, last, fp, bits = zip(*rows, strict=True) if rows else [()] * 6
+            word = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            new = [word(sig), pa.array(n, pa.int64()), pa.array(few, pa.int64()), pa.array(last, pa.list_(pa.int64())), word(fp), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return common.spread(docs).mapInArrow(run, f"{kinds}, _sig long, _n long, _prefix array<long>, _fp long")
+    return common.spread(docs).mapInArrow(run, f"{kinds}, {SET}"), seen
+
+
+def counted(rows: DataFrame, seen: Broadcast) -> DataFrame:
+    """(sig, c, h): shingles that the sample does not repeat but ``c`` sets hold, two or more; beyond MANY only that many.
 
+    Copies within a task are sent once, so a set reaches a count at most once from each task, and is counted once.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, rank = seen.value
+        sent: set[int] = set()
+        for b in batches:
+            hs, sigs = [np.zeros(0, np.uint64)], []
+            for sig, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if sig not in sent:
+                    sent.add(sig)
+                    hs.append(split(shingles(t.as_py()), repeated, rank)[0])
+                    sigs.append(sig)
+            n = [len(h) for h in hs[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), n))], ["h", "sig"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, crowded = np.zeros((0, 2), np.int64), None
+
+        def made(own: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own[:, 1]), pa.array(c.astype(np.int64)), pa.array(own[:, 0])], ["sig", "c", "h"])
+
+        def runs_of(own: np.ndarray) -> pa.RecordBatch:
+            n = np.diff(common.runs(own[:, 0]))
+            c = np.minimum(np.repeat(n, n), MANY)
+            return made(own[c > 1], c[c > 1])
 
-def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, full: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one shingle's sets of different components that their sizes and places allow: all of a few sets; of many, those
+        for b in batches:
+            own = np.vstack([rest, np.column_stack([b.column(k).to_numpy() for k in range(2)])])
+            if not len(own):
+                continue
+            own = own[np.concatenate([[True], (own[1:] != own[:-1]).any(1)])]
+            if crowded is not None:
+                of = own[:, 0] == crowded
+                # The last row of the run is kept to tell a copy of it.
+                yield made(own[of][1:], np.full(max(0, of.sum() - 1), MANY))
+                if of.all():
+                    rest = own[-1:]
+                    continue
+                own, crowded = own[~of], None
+            cut = common.runs(own[:, 0])[-2]
+            yield runs_of(own[:cut])
+            rest = own[cut:]
+            if len(rest) > MANY:
+                crowded = rest[0, 0]
+                yield made(rest, np.full(len(rest), MANY))
+                rest = rest[-1:]
+        if crowded is None:
+            yield runs_of(rest)
+
+    spark = rows.sparkSession
+    sent = rows.select("_sig", "text").mapInArrow(send, "h long, sig long")
+    return sent.repartition(common.shuffle_width(spark), "h").sortWithinPartitions("h", "sig").mapInArrow(count, "sig long, c long, h long")
+
+
+PREFIX = "h long, _sig long, _n long, place long, _bits binary"
+
+
+def prefixes(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of PREFIX: the shingles of a set's prefix that other sets may hold."""
+    spark = sets.sparkSession
+    last = sets.select(F.posexplode("_last").alias("at", "h"), "_sig", "_n", "_few", "_bits").select("h", "_sig", "_n", (F.col("_few") + F.col("at")).alias("place"), "_bits")
+    zero = F.lit(0).cast("long")
+    both = sets.select(F.col("_sig").alias("sig"), zero.alias("c"), zero.alias("h"), "_n", "_few", "_bits").unionByName(counts.withColumns({"_n": zero, "_few": zero, "_bits": F.lit(None).cast("binary")}))
+    dealt = both.repartition(common.shuffle_width(spark), "sig").sortWithinPartitions("sig", "c", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def made(t: pa.Table) -> pa.RecordBatch:
+            sig, h, n, few = (t.column(k).to_numpy() for k in ("sig", "h", "_n", "_few"))
+            at = common.runs(sig)
+            size = np.diff(at)
+            head = np.repeat(at[:-1], size)  # the row of the set itself, with c = 0
+            alone = few[head] - (np.repeat(size, size) - 1)  # shingles of no other set
+            place = alone + np.arange(len(sig)) - head - 1
+            take = np.flatnonzero((np.arange(len(sig)) > head) & (place < prefix_size(n[head])))
+            bits = t.column("_bits").combine_chunks().take(pa.array(head[take]))
+            return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(sig[take]), pa.array(n[head[take]]), pa.array(place[take]), bits], [c.split()[0] for c in PREFIX.split(", ")])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            sig = rest.column("sig").to_numpy()
+            cut = int(common.runs(sig)[-2]) if len(sig) else 0
+            if cut:
+                yield made(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None and len(rest):
+            yield made(rest)
+
+    return last.unionByName(dealt.mapInArrow(run, PREFIX))
+
+
+def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bits: np.ndarray, full: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one shingle's sets of different components that their sizes, places and bitmaps allow: all of a few sets; of many, those
     with one of four centres, or (``full``) all."""
 
     def allowed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = np.minimum(np.minimum(n[i], n[j]), np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]))
         keep = 9 * most >= 4 * (n[i] + n[j])
         keep &= root[i] != root[j]
+        i, j = i[keep], j[keep]
+        keep = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
         return i[keep], j[keep]
 
     m = len(sig)
@@ -118,27 +239,24 @@ def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np
         yield allowed(i + a, j)
 
 
-def candidates(sets: DataFrame, second: bool) -> DataFrame:
-    """(a, b) of sets of different components that meet under a shingle; the first round leaves out pairs of crowded shingles."""
-    spark = sets.sparkSession
-    keyed = sets.select("_sig", "_n", "root", F.posexplode("_prefix").alias("place", "h")).select("h", "_sig", "_n", F.col("place").cast("long"), "root")
-    met = keyed.repartition(common.shuffle_width(spark), "h").sortWithinPartitions("h", "_sig")
+def candidates(prefix: DataFrame, second: bool) -> DataFrame:
+    """(a, b) of sets of different components that meet under a shingle of their prefixes (with ``root``); the first round leaves out
+    pairs of crowded shingles."""
+    met = prefix.select("h", "_sig", "_n", "place", "root", "_bits").repartition(common.shuffle_width(prefix.sparkSession), "h").sortWithinPartitions("h", "_sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 5), np.int64)
+        rest, rest_bits = np.zeros((0, 5), np.int64), np.zeros((0, BITS // 64), np.uint64)
 
-        def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def made(rows: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
             at = common.runs(rows[:, 0])
             size = np.diff(at)
-            two = at[:-1][size == 2]
-            two = two[rows[two, 4] != rows[two + 1, 4]]
-            out, held = [(rows[two, 1], rows[two + 1, 1])] if len(two) and not second else [], 0
-            for start, m in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            out, held = [], 0
+            for start, m in zip(at[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
                 g = rows[start : start + m]
                 if second and m <= FEW or (g[:, 4] == g[0, 4]).all():
                     continue
                 sig = np.ascontiguousarray(g[:, 1])
-                for i, j in pairs_of(int(g[0, 0]), sig, g[:, 2], g[:, 3], g[:, 4], second):
+                for i, j in pairs_of(int(g[0, 0]), sig, g[:, 2], g[:, 3], g[:, 4], bits[start : start + m], second):
                     out.append((sig[i], sig[j]))
                     held += len(i)
                     if held > CUT:
@@ -147,11 +265,14 @@ def candidates(sets: DataFrame, second: bool) -> DataFrame:
             yield batch_of(out)
 
         for batch in batches:
-            rows = np.vstack([rest, np.column_stack([batch.column(k).to_numpy() for k in range(5)])])
-            cut = common.runs(rows[:, 0])[-2] if len(rows) else 0
-            yield from made(rows[:cut])
-            rest = rows[cut:]
-        yield from made(rest)
+            if not len(batch):
+                continue
+            new = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(batch), -1)
+            rows, bits = np.vstack([rest, np.column_stack([batch.column(k).to_numpy() for k in range(5)])]), np.vstack([rest_bits, new])
+            cut = common.runs(rows[:, 0])[-2]
+            yield from made(rows[:cut], bits[:cut])
+            rest, rest_bits = rows[cut:], bits[cut:]
+        yield from made(rest, rest_bits)
 
     pairs = met.mapInArrow(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -194,16 +315,17 @@ def by_fingerprint(sets: DataFrame) -> tuple[DataFrame, list[str]]:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), [at, *paths]
 
 
-def links(rows: DataFrame, tag: str = "shingle") -> tuple[DataFrame, DataFrame]:
+def links(rows: DataFrame, seen: Broadcast, tag: str = "shingle") -> tuple[DataFrame, DataFrame]:
     """(node, root) over the hashes of sets that have a similar other one, and the links (a, b) these come from."""
     spark = rows.sparkSession
-    sets, scratch = common.materialise(rows.groupBy("_sig").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_fp").alias("_fp")), f"{tag}-sets")
+    sets, scratch = common.materialise(rows.groupBy("_sig").agg(*[F.first(c).alias(c) for c in ("_n", "_few", "_last", "_fp", "_bits")]), f"{tag}-sets")
+    prefix, at_prefix = common.materialise(prefixes(sets.where("_n > 0"), counted(rows, seen)), f"{tag}-prefix")
     roots, edges, scratch = None, None, [scratch]
     for step in ("fingerprints", "first", "second"):
         if step == "fingerprints":
             pairs, used = by_fingerprint(sets)
         else:
-            pairs, used = candidates(sets.join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").withColumn("root", F.coalesce("root", "_sig")), step == "second"), []
+            pairs, used = candidates(prefix.join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").withColumn("root", F.coalesce("root", "_sig")), step == "second"), []
         pairs, at = common.materialise(pairs, f"{tag}-pairs")
         common.discard(spark, *used)
         found, texts = verified(pairs, rows)
@@ -215,7 +337,7 @@ def links(rows: DataFrame, tag: str = "shingle") -> tuple[DataFrame, DataFrame]:
         edges = found
         roots, paths = simhash.components(edges, tag)
         scratch += [path, *paths]
-    common.discard(spark, scratch[0])
+    common.discard(spark, scratch[0], at_prefix)
     return roots, edges
 
 
@@ -224,8 +346,9 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and are copies of each other; repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    rows, at = common.materialise(signed_sets(docs.select(F.col("doc_id").cast("long"), "text")), "shingle-rows")
-    roots, _ = links(rows)
+    rows, seen = signed_sets(docs.select(F.col("doc_id").cast("long"), "text"))
+    rows, at = common.materialise(rows, "shingle-rows")
+    roots, _ = links(rows, seen)
     rooted = rows.select("doc_id", "_sig").join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").select("doc_id", F.coalesce("root", "_sig").alias("root"))
     rooted, _ = common.materialise(rooted, "shingle-rooted")
     common.discard(docs.sparkSession, at)

@@ -39,6 +39,28 @@ def test_links_against_brute_force(spark):
     assert shingles.grouped(docs.limit(0)).count() == 0
 
 
+def test_crowded_shingles(spark, monkeypatch):
+    """With counts that are held to three and no sample, the components are the same; bitmaps never differ in more than the sets do."""
+    import numpy as np
+
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(90)]
+    texts = [edited(rng, base, rng.randrange(1, 12)) for _ in range(60)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {r.doc_id: r.component_id for r in shingles.grouped(docs).collect()}
+    monkeypatch.setattr(shingles, "MANY", 3)
+    monkeypatch.setattr(shingles, "repeats", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert {r.doc_id: r.component_id for r in shingles.grouped(docs).collect()} == want
+    sets, label = [plain(t) for t in texts], list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert want == dict(enumerate(label))
+    for a, b in combinations([shingles.shingles(t) for t in texts[:20]], 2):
+        x, y = (int.from_bytes(shingles.parity(v), "big") for v in (a, b))
+        assert (x ^ y).bit_count() <= len(np.setxor1d(a, b))
+
+
 def test_second_round(spark):
     """Every centre's sets but one pair apart: what centres leave is compared in full."""
     common_part, rng = [f"c{i}" for i in range(12)], random.Random(6)
