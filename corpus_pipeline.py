@@ -28,8 +28,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are decided each by its own text, so that one that repeats an id, or has none, goes only with its own text's group. Null and empty
     texts are copies of each other; an empty table gives no rows; very long texts are compared whole.
     """
-    rows, _ = common.materialise(shingles.signed_sets(docs.withColumn("_row", F.monotonically_increasing_id())), "pipeline-rows")
-    roots, _ = shingles.links(rows)
+    rows, seen = shingles.signed_sets(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows, _ = common.materialise(rows, "pipeline-rows")
+    roots, _ = shingles.links(rows, seen)
     own = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("place"), "_sig")
     held, _ = common.materialise(own.join(roots.withColumnRenamed("node", "_sig"), "_sig", "left").select("_row", "place", F.coalesce("root", "_sig").alias("root")), "pipeline-held")
     least = held.groupBy("root").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1")
