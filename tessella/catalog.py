@@ -475,9 +475,9 @@ SELECT conv_id, turn, {f.format(1)}, {f.format(2)} FROM h"""
 
 @query(_rouge_sql())
 def overlap_by_ngrams(spark, d):
-    a, b = overlap.words(F.col("text")), overlap.words(F.col("answer"))
-    rows = answered(spark, d).select("conv_id", "turn", overlap.rouge_n(a, b, 1).alias("rouge_1"), overlap.rouge_n(a, b, 2).alias("rouge_2"))
-    return rows.where("rouge_1 IS NOT NULL")
+    a, b = F.col("a"), F.col("b")
+    rows = overlap.cut(answered(spark, d).where("answer IS NOT NULL"), a=F.col("text"), b=F.col("answer")).where("size(a) > 0 AND size(b) > 0")
+    return rows.select("conv_id", "turn", overlap.rouge_n(a, b, 1).alias("rouge_1"), overlap.rouge_n(a, b, 2).alias("rouge_2"))
 
 
 @query()

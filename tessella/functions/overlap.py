@@ -27,6 +27,9 @@ def words(text: Column) -> Column:
 def _grams(own: Column, n: int) -> Column:
     if n == 1:
         return F.array_distinct(own)
+    if n == 2:
+        most = F.greatest(F.size(own) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(own, 1, most), F.slice(own, 2, most), lambda a, b: F.concat_ws(" ", a, b)))
     starts = F.sequence(F.lit(1), F.greatest(F.size(own) - n + 1, F.lit(1)))
     return F.when(F.size(own) >= n, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(own, i, n), " ")))).otherwise(F.array().cast("array<string>"))
 
@@ -37,12 +40,17 @@ def _f(hits: Column, predicted: Column, wanted: Column) -> Column:
 
 
 def rouge_n(predicted: Column, wanted: Column, n: int = 1) -> Column:
-    """ROUGE-n of two arrays of words."""
+    """ROUGE-n of two arrays of words: columns of their own, as each is used several times (see ``cut``)."""
     a, b = _grams(predicted, n), _grams(wanted, n)
     score = F.round(_f(F.size(F.array_intersect(a, b)), F.size(a), F.size(b)) * 100, 4)
     return F.when((F.size(predicted) > 0) & (F.size(wanted) > 0), score)
 
 
+def cut(rows: DataFrame, **texts: Column) -> DataFrame:
+    """The rows with the words of each text as a column; computed once, where an expression would be at every use."""
+    return rows.withColumns({name: words(t) for name, t in texts.items()})
+
+
 def common_words(a: list[str], b: list[str]) -> set[str]:
     """Words of one longest common subsequence: bits of a row say where the length does not grow; the last match wins."""
     places: dict[str, int] = {}
@@ -112,7 +120,8 @@ def bleu_4(predicted: Column, wanted: Column) -> Column:
 def overlaps(rows: DataFrame, predicted: str = "predict", wanted: str = "labels") -> DataFrame:
     """The rows with rouge_1, rouge_2, rouge_l and bleu_4."""
     a, b = F.col(predicted), F.col(wanted)
-    return rows.withColumns({"rouge_1": rouge_n(words(a), words(b), 1), "rouge_2": rouge_n(words(a), words(b), 2), "rouge_l": rouge_l(a, b), "bleu_4": bleu_4(a, b)})
+    x, y = F.col("_a"), F.col("_b")
+    return cut(rows, _a=a, _b=b).withColumns({"rouge_1": rouge_n(x, y, 1), "rouge_2": rouge_n(x, y, 2), "rouge_l": rouge_l(a, b), "bleu_4": bleu_4(a, b)}).drop("_a", "_b")
 
 
 def means(scored: DataFrame, *keys: str) -> DataFrame:

@@ -50,10 +50,15 @@ def p_value(t: Column, df: Column) -> Column:
     return of(t, df)
 
 
-def t_critical(n: Column, most: int = 200, confidence: float = 0.95) -> Column:
-    """Critical value for n values: from a table, beyond ``most`` degrees of freedom the table's last."""
-    values = F.lit([critical(d, confidence) for d in range(1, most + 1)])
-    return F.element_at(values, F.least(F.greatest(n - 1, F.lit(1)), F.lit(most)).cast("int"))
+def t_critical(n: Column, confidence: float = 0.95) -> Column:
+    """Critical value for the mean of n values; null below two. Rows here are groups of a report."""
+
+    @F.pandas_udf("double")
+    def of(n: pd.Series) -> pd.Series:
+        known = {int(x): critical(int(x) - 1, confidence) for x in n.dropna().unique() if x > 1}
+        return n.map(known).astype("float64")
+
+    return of(n)
 
 
 def margin(n: Column, sd: Column, confidence: float = 0.95) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-CRITICAL, OVERALL, MIN_PASS = 0.70, 0.70, 0.25
+# Thresholds, histogram edges, the score of ungraded revisions, subjects with methods to branch on.
+CRITICAL, OVERALL, MIN_PASS, UNGRADED = 0.70, 0.70, 0.25, 0.80
 #: Upper edges of the score histogram; a score falls to the first edge that is not below it.
 EDGES = [0.80, 0.85, 0.90, 0.95, 1.00]
 BRANCHING_SUBJECTS = ["Calculus", "Physics"]
@@ -30,6 +31,11 @@ def branched_grid(samples: DataFrame, personas: DataFrame, methods: DataFrame, v
     return out.withColumn("method_description", F.when(F.col("method_constraint").isNotNull(), described)).drop("student_method", "alternative_methods", "should_branch", "student_method_description")
 
 
+def branching(samples: DataFrame, subjects: list[str] = BRANCHING_SUBJECTS) -> DataFrame:
+    """Samples of subjects whose methods are analysed for alternatives."""
+    return samples.where(F.col("subject").isin(subjects))
+
+
 def resumed(tasks: DataFrame, done: DataFrame, key: list[str] = FULL_KEY) -> DataFrame:
     return tasks.join(done.select(*key).distinct(), key, "left_anti")
 
@@ -86,7 +92,7 @@ def revision_tasks(responses: DataFrame, **limits) -> DataFrame:
 
 def combined(graded: DataFrame, revised: DataFrame) -> DataFrame:
     """Originals and revisions; revisions carry placeholder scores, as they are not graded again."""
-    marks = {"weighted_score": F.lit(0.80), "pass_rate": F.lit(0.80), "critical_pass_rate": F.lit(0.80), "is_high_quality": F.lit(True), "is_revision": F.lit(True)}
+    marks = {"weighted_score": F.lit(UNGRADED), "pass_rate": F.lit(UNGRADED), "critical_pass_rate": F.lit(UNGRADED), "is_high_quality": F.lit(True), "is_revision": F.lit(True)}
     return graded.unionByName(revised.withColumns(marks), allowMissingColumns=True)
 
 
@@ -134,8 +140,9 @@ def filter_statistics(evaluated: DataFrame, threshold: float = 0.80) -> DataFram
     """Kept share (strictly above the threshold), quality histogram over 1 to 5, and the first ten strengths in order."""
     ok = F.col("critical_pass_rate") > threshold
     marks = [F.count_if(F.col("overall_quality_score") == q).alias(f"quality_{q}") for q in range(1, 6)]
-    strengths = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("strengths")))), 1, 10)
-    return evaluated.agg(F.count("*").alias("n_total"), F.count_if(ok).alias("n_kept"), (F.count_if(ok) / F.nullif(F.count("*"), F.lit(0))).alias("keep_rate"), F.avg("critical_pass_rate").alias("mean_critical"), F.avg("overall_quality_score").alias("mean_quality"), *marks, strengths.alias("common_strengths"))
+    strengths = evaluated.select(F.explode("strengths").alias("s")).distinct().orderBy("s").limit(10).agg(F.array_sort(F.collect_list("s")).alias("common_strengths"))
+    one = evaluated.agg(F.count("*").alias("n_total"), F.count_if(ok).alias("n_kept"), (F.count_if(ok) / F.nullif(F.count("*"), F.lit(0))).alias("keep_rate"), F.avg("critical_pass_rate").alias("mean_critical"), F.avg("overall_quality_score").alias("mean_quality"), *marks)
+    return one.join(strengths)  # one row each
 
 
 def leaderboard(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,11 +8,17 @@ on the pair table in rounds: a row is kept once all similar rows before it are r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import staged
 
+#: Vectors of a term that meet in one task, and those that are multiplied at once.
+BLOCK, TILE = 2048, 512
 #: Words left out of the vocabulary: a short list of function words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "she", "that", "the", "they", "this", "to", "was", "we", "were", "will", "with", "you"]
 
@@ -36,14 +42,69 @@ def vectors(docs: DataFrame, max_features: int = 5000, text: str = "text", pos:
 
 
 def similar_pairs(weights: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """(i, j, similarity) with j < i and similarity at least the threshold."""
+    """(i, j, similarity) with j < i and similarity at least the threshold.
+
+    Whole vectors, of some hundred terms, go to the terms of their prefixes, where they are multiplied block against block; only pairs at the
+    threshold leave a task. A term of more than ``BLOCK`` vectors is dealt out as pairs of blocks.
+    """
     rest = Window.partitionBy("pos").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    prefix = weights.withColumn("left", F.sum(F.col("w") ** 2).over(rest)).where(F.col("left") >= threshold**2 - 1e-9).select("pos", "term")
-    a, b = prefix.select(F.col("pos").alias("i"), "term"), prefix.select(F.col("pos").alias("j"), "term")
-    pairs = a.join(b, "term").where("j < i").select("i", "j").distinct()
-    x, y = weights.select(F.col("pos").alias("i"), "term", F.col("w").alias("x")), weights.select(F.col("pos").alias("j"), "term", F.col("w").alias("y"))
-    sims = pairs.join(x, "i").join(y, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
-    return sims.where(F.col("similarity") >= threshold)
+    ranked = weights.withColumn("left", F.sum(F.col("w") ** 2).over(rest)).withColumn("first", F.col("left") >= threshold**2 - 1e-9)
+    names = ranked.groupBy("term").agg(F.count_if("first").alias("n")).orderBy("term").collect()  # at most max_features rows
+    numbers = {r.term: k for k, r in enumerate(names)}
+    number = F.broadcast(weights.sparkSession.createDataFrame([(t, k, -(-names[k].n // BLOCK)) for t, k in numbers.items()], "term string, number int, blocks int"))
+    rows = ranked.join(number, "term").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("number", "w"))).alias("v"), F.collect_list(F.when(F.col("first"), F.struct("number", "blocks"))).alias("prefix"))
+    own = F.pmod(F.xxhash64("pos"), F.col("at.blocks").cast("long")).cast("int")
+    sent = rows.select("pos", "v", F.explode("prefix").alias("at")).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)))
+    keyed = sent.select(F.col("at.number").alias("number"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("pos").cast("long").alias("pos"), F.col("v.number").alias("t"), F.col("v.w").alias("w"))
+    # Posting lists are work of their own weight; many partitions deal it out evenly.
+    dealt = keyed.repartition("number", "lo", "hi").sortWithinPartitions("number", "lo", "hi", "block", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        here = None
+
+        def pairs() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            pos, block = t.column("pos").to_numpy(), t.column("block").to_numpy()
+            lists = t.column("t").combine_chunks()
+            row = np.repeat(np.arange(len(pos)), np.diff(lists.offsets.to_numpy()))
+            terms, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            w = t.column("w").combine_chunks().flatten().to_numpy()
+            out = []
+            cut = int(np.searchsorted(block, here[2])) if here[1] != here[2] else len(pos)
+            left, right = np.arange(cut), np.arange(cut if here[1] != here[2] else 0, len(pos))
+            for a in range(0, len(left), TILE):
+                x = left[a : a + TILE]
+                for b in range(0, len(right), TILE):
+                    y = right[b : b + TILE]
+                    both = []
+                    for part in (x, y):
+                        m = np.zeros((len(part), len(terms)))
+                        of = (row >= part[0]) & (row <= part[-1])
+                        m[row[of] - part[0], column[of]] = w[of]
+                        both.append(m)
+                    s = both[0] @ both[1].T
+                    i, j = np.nonzero(s >= threshold - 1e-9)
+                    p, q = pos[x[i]], pos[y[j]]
+                    keep = p != q if here[1] != here[2] else p < q
+                    out.append((np.maximum(p, q)[keep], np.minimum(p, q)[keep], s[i, j][keep]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*(o[k] for o in out), np.zeros(0, d)]).astype(d)) for k, d in enumerate((np.int64, np.int64, np.float64))], ["i", "j", "similarity"])
+
+        for b in batches:
+            keys = np.column_stack([b.column(k).to_numpy() for k in range(3)]) if len(b) else np.zeros((0, 3), int)
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for s, e in zip(cut, cut[1:]):  # noqa: B905
+                if here != tuple(keys[s]):
+                    if held:
+                        yield pairs()
+                    held, here = [], tuple(keys[s])
+                held.append(b.slice(s, e - s))
+        if held:
+            yield pairs()
+
+    found = dealt.mapInArrow(run, "i long, j long, similarity double")
+    # A pair is met under each prefix term it shares, with sums that may differ in the last bits.
+    return found.groupBy("i", "j").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -61,7 +122,7 @@ def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = 0.90, text: str = "text", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
     """Kept rows, and (removed, kept, similarity) with the most similar kept row (ties to the first) for each removed one."""
     rows = docs.select(F.col(pos).alias("pos"), F.coalesce(text, F.lit("")).alias("text"))
-    first = staged(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("pos").alias("pos"), F.collect_list("pos").alias("all")), "dedup-first")
+    first = staged(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("pos").alias("pos"), F.count("*").alias("copies")), "dedup-first")
     weights = staged(vectors(rows, text="text"), "dedup-vectors")  # statistics count every copy
     own = weights.join(first.select("pos"), "pos", "left_semi")
     pairs = staged(similar_pairs(own, threshold), "dedup-pairs")
@@ -70,7 +131,8 @@ def deduplicated(docs: DataFrame, threshold: float = 0.90, text: str = "text", p
     to_kept = pairs.join(kept.withColumnRenamed("pos", "j"), "j").join(state.where("NOT kept").select(F.col("pos").alias("i")), "i")
     best = to_kept.groupBy("i").agg(F.max_by(F.struct("j", "similarity"), F.struct("similarity", -F.col("j"))).alias("b")).select(F.col("i").alias("removed"), F.col("b.j").alias("kept"), "b.similarity")
     has = weights.select("pos").distinct()
-    copies = first.join(has, "pos", "left_semi").where(F.size("all") > 1).select("pos", F.explode("all").alias("removed")).where("removed <> pos")
+    several = first.join(has, "pos", "left_semi").where("copies > 1").select("h", "pos")
+    copies = rows.select(F.sha2("text", 256).alias("h"), F.col("pos").alias("removed")).join(several, "h").where("removed <> pos").drop("h")
     target = copies.join(best.select(F.col("removed").alias("pos"), "kept", "similarity"), "pos", "left").select("removed", F.coalesce("kept", "pos").alias("kept"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     log = best.unionByName(target)
     return docs.join(log.select(F.col("removed").alias(pos)), pos, "left_anti"), log

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..operators import curation, dedup, dialogue, rubrics
+from ..operators.staging import staged
 
 
 def evaluated(samples: DataFrame, call: providers.Call, judge: providers.Call | None = None) -> DataFrame:
-    """Samples with response, ratings and scores. Failed responses stay with score 0."""
+    """Samples with response, ratings and scores. Failed responses stay with score 0. The model is called once for each sample."""
     said = providers.respond(samples, call)
     empty = {"weighted_score": 0.0, "pass_rate": 0.0, "critical_pass_rate": 1.0}
     scores = {k: F.coalesce(c, F.lit(empty[k])) for k, c in rubrics.array_scores(F.col("ratings")).items()}
@@ -43,18 +44,20 @@ def comparison(baseline: DataFrame, variant: DataFrame, multi: bool) -> DataFram
 
 def graded(responses: DataFrame, keyed_rubrics: DataFrame, judge: providers.Call | None = None) -> DataFrame:
     """Responses whose sample has rubrics, with ratings, scores and threshold flags."""
-    ready = responses.join(keyed_rubrics, "sample_id").where(F.size("rubrics") > 0).withColumn("sample_id", F.concat_ws("\x1f", "sample_id", "persona_name", F.col("variation_idx").cast("string")))
-    scored = providers.judged(ready, judge).withColumns(rubrics.array_scores(F.col("ratings"))).withColumn("sample_id", F.split_part("sample_id", F.lit("\x1f"), F.lit(1)))
+    ready = responses.join(keyed_rubrics, "sample_id").where(F.size("rubrics") > 0)
+    scored = providers.judged(ready, judge).withColumns(rubrics.array_scores(F.col("ratings")))
     a, b = curation.passes()
     return scored.withColumns({"passes_critical_threshold": a, "passes_overall_threshold": b, "is_high_quality": a & b})
 
 
 def curated(graded_rows: DataFrame, revise: providers.Call | None = None, threshold: float = 0.90) -> tuple[DataFrame, DataFrame]:
-    """Filter, revise the shortfall, unite, remove near-duplicates: kept rows and the duplicate log. Rows carry ``pos``."""
+    """Filter, revise the shortfall, unite, remove near-duplicates: kept rows and the duplicate log. Rows carry ``pos``.
+
+    Revisions are written before they are compared, so that each is generated once and the kept text is the one compared."""
     kept = curation.filtered(graded_rows)
     if revise is not None:
         tasks = curation.revision_tasks(graded_rows).withColumns({"system_prompt": F.lit("revise"), "messages": F.array(F.struct(F.lit("user").alias("role"), F.col("response").alias("content")))}).withColumnRenamed("response", "original_response")
-        revised = providers.respond(tasks, revise).where(F.length("response") > 0).drop("system_prompt", "messages", "error")
+        revised = staged(providers.respond(tasks, revise), "revised").where(F.length("response") > 0).drop("system_prompt", "messages", "error")
         kept = curation.combined(kept, revised.select(*[c for c in revised.columns if c in graded_rows.columns or c == "original_response"]).withColumn("pos", F.col("pos") + F.lit(1 << 40)))
     return dedup.deduplicated(kept, threshold, "response")
 

@@ -116,19 +116,25 @@ def respond(samples: DataFrame, call: Call, rate: float | None = None, concurren
 
 
 def judged(responses: DataFrame, judge: Call | None) -> DataFrame:
-    """``ratings``: the rubrics of each row with passed and explanation; without a judge all pass, a failed call fails the rubric."""
+    """``ratings``: the rubrics of each row with passed and explanation; without a judge all pass, a failed call fails the rubric.
+
+    Rows are rated each on their own, whatever ids they repeat. The responses are written before they are judged, and the verdicts before
+    they are gathered, so that a response is judged as it stays and every call is made once.
+    """
     from .functions import text
+    from .operators.staging import staged
 
+    responses = staged(responses.withColumn("_row", F.monotonically_increasing_id()), "responses")
     exploded = responses.select("*", F.posexplode("rubrics").alias("_i", "_r"))
     if judge is None:
         rated = exploded.withColumn("_v", F.struct(F.lit(True).alias("passed"), F.lit("mock").alias("explanation")))
     else:
         asked = exploded.withColumns({"system_prompt": F.lit(""), "messages": F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("Criterion: "), "_r.criterion", F.lit("\nResponse: "), "response").alias("content")))}).drop("error").withColumnRenamed("response", "_response")
-        said = respond(asked, judge)
+        said = staged(respond(asked, judge), "verdicts")
         rated = said.withColumn("_v", F.when(F.col("error").isNull(), text.judgement(F.col("response"))).otherwise(F.struct(F.lit(False).alias("passed"), F.col("error").alias("explanation"))))
     item = F.struct("_i", F.col("_r.criterion").alias("criterion"), F.col("_r.weight").alias("weight"), F.col("_r.evaluation_dimension").alias("evaluation_dimension"), F.col("_r.tutoring_skill").alias("tutoring_skill"), F.col("_v.passed").alias("passed"), F.col("_v.explanation").alias("explanation"))
-    grouped = rated.groupBy("sample_id").agg(F.array_sort(F.collect_list(item)).alias("ratings"))
-    return responses.join(grouped, "sample_id", "left")
+    grouped = rated.groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("ratings"))
+    return responses.join(grouped, "_row", "left").drop("_row")
 
 
 def best_of(call: Call, select: Callable[[list[str]], int], n: int) -> Call:
