@@ -394,7 +394,7 @@ def mastery_fold(spark, d):
 
 PAIRS = "q AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)"
 IDS = "i AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda c: unicode(c)) AS a, list_transform(string_split(answer, ''), lambda c: unicode(c)) AS b FROM q WHERE text <> '' AND answer <> '')"
-MASKED = f"""{PAIRS}, {IDS}, k AS (SELECT conv_id, turn, a[1:64] AS a, list_concat(b[1:32], [2]) AS b FROM i), z AS (SELECT *, list_transform(range(97 - len(a) - len(b)), lambda x: 0) AS fill FROM k),
+MASKED = f"""{PAIRS}, {IDS}, k AS (SELECT conv_id, turn, a[1:1024] AS a, list_concat(b[1:256], [2]) AS b FROM i), z AS (SELECT *, list_transform(range(1281 - len(a) - len(b)), lambda x: 0) AS fill FROM k),
 tr AS (SELECT conv_id, turn, list_concat(list_concat(a, b), fill) AS input_ids, list_concat(list_concat(list_transform(a, lambda x: -100), b), list_transform(fill, lambda x: -100)) AS labels, len(a) + len(b) AS n FROM z)"""
 JOINED = "md5(array_to_string({0}, ' '))"
 
@@ -408,7 +408,7 @@ def code_points(c: str):
     return F.transform(F.split(c, ""), lambda x: F.ascii(x))
 
 
-def training(spark: SparkSession, d: str, max_source: int = 64, max_target: int = 32) -> DataFrame:
+def training(spark: SparkSession, d: str, max_source: int = 1024, max_target: int = 256) -> DataFrame:
     ids, labels = tuning.training_ids(code_points("text"), code_points("answer"), 2, 0, max_source, max_target)
     return answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer"))).select("conv_id", "turn", ids.alias("input_ids"), labels.alias("labels"))
 
@@ -428,28 +428,8 @@ def collated_rows(spark, d):
     return out.select("conv_id", "turn", F.size("input_ids").alias("width"), digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
 
 
-@query()
-def masked_training_rows_whole(spark, d):
-    """As masked_training_rows, at the reference's 1024 and 256."""
-    return training(spark, d, 1024, 256).select("conv_id", "turn", digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
-
-
-@query()
-def collated_rows_whole(spark, d):
-    """As collated_rows, at the reference's 1024 and 256."""
-    out = tuning.collated(training(spark, d, 1024, 256), "conv_id", 0)
-    return out.select("conv_id", "turn", F.size("input_ids").alias("width"), digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
-
-
-@query(f"WITH {PAIRS}, {IDS}, k AS (SELECT conv_id, turn, a[1:50] AS a, 64 - len(a[1:50]) AS gap FROM i) SELECT conv_id, turn, md5(repeat('0 ', gap) || array_to_string(a, ' ')) AS input_ids, md5(repeat('0 ', gap) || array_to_string(list_transform(a, lambda x: 1), ' ')) AS attention_mask, md5(repeat('0 ', gap) || array_to_string(range(len(a)), ' ')) AS position_ids FROM k")
+@query(f"WITH {PAIRS}, {IDS}, k AS (SELECT conv_id, turn, a, CAST(ceil(max(len(a)) OVER (PARTITION BY conv_id) / 16.0) AS INT) * 16 - len(a) AS gap FROM i) SELECT conv_id, turn, md5(repeat('0 ', gap) || array_to_string(a, ' ')) AS input_ids, md5(repeat('0 ', gap) || array_to_string(list_transform(a, lambda x: 1), ' ')) AS attention_mask, md5(repeat('0 ', gap) || array_to_string(range(len(a)), ' ')) AS position_ids FROM k")
 def left_padded_rows(spark, d):
-    rows = answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer")))
-    padded = rows.select("conv_id", "turn", tuning.left_padded(F.slice(code_points("text"), 1, 50), F.lit(60), 0, 16).alias("p"))
-    return padded.select("conv_id", "turn", *[digest(F.col(f"p.{c}")).alias(c) for c in ("input_ids", "attention_mask", "position_ids")])
-
-
-@query()
-def left_padded_rows_whole(spark, d):
     """Whole texts, padded to the longest of their conversation, rounded up to 16."""
     rows = answered(spark, d).where(tuning.usable(F.col("text"), F.col("answer"))).withColumn("ids", code_points("text"))
     longest = F.max(F.size("ids")).over(dialogue.Window.partitionBy("conv_id"))
@@ -485,14 +465,8 @@ def overlap_means(spark, d):
     return overlap.means(overlap.overlaps(answered(spark, d).where("answer IS NOT NULL"), "text", "answer"), "role")
 
 
-@query(f"WITH {PES}, {PESV} SELECT name, md5('Evaluation of ' || name || chr(10) || printf('PES %.2f: %s', pes_score, pes_category)) AS head_md5 FROM c")
-def pes_reports(spark, d):
-    pages = dialogue.pes_report(dialogue.pes(judged_parts(spark, d)))
-    return pages.select("name", F.md5(F.substring_index("report", "\n", 2).cast("binary")).alias("head_md5"))
-
-
 @query()
-def pes_reports_whole(spark, d):
-    """As pes_reports, over the whole report."""
+def pes_reports(spark, d):
+    """Digests of whole reports."""
     pages = dialogue.pes_report(dialogue.pes(judged_parts(spark, d)))
     return pages.select("name", F.md5(F.col("report").cast("binary")).alias("report_md5"))

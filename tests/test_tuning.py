@@ -112,13 +112,13 @@ def test_whole_rows(spark, tmp_path):
         a, b = [ord(k) for k in x][:1024], [ord(k) for k in y][:256] + [2]
         fill = 1281 - len(a) - len(b)
         ids[c, t], labels[c, t] = a + b + [0] * fill, [-100] * len(a) + b + [-100] * fill
-    got = catalog.masked_training_rows_whole(spark, str(tmp_path)).collect()
+    got = catalog.masked_training_rows(spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): (r.input_ids, r.labels) for r in got} == {k: (digest(ids[k]), digest(labels[k])) for k in ids}
     # The end of a row is its first 0 here, 2 or more ids before it; the longest of a conversation is the width.
     width = {c: max(len(ids[k]) - ids[k][::-1].index(next(i for i in reversed(ids[k]) if i)) for k in ids if k[0] == c) for c in "cd"}
-    got = catalog.collated_rows_whole(spark, str(tmp_path)).collect()
+    got = catalog.collated_rows(spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): (r.width, r.input_ids, r.labels) for r in got} == {k: (width[k[0]], digest(ids[k][: width[k[0]]]), digest(labels[k][: width[k[0]]])) for k in ids}
-    got = catalog.left_padded_rows_whole(spark, str(tmp_path)).collect()
+    got = catalog.left_padded_rows(spark, str(tmp_path)).collect()
     want = {}
     for c, t, x, _ in rows:
         gap = -(-max(len(u) for d, _, u, _ in rows if d == c) // 16) * 16 - len(x)
@@ -136,5 +136,5 @@ def test_whole_report_is_digested(spark, monkeypatch):
     monkeypatch.setattr(catalog, "judged_parts", lambda spark, d: scores)
     pages = {r.name: r.report for r in dialogue.pes_report(dialogue.pes(scores)).collect()}
     assert all(p.rstrip().endswith(f"icap: {n}/5") for p, n in ((pages["one"], 5), (pages["two"], 1)))
-    got = {r.name: r.report_md5 for r in catalog.pes_reports_whole(spark, "").collect()}
+    got = {r.name: r.report_md5 for r in catalog.pes_reports(spark, "").collect()}
     assert got == {k: hashlib.md5(p.encode()).hexdigest() for k, p in pages.items()}
