@@ -368,22 +368,6 @@ def sample_sizes(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT c_mktsegment, least(10, count(*)) AS n FROM customer GROUP BY 1")
-def balanced_sample(spark, d):
-    return sampling.balanced(table(spark, d, "customer"), "c_mktsegment", "c_custkey", "fixed", 10).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-
-
-@query("""WITH c AS (SELECT c_mktsegment AS s, count(*) AS n, sum(count(*)) OVER () AS total FROM customer GROUP BY 1), q AS (SELECT s, n, CAST(floor(n * 100 / CAST(total AS DOUBLE)) AS BIGINT) AS q, n * 100 / CAST(total AS DOUBLE) - floor(n * 100 / CAST(total AS DOUBLE)) AS f FROM c),
-k AS (SELECT s, n, q + CASE WHEN row_number() OVER (ORDER BY f DESC, s) <= 100 - sum(q) OVER () THEN 1 ELSE 0 END AS t FROM q) SELECT s AS c_mktsegment, 'test' AS split, t AS n FROM k WHERE t > 0 UNION ALL SELECT s, 'train', n - t FROM k""")
-def stratified_split(spark, d):
-    return sampling.stratified_split(table(spark, d, "customer"), "c_mktsegment", "c_custkey", 100).groupBy("c_mktsegment", "split").agg(F.count("*").alias("n"))
-
-
-@query("SELECT 'test' AS split, least(100, count(*)) AS n FROM orders UNION ALL SELECT 'valid', greatest(0, least(2000, count(*)) - 1000) FROM orders UNION ALL SELECT 'train', greatest(0, count(*) - 2000) FROM orders")
-def positional_split(spark, d):
-    return sampling.positional_split(table(spark, d, "orders"), "o_orderkey").groupBy("split").agg(F.count("*").alias("n"))
-
-
 @query()
 def mastery_fold(spark, d):
     acts = turns(spark, d).where("speaker = 'tutor'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "action_type"))), lambda x: x["action_type"]).alias("actions"))

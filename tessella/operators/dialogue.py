@@ -138,6 +138,20 @@ def pes_summary(scored: DataFrame) -> DataFrame:
     return rows.select("pes_category", "n", (F.col("n") * 100 / F.sum("n").over(whole)).alias("share"), (F.sum("s").over(whole) / F.sum("n").over(whole)).alias("avg_pes"), F.min("lo").over(whole).alias("min_pes"), F.max("hi").over(whole).alias("max_pes"))
 
 
+def judged_well(scored: DataFrame, error: str = "Error") -> DataFrame:
+    """Rows of a batch whose evaluation did not fail."""
+    return scored.where(F.col("pes_category") != error)
+
+
+def episode_record(episodes: DataFrame, turns: DataFrame, key: str = "episode_id", pos: str = "turn_index") -> DataFrame:
+    """One nested record an episode: agent, task, student, its turns in order, metrics, scores and quiz results."""
+    told = turns.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "speaker", "utterance"))), lambda t: t).alias("turns"))
+    agent, student, task = (F.struct(F.col(c).alias(n)).alias(s) for c, n, s in (("agent_type", "type", "agent"), ("student_persona", "persona", "student"), ("task_id", "id", "task")))
+    quiz = F.struct(F.col("pre_quiz_score").alias("pre"), F.col("post_quiz_score").alias("post"), "learning_gain").alias("quiz")
+    scores = F.struct(*[c for c in ("pedagogy_score", "learning_score", "quality_score", "total_score") if c in episodes.columns]).alias("scores")
+    return episodes.join(told, key, "left").select(key, agent, task, student, F.coalesce("turns", F.array()).alias("turns"), "metrics", scores, quiz)
+
+
 def damr(actual: Column, desired: Column) -> Column:
     """Desired entries matched, in percent to two places; 0 if either map is empty."""
     hits = F.size(F.filter(F.map_entries(desired), lambda e: F.coalesce(F.try_element_at(actual, e["key"]) == e["value"], F.lit(False))))

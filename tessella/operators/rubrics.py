@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
@@ -111,6 +111,23 @@ def breakdowns(results: DataFrame, keys: list[str]) -> DataFrame:
     return run_summary(exploded.where("b.key IS NOT NULL").select("b.*", "weighted_score", "pass_rate", "n_rubrics"), "breakdown", "key")
 
 
+def ordered(report: DataFrame, value: str, *keys: str) -> DataFrame:
+    """The rows of a report (a row for each key) with ``place``: by falling value, ties by key."""
+    return report.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(value), *keys)))
+
+
+def worst(results: DataFrame, k: int = 5, score: str = "weighted_score", pos: str = "sample_id") -> DataFrame:
+    """The k lowest scores, ties by position."""
+    return results.orderBy(score, pos).limit(k)
+
+
+def summary_page(report: DataFrame, k: int = 5) -> DataFrame:
+    """(breakdown, page): the lines of a run's summary, best first, of a report as ``breakdowns`` gives it."""
+    line = F.format_string("%s: %.2f%% over %d samples", F.col("key"), F.col("overall_score") * 100, F.col("n_samples"))
+    rows = report.groupBy("breakdown").agg(F.array_sort(F.collect_list(F.struct((-F.col("overall_score")).alias("o"), F.col("key"), line.alias("line")))).alias("l"))  # closed sets of keys
+    return rows.select("breakdown", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("page"))
+
+
 def with_metadata(results: DataFrame, samples: DataFrame, how: str = "left") -> DataFrame:
     """Results with their sample's columns; of repeated sample ids the last row (by ``pos``) counts."""
     last = samples.groupBy("sample_id").agg(F.max_by(F.struct(*[c for c in samples.columns if c != "sample_id"]), "pos").alias("_s")).select("sample_id", "_s.*")

@@ -8,8 +8,30 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 
+#: Hash order is ranked within so many slots (hexadecimal digits of the hash), so that no task ranks a whole group.
+DIGITS = 4
+
+
 def order(key: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    return [F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")).cast("binary")), F.col(key)]
+
+
+def first_of(rows: DataFrame, group: str, key: str, targets: DataFrame, seed: int) -> DataFrame:
+    """The rows with ``_in``: whether they are among the first ``_target`` of their group in hash order.
+
+    ``targets`` (group, _target) has a row for each group. Slots before the one in which the target falls are in whole, slots behind
+    it out; only rows of that slot are ranked.
+    """
+    slotted = rows.withColumn("_slot", F.substring(order(key, seed)[0], 1, DIGITS))
+    sofar = Window.partitionBy(group).orderBy("_slot")  # at most 16 ** DIGITS rows for each group
+    counts = slotted.groupBy(group, "_slot").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(sofar) - F.col("_n"))
+    edges = counts.join(F.broadcast(targets), group).where("_before < _target AND _before + _n >= _target").select(group, F.col("_slot").alias("_edge"), (F.col("_target") - F.col("_before")).alias("_rest"))
+    known = slotted.join(F.broadcast(targets), group, "left").join(F.broadcast(edges), group, "left")  # a row for each group
+    at = F.col("_slot") == F.col("_edge")
+    place = F.row_number().over(Window.partitionBy(group, F.when(at, F.col("_slot")), F.when(~F.coalesce(at, F.lit(False)), F.col(key))).orderBy(*order(key, seed)))
+    whole = F.coalesce(F.col("_target"), F.lit(0)) > 0
+    # Without an edge the group is smaller than its target.
+    return known.withColumn("_in", whole & F.when(F.col("_edge").isNull(), True).when(at, place <= F.col("_rest")).otherwise(F.col("_slot") < F.col("_edge"))).drop("_slot", "_target", "_edge", "_rest")
 
 
 def seeded_take(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -40,9 +62,8 @@ def sizes(counts: DataFrame, mode: str, amount: float, include: list[str] | None
 
 
 def balanced(rows: DataFrame, category: str, key: str, mode: str, amount: float, seed: int = 42, **filters) -> DataFrame:
-    plan = sizes(rows.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("available")), mode, amount, **filters).select(F.col("category").alias(category), "target")
-    place = F.row_number().over(Window.partitionBy(category).orderBy(*order(key, seed)))
-    return rows.join(F.broadcast(plan), category).withColumn("_n", place).where("_n <= target").drop("_n", "target")  # a row for each category
+    plan = sizes(rows.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("available")), mode, amount, **filters).select(F.col("category").alias(category), F.col("target").alias("_target"))
+    return first_of(rows, category, key, plan, seed).where("_in").drop("_in")
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, n_test: int, seed: int = 42) -> DataFrame:
@@ -52,9 +73,8 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, n_test: int, seed:
     exact = F.col("n") * n_test / F.sum("n").over(whole)
     shares = counts.withColumns({"_q": F.floor(exact), "_f": exact - F.floor(exact)})
     left = F.lit(n_test) - F.sum("_q").over(whole)
-    shares = shares.withColumn("_test", F.col("_q") + (F.row_number().over(whole.orderBy(F.desc("_f"), stratum)) <= left).cast("long")).select(stratum, "_test")
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*order(key, seed)))
-    return rows.join(F.broadcast(shares), stratum).withColumn("split", F.when(place <= F.col("_test"), "test").otherwise("train")).drop("_test")
+    shares = shares.withColumn("_test", F.col("_q") + (F.row_number().over(whole.orderBy(F.desc("_f"), stratum)) <= left).cast("long")).select(stratum, F.col("_test").alias("_target"))
+    return first_of(rows, stratum, key, shares, seed).withColumn("split", F.when(F.col("_in"), "test").otherwise("train")).drop("_in")
 
 
 def positional_split(rows: DataFrame, key: str, seed: int = 42, test: tuple[int, int] = (0, 100), valid: tuple[int, int] = (1000, 2000)) -> DataFrame:

@@ -80,3 +80,12 @@ def collated(rows: DataFrame, batch: str, pad: int, ids: str = "input_ids", labe
     """Ids and labels cut to the longest effective length of their batch. Batches are small; each is one window."""
     longest = F.max(effective_length(F.col(ids), pad)).over(Window.partitionBy(batch))
     return rows.withColumn("_n", longest).withColumns({c: F.slice(F.col(c), F.lit(1), F.col("_n")) for c in (ids, labels)}).drop("_n")
+
+
+def concatenated(*tables: DataFrame) -> DataFrame:
+    """Training tables one after the other, with ``part`` naming the table; columns that one lacks are null."""
+    named = [t.withColumn("part", F.lit(i)) for i, t in enumerate(tables)]
+    out = named[0]
+    for t in named[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out

@@ -160,3 +160,16 @@ def chain(call: Call, stages: list[str]) -> Call:
         return said[-1] if said else ""
 
     return run
+
+
+def usage(calls: DataFrame, *keys: str) -> DataFrame:
+    """Calls, failed ones, and characters sent and received, of rows that ``respond`` gave."""
+    sent = F.length(F.coalesce("system_prompt", F.lit(""))) + F.coalesce(F.aggregate("messages", F.lit(0), lambda n, m: n + F.length(F.coalesce(m["content"], F.lit("")))), F.lit(0))
+    return calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.count("error").alias("n_failed"), F.sum(sent).alias("chars_sent"), F.sum(F.length("response")).alias("chars_received"))
+
+
+def single_or_chain(samples: DataFrame, single: Call, stages: Call) -> DataFrame:
+    """Both responses of each sample: ``single``, ``chained`` and which one is longer."""
+    one = respond(samples, single).withColumnRenamed("response", "single").withColumnRenamed("error", "single_error")
+    both = respond(one, stages).withColumnRenamed("response", "chained").withColumnRenamed("error", "chained_error")
+    return both.withColumn("longer", F.when(F.length("chained") > F.length("single"), "chained").otherwise("single"))

@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import rubrics, sampling
@@ -43,8 +44,10 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with quoted, multi-line cells; columns by name, missing ones null."""
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", False).schema(schema).csv(path)
+    """CSV with quoted, multi-line cells; columns by name, in any order; missing ones null, others left out."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    wanted = T.StructType.fromDDL(schema)
+    return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 RAW_CSV = "SUBJECT string, PROMPT string, UC1_INITIAL_EXPLANATION string, FOLLOW_UP_PROMPT string, RUBRICS string, bloom_taxonomy string"
@@ -208,3 +211,13 @@ def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]
     """Requests answered by the cache, and those to be made; an empty response is a miss."""
     good = cache.where(F.length("response") > 0).select("cache_key", "response")
     return requests.join(good, "cache_key"), requests.join(good, "cache_key", "left_anti")
+
+
+def write_debug_log(outputs: DataFrame, results: DataFrame, path: str, key: str = "sample_id") -> None:
+    """A record for each sample of what a pipeline's stages put out, with its scores; joined by key, not by place."""
+    write_json(outputs.join(results, key, "left"), path)
+
+
+def concatenate(spark: SparkSession, paths: list[str], path: str, schema: str = RESPONSE, append: bool = False) -> None:
+    """Chunks' outputs as one table of JSON lines; appended to what is there, or in its place."""
+    write_json(spark.read.schema(schema).json([p for p in paths if exists(spark, p)]), path, "append" if append else "overwrite")
