@@ -270,7 +270,10 @@ def tfidf_pairs(spark, d):
     return rounded(dedup.similar_pairs(staged(dedup.vectors(docs.repartition(n)), "tfidf")), "similarity", places=5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {DOCS_TF}, p AS (SELECT a.pos AS i, b.pos AS j FROM u a JOIN u b ON a.term = b.term AND b.pos < a.pos GROUP BY ALL HAVING sum(a.w * b.w) >= 0.9),
+n AS (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS k FROM p GROUP BY i), f AS (SELECT list(j) AS js FROM p WHERE j NOT IN (SELECT i FROM p)),
+s AS (SELECT 0::BIGINT AS k, js AS kept FROM f UNION ALL SELECT n.k, CASE WHEN list_has_any(kept, n.js) THEN kept ELSE list_append(kept, n.i) END FROM s JOIN n ON n.k = s.k + 1),
+e AS (SELECT unnest(kept) AS i FROM s WHERE k = (SELECT max(k) FROM s)) SELECT doc_id AS pos FROM documents WHERE doc_id NOT IN (SELECT i FROM p) OR doc_id IN (SELECT i FROM e)""".replace(", n AS (SELECT pos, sqrt", ", nn AS (SELECT pos, sqrt").replace("n AS (SELECT pos, sqrt(sum(x * x)) AS n FROM x GROUP BY 1)", "nn AS (SELECT pos, sqrt(sum(x * x)) AS n FROM x GROUP BY 1)").replace("FROM x JOIN n USING (pos)", "FROM x JOIN nn USING (pos)"))
 def tfidf_deduplicated(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text").repartition(spark.sparkContext.defaultParallelism)
     return dedup.deduplicated(docs)[0].select("pos")
@@ -368,10 +371,13 @@ def sample_sizes(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+RATE = " ".join(f"WHEN '{a}' THEN {r}" for a, r in dialogue.RATES["struggling"].items())
+
+
+@query(f"WITH {T}, r AS (SELECT conv_id, turn_index, CAST(CASE action_type {RATE} ELSE 0.03 END AS DOUBLE) AS r FROM t WHERE speaker = 'tutor') SELECT conv_id, round(list_reduce(list(r ORDER BY turn_index), lambda s, x: least(1.0::DOUBLE, greatest(0.0::DOUBLE, s + x * (1 - s * 0.5::DOUBLE))), 0.2::DOUBLE), 6) AS mastery FROM r GROUP BY 1")
 def mastery_fold(spark, d):
     acts = turns(spark, d).where("speaker = 'tutor'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "action_type"))), lambda x: x["action_type"]).alias("actions"))
-    return acts.select("conv_id", dialogue.mastery_fold(F.col("actions"), F.lit(0.2), F.lit("struggling")).alias("mastery"))
+    return acts.select("conv_id", F.round(dialogue.mastery_fold(F.col("actions"), F.lit(0.2), F.lit("struggling")), 6).alias("mastery"))
 
 
 # ---- fine-tuning rows and overlap ------------------------------------------------------------------------------------
@@ -449,7 +455,11 @@ def overlap_means(spark, d):
     return overlap.means(overlap.overlaps(answered(spark, d).where("answer IS NOT NULL"), "text", "answer"), "role")
 
 
-@query()
+_LAYERS = ", ".join(f"printf('  {k} (weight {w}): %.4f', {x})" for k, w, x in (("layer1", 0.8, LAYER1), ("layer2", 0.1, "(question_depth - 1) / 4.0::DOUBLE"), ("layer3", 0.1, "(icap - 1) / 4.0::DOUBLE")))
+_SCORES = ", ".join(f"'  {k}: ' || {k} || '/5'" for k in [*dialogue.PES_DIMENSIONS, "question_depth", "icap"])
+
+
+@query(f"WITH {PES}, {PESV} SELECT name, md5(concat_ws(chr(10), 'Evaluation of ' || name, printf('PES %.2f: %s', pes_score, pes_category), 'Layers', {_LAYERS}, 'Dimensions', {_SCORES})) AS report_md5 FROM c")
 def pes_reports(spark, d):
     """Digests of whole reports."""
     pages = dialogue.pes_report(dialogue.pes(judged_parts(spark, d)))

@@ -127,7 +127,7 @@ def layer_rows(scored: DataFrame, name: str = "name") -> DataFrame:
 def pes_report(scored: DataFrame, name: str = "name") -> DataFrame:
     """(name, report): a text page of the score, its category, the layers and the dimensions."""
     bar = lambda c: F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit("/5"))
-    layers = [F.format_string(f"  {k} (weight {w}): %.4f", F.col(k)) for k, w in (("layer1", 0.8), ("layer2", 0.1), ("layer3", 0.1))]
+    layers = [F.format_string(f"  {k} (weight {w}): %.4f", F.bround(k, 4)) for k, w in (("layer1", 0.8), ("layer2", 0.1), ("layer3", 0.1))]
     head = [F.concat(F.lit("Evaluation of "), F.col(name).cast("string")), F.format_string("PES %.2f: %s", F.col("pes_score"), F.col("pes_category"))]
     return scored.select(name, F.concat_ws("\n", *head, F.lit("Layers"), *layers, F.lit("Dimensions"), *map(bar, [*PES_DIMENSIONS, "question_depth", "icap"])).alias("report"))
 
