@@ -162,8 +162,8 @@ def scored(model: Model | None, x: Column) -> Column:
 def classified(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
-    Null texts count as empty and are scored; null ids are kept, held out by the checksum of no bytes, and never
-    labelled; repeated rows stay; other columns are ignored; an empty table gives no rows.
+    Null texts count as empty and are scored; very long texts are measured whole; null ids are kept, held out by the checksum of no bytes, and never
+    labelled; repeated rows stay (each counts in training) and score alike; other columns are ignored; an empty table gives no rows. Without labels every score is 0.5.
     """
     stats, _ = common.materialise(measured(docs), "quality-stats")
     score = stats.select("doc_id", scored(fit(stats, labels, column), F.col("x")).alias("score"))
@@ -171,7 +171,11 @@ def classified(docs: DataFrame, labels: DataFrame, column: str = "quality", thre
 
 
 def accepted(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least the threshold, with their own columns."""
+    """The rows of ``docs`` that score at least the threshold, with their own columns.
+
+    Odd rows as in ``classified``: each row is judged by its own text; repeated rows share their fate; an empty table gives no rows. Without
+    labels all rows stay.
+    """
     stats, _ = common.materialise(measured(docs), "quality-stats")
     model = fit(stats, labels, column)
     if model is None:

@@ -29,7 +29,7 @@ def sharded(docs: DataFrame, weights: list[float], grown: float = 1.0, buckets:
 
     Slots are dealt in two steps, so that no task holds a shard: rows are numbered within (shard, bucket of
     the key), and the counts of the buckets before (``buckets`` times shards of them) are added.
-    Null text: size 1, checksum of no bytes. Null ids share the key of the empty string. Equal rows share a
+    Equal scores (a tie) go to the lower shard. Texts of any length are hashed whole. Null text: size 1, checksum of no bytes. Null ids share the key of the empty string. Equal rows share a
     shard and get slots of their own. Other columns are ignored; an empty table gives no rows.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

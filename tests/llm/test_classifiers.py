@@ -104,3 +104,31 @@ def test_logistic():
     beta = toxicity.logistic(x, y, np.ones(200))
     p = toxicity.sigmoid(x @ beta)
     assert abs((y - p).sum()) < 0.1 and 4 < -beta[0] / beta[1] < 6
+
+
+def test_quality_against_plain_formulas(spark):
+    """Features, ridge weights, calibration and scores of a small table, by whole-matrix formulas; null, empty and very long texts score too."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    docs, labels = corpus(spark)
+    docs = docs.unionByName(spark.createDataFrame([(700, "long word " * 200_000, "x", 0.0), (701, "x" * 1_000_000, "x", 0.0)], docs.schema))
+    rows = docs.where("doc_id IS NOT NULL AND doc_id < 600").withColumn("aside", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()
+    known = [(quality.statistics(r.text), float(r.doc_id % 7 != 2), r.aside) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5]
+    x, y, aside = np.array([k[0] for k in known]), np.array([k[1] for k in known]), np.array([k[2] for k in known])
+    rng = np.random.default_rng(1)
+    z = lambda v: np.clip((v - x.mean(0)) / np.sqrt(np.maximum(x.var(0), 1e-6)), -8, 8)
+    frequency, phase = rng.normal(size=(quality.N_STATS, quality.FEATURES)) / np.sqrt(quality.N_STATS), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    phi = lambda v: np.hstack([np.ones((len(v), 1)), z(v), np.sqrt(2 / quality.FEATURES) * np.cos(z(v) @ frequency + phase)])
+    a = phi(x[~aside])
+    weight = np.linalg.solve(a.T @ a + quality.RIDGE * np.eye(a.shape[1]), a.T @ y[~aside])
+    raw = np.round(np.clip(phi(x[aside]) @ weight, -1, 2) * quality.BINS) / quality.BINS
+    # The best monotone step function, by the minimum over ends of the maximum over starts of means.
+    order = np.unique(raw)
+    fits = [min(max(y[aside][(raw >= lo) & (raw <= hi)].mean() for lo in order[order <= v]) for hi in order[order >= v]) for v in order]
+    got = {(r.doc_id, r.held_out): r.score for r in quality.classified(docs, labels).collect()}
+    for r in docs.collect():
+        s = phi(quality.statistics(r.text)[None])[0] @ weight
+        held = zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0
+        assert got[r.doc_id, held] == pytest.approx(np.clip(np.interp(s, order, fits), 0, 1), abs=1e-6)

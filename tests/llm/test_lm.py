@@ -65,6 +65,15 @@ def test_against_plain(spark, monkeypatch, small):
     assert sum(g[7] for g in out) > sum(g[6] for g in out)  # better than the base on held-out documents
 
 
+def test_long_text(spark):
+    """One text of 300,000 words is a chunk of its own and scores as its words do."""
+    rows = [(1, "a b " * 150_000), (2, "a b a b c"), (3, None)]
+    got = {r.doc_id: r for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_tokens == 300_001 and got[2].n_tokens == 6 and got[3].n_tokens == 1
+    assert got[1].train_tokens == sum(got[i].n_tokens for i in (1, 2, 3) if not held(i))
+    assert got[1].score < 0 and all(np.isfinite(r.score) for r in got.values())
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert lm.scored(docs.limit(0)).count() == 0

@@ -31,6 +31,20 @@ def test_measures(spark):
     assert "Python" not in plan.split("Physical Plan")[1] and "Exchange" not in plan.split("Physical Plan")[1]
 
 
+def test_long_text(spark):
+    """A text of 120,000 words, all of whose windows occur once but three; and one that repeats throughout."""
+    words = [f"v{i}" for i in range(120_000)]
+    docs = spark.createDataFrame([(1, " ".join([*words, *words[:3]])), (2, "x y z w " * 40_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in rules.judged(docs).collect()}
+    assert got == {1: (120_003, 6), 2: (160_000, 160_000)}
+
+
+def test_policy_and_sole_rule(spark):
+    got = {r.doc_id: (r.policy, r.only) for r in rules.judged(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")).collect()}
+    assert {p for p, _ in got.values()} == {"v1"}
+    assert got[0][1] == "few_words" and got[10][1] is None and got[11][1] == "shouting"
+
+
 def test_ablations(spark):
     rows = spark.createDataFrame([(0,), (1,), (1,), (3,), (4,), (6,)], "failures int")
     got = {r.rule: (r.rejected, r.failed, r.alone) for r in rules.ablations(rows, "base").collect()}
