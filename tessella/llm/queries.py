@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, packing, quality, rules, sharding, simhash, sitetree, topk, toxicity
+from . import bpe, chat, lm, packing, periods, quality, rules, sharding, simhash, sitetree, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_pivot_topk": topk.op10_topk,
     "op12_site_style_tree": sitetree.op12_html,
+    "op13_periodic_runs": periods.op13_periods,
     "quality_rule_ablations": rules.quality_rule_ablations,
 }
 
