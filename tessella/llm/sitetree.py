@@ -287,7 +287,8 @@ def main_texts(pages: DataFrame, roles: bool = True) -> DataFrame:
     """
     own = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     read = pages.select(*own, F.nullif(F.regexp_extract(F.lower("url"), HOST, 1), F.lit("")).alias("_site_host"), F.coalesce("html", F.lit("")).alias("_site_page"))
-    joined = read.join(trees(read, roles), "_site_host", "left").select(*own, "_site_page", "_site_tree")
+    known, _ = common.materialise(trees(read, roles), "site-trees")  # Spark sees its size: pages stay where they are if it is small enough to send
+    joined = read.join(known, "_site_host", "left").select(*own, "_site_page", "_site_tree")
     schema = joined.drop("_site_page", "_site_tree").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,14 +31,17 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "n", "h") for r in rows], SCHEMA)
 
 
-def test_tree_finds_templates(spark):
-    """No element has a meaning and no class a word: what all pages of a host agree on goes, what differs stays whole."""
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_tree_finds_templates(spark, threshold):
+    """No element has a meaning and no class a word: what all pages of a host agree on goes, what differs stays whole; with trees sent and shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     rng = random.Random(1)
     pages = [p for host in ("one.example", "two.example:80") for p in site(rng, host, 40)]
     rows = [(i, u, h) for i, (u, h, _) in enumerate(pages)]
     got = {r.page_id: r for r in sitetree.main_texts(frame(spark, rows)).collect()}
     for i, (url, _, body) in enumerate(pages):
         assert got[i].text.split("\n")[1:] == body and got[i].url == url and got[i].n_chars == len(got[i].text) and got[i].host == "h"
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars", "host"}
 
 
