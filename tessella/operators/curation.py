@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import quantiles
 
 # Thresholds, histogram edges, the score of ungraded revisions, subjects with methods to branch on.
 CRITICAL, OVERALL, MIN_PASS, UNGRADED = 0.70, 0.70, 0.25, 0.80
@@ -133,7 +134,8 @@ def top_failures(results: DataFrame, k: int = 20) -> DataFrame:
 
 def quality_report(good: DataFrame, *keys: str) -> DataFrame:
     s = F.col("weighted_score")
-    return good.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.median(s).alias("median"), F.avg("critical_pass_rate").alias("critical_pass_rate"))
+    aggregates = [F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg("critical_pass_rate").alias("critical_pass_rate")]
+    return quantiles.summarised(good.select(*keys, "weighted_score", "critical_pass_rate"), list(keys), "weighted_score", *aggregates)
 
 
 def filter_statistics(evaluated: DataFrame, threshold: float = 0.80) -> DataFrame:

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from . import quantiles
+from .staging import discarded, staged
 
 #: Vectors of a term that meet in one task, and those that are multiplied at once.
 BLOCK, TILE = 2048, 512
@@ -114,8 +115,10 @@ def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     while True:
         below = pairs.join(state.select(F.col("pos").alias("j"), F.col("kept").alias("low")), "j").groupBy(F.col("i").alias("pos")).agg(F.bool_or(F.coalesce("low", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("low"), F.lit(False))).alias("free"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True)
-        state = staged(state.join(below, "pos", "left").select("pos", new.alias("kept")), "greedy-state")
-        if not state.where("kept IS NULL").limit(1).count():
+        before, state = state, staged(state.join(below, "pos", "left").select("pos", new.alias("kept")), "greedy-state")
+        discarded(before)
+        if state.where("kept IS NULL").isEmpty():
+            discarded(pairs)
             return nodes.join(state, "pos", "left").select("pos", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
@@ -147,4 +150,5 @@ def duplicate_details(docs: DataFrame, log: DataFrame, pos: str = "pos") -> Data
 def duplicate_statistics(details: DataFrame) -> DataFrame:
     same = F.col("kept.sample_id") == F.col("removed.sample_id")
     s = F.col("similarity")
-    return details.agg(F.count("*").alias("n_pairs"), F.count_if(same).alias("same_sample"), F.count_if(~same).alias("cross_sample"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg(s).alias("mean"), F.median(s).alias("median"))
+    rows = details.select("similarity", same.alias("same"))
+    return quantiles.summarised(rows, [], "similarity", F.count("*").alias("n_pairs"), F.count_if("same").alias("same_sample"), F.count_if(~F.col("same")).alias("cross_sample"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg(s).alias("mean"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import quantiles
 
 # Learning rates of the student personas by tutor action, and the dimensions of the composite.
 RATES = {
@@ -81,7 +82,8 @@ def episode_scores(episodes: DataFrame) -> DataFrame:
 
 def episode_summary(scores: DataFrame) -> DataFrame:
     s = F.col("pedagogy_score")
-    return scores.groupBy("agent_type").agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.median(s).alias("median"), F.avg("learning_gain").alias("mean_gain"), F.avg("total_score").alias("mean_total"))
+    aggregates = [F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.avg("learning_gain").alias("mean_gain"), F.avg("total_score").alias("mean_total")]
+    return quantiles.summarised(scores.select("agent_type", "pedagogy_score", "learning_gain", "total_score"), ["agent_type"], "pedagogy_score", *aggregates)
 
 
 def quiz_score(answers: DataFrame, *keys: str) -> DataFrame:

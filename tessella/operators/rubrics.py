@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
+from . import quantiles
 
 # The closed domains.
 DIMENSIONS = ["instruction_following", "truthfulness", "conciseness_relevance", "style_tone", "visual_perception", "visual_reasoning", "student_level_calibration", "emotional_component"]
@@ -86,11 +89,13 @@ def scored(ratings: DataFrame, *keys: str) -> DataFrame:
     return ratings.groupBy(*keys).agg(weighted_score(w, p).alias("weighted_score"), pass_rate(p).alias("pass_rate"), critical_pass_rate(w, p).alias("critical_pass_rate"), F.count("*").alias("n_rubrics"))
 
 
-def run_summary(results: DataFrame, *keys: str) -> DataFrame:
+def run_summary(results: DataFrame, *keys: str, spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Score, spread, exact median, pass rate and counts of each group; ``spread`` multiplies the rows, once they are computed."""
     s = F.col("weighted_score")
-    return results.groupBy(*keys).agg(
-        F.coalesce(F.avg(s), F.lit(0.0)).alias("overall_score"), F.stddev_pop(s).alias("std"), F.median(s).alias("median"),
-        F.avg("pass_rate").alias("pass_rate"), F.count("*").alias("n_samples"), F.coalesce(F.sum("n_rubrics"), F.lit(0)).alias("n_rubrics"),
+    return quantiles.summarised(
+        results, list(keys), "weighted_score",
+        F.coalesce(F.avg(s), F.lit(0.0)).alias("overall_score"), F.stddev_pop(s).alias("std"),
+        F.avg("pass_rate").alias("pass_rate"), F.count("*").alias("n_samples"), F.coalesce(F.sum("n_rubrics"), F.lit(0)).alias("n_rubrics"), spread=spread,
     )
 
 
@@ -103,12 +108,13 @@ def dense_rates(ratings: DataFrame, column: str, domain: list[str]) -> DataFrame
 
 
 def breakdowns(results: DataFrame, keys: list[str]) -> DataFrame:
-    """One scan, one shuffle: the same aggregates overall and by each key, in long form (breakdown, key, ...).
+    """The same aggregates overall and by each key, in long form (breakdown, key, ...), over rows that are computed once.
 
     Rows whose key is null count overall and are left out of that key's breakdown.
     """
-    exploded = results.select("weighted_score", "pass_rate", "n_rubrics", F.explode(F.array(F.struct(F.lit("overall").alias("breakdown"), F.lit("all").alias("key")), *[F.struct(F.lit(k).alias("breakdown"), F.col(k).cast("string").alias("key")) for k in keys])).alias("b"))
-    return run_summary(exploded.where("b.key IS NOT NULL").select("b.*", "weighted_score", "pass_rate", "n_rubrics"), "breakdown", "key")
+    groups = F.explode(F.array(F.struct(F.lit("overall").alias("breakdown"), F.lit("all").alias("key")), *[F.struct(F.lit(k).alias("breakdown"), F.col(k).cast("string").alias("key")) for k in keys]))
+    several = lambda rows: rows.select("weighted_score", "pass_rate", "n_rubrics", groups.alias("b")).where("b.key IS NOT NULL").select("b.*", "weighted_score", "pass_rate", "n_rubrics")
+    return run_summary(results.select("weighted_score", "pass_rate", "n_rubrics", *keys), "breakdown", "key", spread=several)
 
 
 def ordered(report: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes and rereads: later plans restart from files that outlive any executor. The table goes when the application ends.
+    """Writes and rereads: later plans restart from files that outlive any executor. The table goes when it is discarded, or the application ends.
 
     The folder is the one that spark.checkpoint.dir names; only a local session, as in tests, may leave that unset.
     """
@@ -23,4 +23,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(t._staged_at)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
