@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ def asked(samples: DataFrame, system: str, task: str) -> DataFrame:
     ``task``: a text with the slots {context}, {response} and {rubrics}; the rubrics are listed with a number, severity and criterion.
     """
     lines = F.transform("rubrics", lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(r["severity"], F.lit("unknown")), F.lit(": "), F.coalesce(r["criterion"], F.lit("N/A"))))
-    said = F.lit(task)
-    for slot, value in (("context", F.col("prompt")), ("response", F.col("response")), ("rubrics", F.array_join(lines, "\n"))):
-        said = F.replace(said, F.lit(f"{{{slot}}}"), F.coalesce(value, F.lit("")))
+    value = {"context": F.col("prompt"), "response": F.col("response"), "rubrics": F.array_join(lines, "\n")}
+    pieces = re.split(r"\{(context|response|rubrics)\}", task)  # every second one is a slot; what fills one is not searched for others
+    said = F.concat(*[F.coalesce(value[x], F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
     return samples.withColumns({"system_prompt": F.lit(system), "messages": F.array(F.struct(F.lit("user").alias("role"), said.alias("content")))})
 
 
