@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query, rounded, table
+from .operators.staging import scratch
 from .plans import structured
+from .sources import tables
+from .streaming import watch
 
 c = F.col
 
@@ -47,3 +50,80 @@ def structured_evaluations(spark, d):
 @query(f"WITH {STRUCTURED} SELECT status, count(*) AS n, count(*) FILTER (rate > 0.8) AS n_kept FROM e GROUP BY status")
 def structured_tally(spark, d):
     return structured.tally(structured.read(structured_replies(spark, d)))
+
+
+# ---- tables and streams ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN 1 WHEN o_custkey % 3 = 0 THEN 2 END AS version FROM orders),
+l AS (SELECT o_custkey, max(version) AS version FROM v WHERE version IS NOT NULL GROUP BY 1)
+SELECT o_custkey, l.version, max(o_orderkey) AS o_orderkey, round(arg_max(o_totalprice, o_orderkey), 2) AS o_totalprice FROM l JOIN v USING (o_custkey, version) GROUP BY 1, 2""")
+def upserted_orders(spark, d):
+    """Last orders by customer: first of even order numbers, then an upsert of odd ones for every third customer."""
+    path, orders = scratch(spark, "upserted"), table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    tables.upsert(spark, path, orders.where("o_orderkey % 2 = 0").withColumn("version", F.lit(1)), ["o_custkey"], "o_orderkey", 16)
+    tables.upsert(spark, path, orders.where("o_orderkey % 2 = 1 AND o_custkey % 3 = 0").withColumn("version", F.lit(2)), ["o_custkey"], "o_orderkey")
+    return rounded(tables.read(spark, path), "o_totalprice", places=2)
+
+
+def event_stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
+@query("""WITH p AS (SELECT event_id, user_id, event_type, event_id % 2 AS source, (event_id * 7919 % 1000003) / 1000003.0::DOUBLE AS score FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY source, score DESC) AS n FROM p WHERE score >= 0.7)
+SELECT user_id, event_type, event_id FROM k WHERE n = 1""")
+def exported_events(spark, d):
+    """A stream of graded rows (even events) and one of revised rows (odd ones): the exported row of each user and kind of event."""
+    text = lambda column: F.col(column).cast("string")
+    rows = event_stream(spark, d).select(
+        "event_id", text("user_id").alias("sample_id"), F.col("event_type").alias("persona_name"), F.lit(0).alias("variation_idx"), (F.col("event_id") * 7919 % 1000003 / 1000003.0).alias("weighted_score"),
+        text("user_id").alias("prompt"), F.col("event_type").alias("initial_explanation"), F.lit("-").alias("follow_up"), text("event_id").alias("response"),
+    )
+    out = scratch(spark, "exported")
+    watch.export(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "system", out, scratch(spark, "exported-state")).awaitTermination()
+    said = F.split(F.col("messages")[1]["content"], "\n\n")
+    part = lambda i, name: F.element_at(F.split(said[i], ": "), -1).alias(name)
+    return watch.exported(spark, out).select(part(0, "user_id").cast("long").alias("user_id"), part(1, "event_type"), F.col("messages")[2]["content"].cast("long").alias("event_id"))
+
+
+IDLE, KEEP, DELAY = 6 * 3600, 3 * 3600, 600
+REPLAY = f"""
+WITH RECURSIVE t AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id % 7) AS i, epoch_us(ts) AS tm, CAST(event_id % 7 AS INT) AS turn,
+    event_type AS action, event_type = 'purchase' AS terminal, CASE WHEN event_id % 3 = 0 THEN props END AS answer, CASE WHEN event_id % 5 <> 0 THEN value > 40 END AS verdict FROM events),
+s AS (
+  SELECT u, CAST(0 AS BIGINT) AS i, 0 AS n, CAST(NULL AS VARCHAR) AS answer, CAST(NULL AS BOOLEAN) AS ini, CAST(NULL AS BOOLEAN) AS fin, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS ended,
+    false AS idled, CAST(NULL AS STRUCT(n INT, answer VARCHAR, ini BOOLEAN, fin BOOLEAN, action VARCHAR, cause VARCHAR, tm BIGINT)) AS e1, CAST(NULL AS STRUCT(n INT, answer VARCHAR, ini BOOLEAN, fin BOOLEAN, action VARCHAR, cause VARCHAR, tm BIGINT)) AS e2
+  FROM (SELECT DISTINCT u FROM t)
+  UNION ALL
+  SELECT u, i, CASE WHEN skip OR closed THEN 0 ELSE n2 END, CASE WHEN NOT (skip OR closed) THEN answer2 END, CASE WHEN NOT (skip OR closed) THEN ini2 END, CASE WHEN NOT (skip OR closed) THEN fin2 END, CASE WHEN NOT (skip OR closed) THEN action2 END,
+    CASE WHEN NOT (skip OR closed) THEN tm END, CASE WHEN skip THEN ended2 WHEN closed THEN tm END, idled,
+    CASE WHEN idled THEN {{'n': n, 'answer': answer, 'ini': ini, 'fin': fin, 'action': action, 'cause': 'idle', 'tm': seen + {IDLE}000000}} END,
+    CASE WHEN closed THEN {{'n': n2, 'answer': answer2, 'ini': ini2, 'fin': fin2, 'action': action2, 'cause': CASE WHEN terminal THEN 'natural' ELSE 'forced' END, 'tm': tm}} END
+  FROM (SELECT *, NOT skip AND (terminal OR n2 >= 6) AS closed FROM (
+    SELECT s.u, t.i, t.tm, t.terminal, s.n, s.answer, s.ini, s.fin, s.action, s.seen, idle.x AS idled, gone.y AS ended2, gone.y IS NOT NULL AS skip,
+      greatest(CASE WHEN idle.x THEN 0 ELSE s.n END, t.turn) AS n2, coalesce(t.answer, CASE WHEN NOT idle.x THEN s.answer END) AS answer2,
+      CASE WHEN t.verdict IS NOT NULL AND t.turn = 0 THEN t.verdict WHEN NOT idle.x THEN s.ini END AS ini2, coalesce(t.verdict, CASE WHEN NOT idle.x THEN s.fin END) AS fin2, coalesce(t.action, CASE WHEN NOT idle.x THEN s.action END) AS action2
+    FROM s JOIN t ON t.u = s.u AND t.i = s.i + 1,
+      LATERAL (SELECT coalesce(t.tm > s.seen + {IDLE}000000, false) AS x) idle,
+      LATERAL (SELECT CASE WHEN t.tm > (CASE WHEN idle.x THEN s.seen + {IDLE}000000 ELSE s.ended END) + {KEEP}000000 THEN NULL WHEN idle.x THEN s.seen + {IDLE}000000 ELSE s.ended END AS y) gone))),
+o AS (
+  SELECT u, unnest(list_filter([e1, e2], lambda e: e IS NOT NULL)) AS e FROM s
+  UNION ALL
+  SELECT u, {{'n': n, 'answer': answer, 'ini': ini, 'fin': fin, 'action': action, 'cause': 'idle', 'tm': seen + {IDLE}000000}} FROM s
+  WHERE i = (SELECT max(i) FROM t WHERE t.u = s.u) AND seen + {IDLE}000000 < (SELECT max(tm) FROM t) - {DELAY}000000)
+SELECT u AS user_id, e.n AS total_turns, e.answer AS final_answer, e.ini AS initial_judge_verdict, e.fin AS final_judge_verdict, e.action AS final_action, e.cause AS ended, e.tm AS ended_at FROM o"""
+
+
+@query(REPLAY)
+def live_sessions(spark, d):
+    """Each user's events as turns of sessions: outcomes by the stream's state and timers, beside a replay of the whole table."""
+    k = F.col("event_id")
+    turns = event_stream(spark, d).select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("at"), (k % 7).cast("int").alias("turn_number"), F.col("event_type").alias("teacher_action"), (F.col("event_type") == "purchase").alias("teacher_is_terminal"),
+        F.when(k % 3 == 0, F.col("props")).alias("student_final_answer"), F.when(k % 5 != 0, F.col("value") > 40).alias("judge_verdict"),
+    )
+    out = scratch(spark, "sessions")
+    stream = watch.sessions(turns, 6, IDLE, KEEP, f"{DELAY} seconds")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "sessions-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(F.col("session_id").cast("long").alias("user_id"), *[c for c in stream.columns if c not in ("session_id", "ended_at")], F.unix_micros("ended_at").alias("ended_at"))

@@ -5,25 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes and rereads: later plans restart from files that outlive any executor. The table goes when it is discarded, or the application ends.
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends.
 
     The folder is the one that spark.checkpoint.dir names; only a local session, as in tests, may leave that unset.
     """
-    spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/scratch-{spark.sparkContext.applicationId}"
-    path, schema = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    out = spark.read.schema(schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """Writes and rereads: later plans restart from files that outlive any executor. The table goes when it is discarded, or the application ends."""
+    path, schema = scratch(df.sparkSession, tag), df.schema
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
     out._staged_at = path
     return out
 

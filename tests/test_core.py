@@ -11,7 +11,6 @@ from tessella.functions import stats, text
 from tessella.operators import curation, dedup, dialogue, rubrics, sampling
 from tessella.plans import flows
 from tessella.sources import io
-from tessella.streaming import watch
 
 
 def one(spark, expression, **values):
@@ -129,15 +128,6 @@ def test_flow(spark):
     assert providers.best_of(lambda s, m: s, lambda ts: 1, 3)("p", []).endswith("2)")
 
 
-def test_watch_survives_restarts(spark, tmp_path):
-    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    row = lambda s, w: {"sample_id": s, "persona_name": "p", "variation_idx": 0, "weighted_score": w, "prompt": "q", "response": "r"}
-    for batch in ([row("a", 0.9), row("b", 0.1)], [row("a", 0.95), row("c", 0.7)]):
-        spark.createDataFrame([tuple(r.values()) for r in batch], "sample_id string, persona_name string, variation_idx int, weighted_score double, prompt string, response string").write.mode("append").json(src)
-        watch.export(watch.passing(spark, src), "system", out, ck).awaitTermination()
-    assert spark.read.json(out).count() == 2
-
-
 @pytest.mark.parametrize("name", ["report_breakdowns", "dialogue_metrics", "variant_ranking", "rejected_rows"])
 def test_catalogue(spark, name):
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

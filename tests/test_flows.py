@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tessella import providers
 from tessella.plans import episodes, flows
 from tessella.sources import io
-from tessella.streaming import watch
 
 RUBRIC = [("be kind", 5, "style_tone", None, True, True)]
 
@@ -88,19 +87,3 @@ def test_equal_answers(spark, answer, by, ok):
     rows = spark.createDataFrame([(answer,)], "answer string").withColumn("ground_truth", F.lit("200"))
     got = episodes.answers_judged(rows, lambda s, m: "Correct.").first()
     assert (got.by, got.is_correct) == (by, ok)
-
-
-def test_live_sessions(spark, tmp_path):
-    """Outcomes of sessions that end by themselves or by force, over two batches; turns behind the end are ignored."""
-    kind = "session_id string, turn_number int, teacher_action string, teacher_is_terminal boolean, student_final_answer string, judge_verdict boolean"
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    batches = [
-        [("a", 0, None, False, "1", False), ("b", 0, None, False, None, None), ("b", 3, "GIVE_HINT", False, "7", True)],
-        [("a", 1, "END_SUCCESS", True, None, None), ("a", 2, "GIVE_HINT", False, "9", True), ("c", 0, None, False, "x", None)],
-    ]
-    for rows in batches:
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(source)
-        live = watch.sessions(spark.readStream.schema(kind).json(source), 3)
-        live.writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.session_id: (r.total_turns, r.final_answer, r.initial_judge_verdict, r.final_judge_verdict, r.ended) for r in spark.read.schema(watch.OUTPUT).json(out).collect()}
-    assert got == {"a": (1, "1", False, False, "natural"), "b": (3, "7", None, True, "forced")}
