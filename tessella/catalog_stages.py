@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .catalog import query, rounded, table
 from .operators.staging import scratch
-from .plans import structured
-from .sources import tables
+from .plans import phases, structured
+from .sources import positions, tables
 from .streaming import watch
 
 c = F.col
@@ -127,3 +127,61 @@ def live_sessions(spark, d):
     stream = watch.sessions(turns, 6, IDLE, KEEP, f"{DELAY} seconds")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "sessions-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select(F.col("session_id").cast("long").alias("user_id"), *[c for c in stream.columns if c not in ("session_id", "ended_at")], F.unix_micros("ended_at").alias("ended_at"))
+
+
+# ---- row positions ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER () - 1 AS pos FROM lineitem")
+def numbered_lineitems(spark, d):
+    return positions.numbered(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"))
+
+
+# ---- generation in phases --------------------------------------------------------------------------------------------
+
+PHASES = ["strategy", "knowledge", "errors", "plan", "answer"]
+
+
+def phase_stub(system: str, messages: list[dict]) -> str:
+    """Says what it is and the end of what it hears; nothing about errors where that has a 7."""
+    heard = messages[0]["content"]
+    return "" if system == "errors" and "7" in heard[-3:] else f"{system}<{heard[-15:]}>"
+
+
+def phase_steps() -> list[phases.Phase]:
+    own = ["c_mktsegment", "c_name"]
+    user = lambda i: lambda rows: F.concat(F.col(PHASES[i - 1]), F.lit("/"), F.col(own[i % 2])) if i else F.col("c_name")
+    return [phases.Phase(name, lambda rows, name=name: F.lit(name), user(i)) for i, name in enumerate(PHASES)]
+
+
+SAID = "'{0}<' || right({1}, 15) || '>'"
+
+
+@query(f"""WITH a AS (SELECT c_custkey, c_name, c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS c_mktsegment, {SAID.format("strategy", "c_name")} AS strategy FROM customer),
+b AS (SELECT *, {SAID.format("knowledge", "(strategy || '/' || c_name)")} AS knowledge FROM a),
+c AS (SELECT *, CASE WHEN contains(right(knowledge || '/' || c_mktsegment, 3), '7') THEN NULL ELSE {SAID.format("errors", "(knowledge || '/' || c_mktsegment)")} END AS errors FROM b),
+d AS (SELECT *, {SAID.format("plan", "(errors || '/' || c_name)")} AS plan FROM c),
+e AS (SELECT *, {SAID.format("answer", "(plan || '/' || c_mktsegment)")} AS answer FROM d)
+SELECT c_custkey, strategy, knowledge, errors, plan, answer, answer AS response FROM e""")
+def phased_generation(spark, d):
+    """Every customer through five phases, half of them in a run before."""
+    segment = F.concat("c_mktsegment", F.when(c("c_custkey") % 5 == 0, c("c_custkey").cast("string")).otherwise(""))
+    tasks, path = table(spark, d, "customer").select("c_custkey", "c_name", segment.alias("c_mktsegment")), scratch(spark, "phases")
+    phases.generated(tasks.where("c_custkey % 2 = 0"), phase_steps(), phase_stub, path, ["c_custkey"], 8)
+    return phases.generated(tasks, phase_steps(), phase_stub, path, ["c_custkey"], 8).drop("c_name", "c_mktsegment")
+
+
+
+def method_stub(system: str, messages: list[dict]) -> str:
+    """An analysis by the last digit of what it hears; nothing that can be read for a 9."""
+    digit = messages[0]["content"][-1]
+    return "?" if digit == "9" else f"STUDENT_METHOD: way {digit}\nALTERNATIVE_METHODS: {'none' if digit == '0' else f'first {digit}, second, third, fourth'}\nSHOULD_BRANCH: {'Yes.' if int(digit) % 2 else 'no'}"
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_custkey AS sample_id, ['Calculus', 'Physics', 'History'][o_custkey % 3 + 1] AS subject, o_custkey % 10 AS digit FROM orders)
+SELECT o_orderkey, sample_id, CASE WHEN subject <> 'History' AND digit <> 9 THEN 'way ' || digit END AS student_method,
+  CASE WHEN subject = 'History' THEN NULL WHEN digit IN (0, 9) THEN '' ELSE 'first ' || digit || '|second|third' END AS alternatives, subject <> 'History' AND digit <> 9 AND digit % 2 = 1 AS should_branch FROM t""")
+def analysed_samples(spark, d):
+    tasks = table(spark, d, "orders").select("o_orderkey", c("o_custkey").alias("sample_id"), F.get(F.lit(["Calculus", "Physics", "History"]), (c("o_custkey") % 3).cast("int")).alias("subject"))
+    out = phases.analysed(tasks, method_stub, "analyse", c("sample_id").cast("string"))
+    return out.select("o_orderkey", "sample_id", "student_method", F.array_join("alternative_methods", "|").alias("alternatives"), "should_branch")

@@ -1,7 +1,7 @@
 """Model calls as injectable providers, run over Arrow batches inside tasks.
 
-A provider is a plain function (system prompt, messages) -> text, sync or async. Global limits do not exist across executors:
-a rate is divided by the number of concurrent tasks. Retries happen in the provider, not by Spark's task retry, and the
+A provider is a plain function (system prompt, messages) -> text, sync or async. A rate holds for a whole job: its calls go through
+a fixed number of lanes, each with its share. Retries happen in the provider, not by Spark's task retry, and the
 output of a call should be written before two branches read it.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 import asyncio
 import inspect
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -45,21 +47,22 @@ def provider(name: str, **options) -> Call:
 
 @dataclass
 class Limiter:
-    """Token bucket of one task."""
+    """Token bucket of one lane."""
 
     per_second: float
     burst: float = 1.0
     level: float = field(default=1.0, init=False)
     at: float = field(default_factory=time.monotonic, init=False)
 
-    def wait(self) -> None:
+    def due(self) -> float:
+        """Takes the next call and tells how long to wait for it."""
         now = time.monotonic()
-        self.level = min(self.burst, self.level + (now - self.at) * self.per_second)
+        self.level = min(self.burst, self.level + (now - self.at) * self.per_second) - 1
         self.at = now
-        if self.level < 1:
-            time.sleep((1 - self.level) / self.per_second)
-            self.at, self.level = time.monotonic(), 1.0
-        self.level -= 1
+        return max(0.0, -self.level / self.per_second)
+
+    def wait(self) -> None:
+        time.sleep(self.due())
 
 
 def with_retry(call: Call, tries: int = 5, base: float = 2.0, cap: float = 120.0, sleep: Callable[[float], None] = time.sleep) -> Call:
@@ -78,27 +81,43 @@ def with_retry(call: Call, tries: int = 5, base: float = 2.0, cap: float = 120.0
     return run
 
 
-def respond(samples: DataFrame, call: Call, rate: float | None = None, concurrency: int = 8) -> DataFrame:
-    """Adds ``response`` and ``error`` to rows with system_prompt and messages. A failed row stays, with an empty response."""
-    tasks = max(1, samples.sparkSession.sparkContext.defaultParallelism)
-    share = rate / tasks if rate else None
+#: Lanes of a job's calls where a rate is asked for, and how many rows a lane answers before it hands them on.
+LANES, FLUSH = 8, 64
+
+
+def respond(samples: DataFrame, call: Call, rate: float | None = None, concurrency: int = 8, lanes: int = LANES, by: str | None = None) -> DataFrame:
+    """Adds ``response`` and ``error`` to rows with system_prompt and messages. A failed row stays, with an empty response.
+
+    ``rate``: calls a second of the whole job. Its rows then go through ``lanes`` partitions, each of which makes its share of the calls a second, so that the rate holds
+    whatever number of tasks run at a time; with fewer than there are lanes it isn't reached. ``by`` (an API key, say) keeps a key's rows in one lane. Up to ``concurrency`` calls
+    of a task run at once, as coroutines or threads.
+    """
+    share = rate / lanes if rate else None
+    schema = samples.select("*", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error")).schema
+    if rate:
+        samples = samples.repartition(lanes, by) if by else samples.repartition(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limiter = Limiter(share) if share else None
+        turn = threading.Lock()
 
         def one(row: dict) -> tuple[str, str | None]:
             if limiter:
-                limiter.wait()
+                with turn:
+                    limiter.wait()
             try:
                 return call(row["system_prompt"] or "", row["messages"] or []), None
             except Exception as e:
                 return "", f"{type(e).__name__}: {e}"
 
         async def each(rows: list[dict]) -> list[tuple[str, str | None]]:
-            gate = asyncio.Semaphore(concurrency)
+            gate, order = asyncio.Semaphore(concurrency), asyncio.Lock()
 
             async def own(row: dict) -> tuple[str, str | None]:
                 async with gate:
+                    if limiter:
+                        async with order:
+                            await asyncio.sleep(limiter.due())
                     try:
                         return await call(row["system_prompt"] or "", row["messages"] or []), None
                     except Exception as e:
@@ -106,12 +125,14 @@ def respond(samples: DataFrame, call: Call, rate: float | None = None, concurren
 
             return list(await asyncio.gather(*map(own, rows)))
 
-        for b in batches:
-            rows = b.select(["system_prompt", "messages"]).to_pylist()
-            out = asyncio.run(each(rows)) if inspect.iscoroutinefunction(call) else [one(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], [*b.schema.names, "response", "error"])
+        with ThreadPoolExecutor(concurrency) as pool:
+            for whole in batches:
+                for at in range(0, len(whole), FLUSH):
+                    b = whole.slice(at, FLUSH)
+                    rows = b.select(["system_prompt", "messages"]).to_pylist()
+                    out = asyncio.run(each(rows)) if inspect.iscoroutinefunction(call) else list(pool.map(one, rows))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], [*b.schema.names, "response", "error"])
 
-    schema = samples.select("*", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error")).schema
     return samples.mapInArrow(run, schema)
 
 
