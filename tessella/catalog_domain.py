@@ -488,9 +488,12 @@ def conversation_scores(spark, d):
     return episodes.conversation_judged(rows, judge).select("conv_id", c(first).alias("clarity_like"), c("icap").alias("missing_like"), "summary")
 
 
-@query("SELECT variant, session_id, CAST(CASE WHEN variant = 'ends' THEN k + 1 ELSE 5 END AS INT) AS total_turns, variant = 'ends' AS terminated_naturally, variant <> 'ends' AS forced_termination, CAST(CASE WHEN variant = 'ends' THEN k ELSE 4 END AS VARCHAR) AS final_answer, (CASE WHEN variant = 'ends' THEN k ELSE 4 END) = 2 AS final_judge_verdict FROM (SELECT CAST(c_custkey AS VARCHAR) AS session_id, c_custkey % 4 AS k FROM customer), (VALUES ('ends'), ('goes_on')) v(variant)".replace("CASE WHEN variant = 'ends' THEN k + 1 ELSE 5 END", "CASE WHEN variant = 'ends' THEN k + 1 ELSE 4 END"))
+@query("""WITH v AS (SELECT unnest(['ends', 'goes_on']) AS variant), q AS (SELECT variant, CAST(c_custkey AS VARCHAR) AS session_id, c_custkey % 4 AS k FROM customer CROSS JOIN v),
+n AS (SELECT *, variant = 'ends' AND k < 3 AS "natural" FROM q)
+SELECT variant, session_id, CASE WHEN "natural" THEN 3 ELSE 4 END AS total_turns, "natural" AS terminated_naturally, NOT "natural" AS forced_termination,
+  CASE WHEN "natural" THEN '2' ELSE '4' END AS final_answer, "natural" AS final_judge_verdict FROM n""")
 def simulated_sessions(spark, d):
-    """The student counts its answers; one teacher ends after as many turns as the question says, one never does."""
+    """The student counts its answers; one teacher ends after as many turns as the question says, which counts once the answer is right, one never does."""
     number = lambda m: sum(x["role"] == "student" for x in m)
     student = lambda system, m: f"I think\nFINAL: {number(m)}."
     ends = lambda system, m: "Thought: x\nAction: END_SUCCESS\nUtterance: done" if number(m) > int(system) else "Action: GIVE_HINT\nUtterance: go on"

@@ -27,10 +27,20 @@ TURNS = "session_id string, pos int, turn_number int, speaker string, teacher_ac
 Verdict = Callable[[str, str], bool | None]
 
 
+def resolved(name: str) -> str:
+    """The action that a name means, as ``text.action`` has it; the name itself if none."""
+    n = name.upper().replace(" ", "_").replace("-", "_")
+    if n in text.ACTIONS or n in text.ALIASES:
+        return text.ALIASES.get(n, n) if n not in text.ACTIONS else n
+    return next((a for a in text.ACTIONS if n in a or a in n), n)
+
+
 def read_turn(raw: str) -> tuple[str, str]:
-    """Action and utterance of a teacher's reply; without an action it asks, without an utterance it says all of it."""
-    act, said = re.search(r"(?i)Action:\s*(\w+)", raw), re.search(r"(?is)Utterance:\s*(.+)", raw)
-    return (act.group(1).upper() if act else "ASK_QUESTION"), (said.group(1).strip() if said else raw.strip())
+    """Action and utterance of a teacher's reply, by the rules of ``text.teacher_turn``; without an action that is known it hints and says all of it."""
+    act, said = re.search(r"(?i)Action:\s*(\w+)", raw), re.search(r"(?is)Utterance:\s*(.+?)(?:```|$)", raw.strip())
+    action = resolved(act.group(1)) if act else ""
+    utterance = re.sub(r"""^["']|["']$""", "", said.group(1).strip()).strip() if said else ""
+    return (action, utterance or raw.strip()) if action in text.ACTIONS else ("GIVE_HINT", raw.strip())
 
 
 def final_answer(said: str) -> str | None:
@@ -67,6 +77,8 @@ def played(questions: DataFrame, teacher: Call, student: Call, verdict: Verdict,
             if reply is None:
                 return
             act, utterance = read_turn(reply)
+            if act == "END_SUCCESS" and judged is False:
+                act = "CORRECT_ERROR"  # no success on an answer that was judged wrong
             forced = turn == max_turns and act not in TERMINAL
             if forced:
                 act = TERMINAL[0] if judged else TERMINAL[1]

@@ -87,3 +87,23 @@ def test_equal_answers(spark, answer, by, ok):
     rows = spark.createDataFrame([(answer,)], "answer string").withColumn("ground_truth", F.lit("200"))
     got = episodes.answers_judged(rows, lambda s, m: "Correct.").first()
     assert (got.by, got.is_correct) == (by, ok)
+
+
+def test_sessions_read_turns_as_the_columns_do(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import text
+
+    said = ["Thought: t\nAction: success\nUtterance: 'well done'", "action: HINT\nutterance: \"go\"```", "Action: correct_misconception\nUtterance: no", "Action: END_STUCK", "Action: dance\nUtterance: x", "Utterance: only", "Action: ask\nUtterance:   two\nlines  "]
+    rows = spark.createDataFrame([(x,) for x in said], "t string").select("t", text.teacher_turn(F.col("t")).alias("r")).collect()
+    for r in rows:
+        act, utterance = episodes.read_turn(r.t)
+        known = r.r.action in text.ACTIONS
+        assert act == (r.r.action if known else "GIVE_HINT")
+        assert utterance == (r.r.utterance or r.t.strip() if known else r.t.strip())
+
+
+def test_no_success_on_a_wrong_answer(spark):
+    rows = spark.createDataFrame([("s", "q", "1")], "session_id string, question string, ground_truth string")
+    turns = episodes.played(rows, lambda s, m: "Action: success\nUtterance: bye", lambda s, m: "FINAL: " + ("1" if len(m) > 1 else "2"), lambda truth, answer: truth == answer, 5)
+    assert [(r.teacher_action, r.teacher_is_terminal) for r in turns.orderBy("pos").collect() if r.speaker == "teacher"] == [("CORRECT_ERROR", False), ("END_SUCCESS", True)]
