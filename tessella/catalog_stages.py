@@ -5,9 +5,12 @@ As in ``catalog``, each has the SQL it is checked against; model replies are bui
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import query, rounded, table
+from .catalog import RATE, T, query, rounded, table, turns
+from .functions import cutter
+from .operators import dialogue
 from .operators.staging import scratch
 from .plans import phases, structured
 from .sources import positions, tables
@@ -185,3 +188,63 @@ def analysed_samples(spark, d):
     tasks = table(spark, d, "orders").select("o_orderkey", c("o_custkey").alias("sample_id"), F.get(F.lit(["Calculus", "Physics", "History"]), (c("o_custkey") % 3).cast("int")).alias("subject"))
     out = phases.analysed(tasks, method_stub, "analyse", c("sample_id").cast("string"))
     return out.select("o_orderkey", "sample_id", "student_method", F.array_join("alternative_methods", "|").alias("alternatives"), "should_branch")
+
+
+# ---- dialogues, quizzes, words ---------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT *, 'Problem ' || conv_id AS problem, lead(CASE WHEN role = 'user' THEN text END) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, turn, problem, text AS system, answer AS usr, row_number() OVER w AS n, lag(answer) OVER w AS prior FROM p WHERE role <> 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, n = 1 OR coalesce(prior, '') <> '' AS starts, CASE WHEN n = 1 THEN problem ELSE prior END AS prompt FROM t),
+g AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS pair FROM s),
+f AS (SELECT conv_id, turn, pair, first_value(prompt) OVER w AS prompt, first_value(system) OVER w AS response FROM g WINDOW w AS (PARTITION BY conv_id, pair ORDER BY turn)),
+e AS (SELECT DISTINCT conv_id, pair, prompt, response FROM f)
+SELECT f.conv_id, f.turn, md5(f.prompt) AS prompt_md5, md5(f.response) AS response_md5, count(e.pair) AS n_history, md5(coalesce(string_agg(e.prompt || '|' || e.response, '|' ORDER BY e.pair), '')) AS history_md5
+FROM f LEFT JOIN e ON e.conv_id = f.conv_id AND e.pair < f.pair GROUP BY f.conv_id, f.turn, f.prompt, f.response""")
+def dialogue_histories(spark, d):
+    """Training rows of the conversations: what is not said by the user is asked by the teacher, whose answer is the user's next turn."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, d, "conversations").withColumn("user", F.lead(F.when(c("role") == "user", c("text"))).over(w)).where("role <> 'user'")
+    turns = rows.select(c("conv_id"), "turn", F.concat(F.lit("Problem "), c("conv_id").cast("string")).alias("problem"), c("text").alias("system"), "user")
+    md5 = lambda x: F.md5(x.cast("binary"))
+    out = dialogue.history(turns, "conv_id", "turn")
+    return out.select("conv_id", "turn", md5(c("prompt")).alias("prompt_md5"), md5(c("response")).alias("response_md5"), F.size("history").cast("long").alias("n_history"), md5(F.array_join(F.flatten("history"), "|")).alias("history_md5"))
+
+
+DRAW = "CAST(CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""WITH q AS (SELECT c_custkey, (c_custkey * 37 % 101) / 100.0::DOUBLE AS mastery, ['A', 'B', 'C', 'D'][c_custkey % 4 + 1] AS correct, list_filter(['A', 'B', 'C', 'D'], lambda o: o <> ['A', 'B', 'C', 'D'][c_custkey % 4 + 1]) AS wrong FROM customer)
+SELECT c_custkey, CASE WHEN {DRAW.format("c_custkey || '/9'")} < 0.25::DOUBLE + 0.75::DOUBLE * mastery THEN correct ELSE wrong[CAST(floor({DRAW.format("c_custkey || '/other/9'")} * 3) AS INT) + 1] END AS student_answer FROM q""")
+def quiz_draws(spark, d):
+    k = c("c_custkey")
+    letters = F.lit(["A", "B", "C", "D"])
+    rows = table(spark, d, "customer").select("c_custkey", (k * 37 % 101 / 100.0).alias("mastery"), F.get(letters, (k % 4).cast("int")).alias("correct_answer"), letters.alias("options"))
+    return dialogue.quiz_answers(rows, 9, "c_custkey").select("c_custkey", "student_answer")
+
+
+@query(f"""WITH {T}, a AS (SELECT conv_id, CAST(CASE action_type {RATE} ELSE 0.03 END AS DOUBLE) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn_index) - 1 AS i, turn_index FROM t WHERE speaker = 'tutor'),
+n AS (SELECT conv_id, turn_index, r, ({DRAW.format("conv_id || '/' || i || '/7'")} * 2 - 1) * 0.01::DOUBLE AS n FROM a),
+l AS (SELECT conv_id, list({{'r': r, 'n': n}} ORDER BY turn_index) AS l FROM n GROUP BY 1)
+SELECT conv_id, round(list_reduce(list_prepend({{'r': 0.2::DOUBLE, 'n': 0.0::DOUBLE}}, l), lambda s, x: {{'r': least(1.0::DOUBLE, greatest(0.0::DOUBLE, s.r + x.r * (1 - s.r * 0.5::DOUBLE) + x.n)), 'n': 0.0::DOUBLE}}).r, 6) AS mastery FROM l""")
+def noisy_mastery(spark, d):
+    acts = turns(spark, d).where("speaker = 'tutor'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "action_type"))), lambda x: x["action_type"]).alias("actions"))
+    draws = F.transform(F.sequence(F.lit(0), F.size("actions") - 1), lambda i: dialogue.draw(7, c("conv_id"), i))
+    return acts.select("conv_id", F.round(dialogue.mastery_fold(c("actions"), F.lit(0.2), F.lit("struggling"), draws), 6).alias("mastery"))
+
+
+@query(r"""WITH RECURSIVE w AS (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS word FROM part), d AS (SELECT word, count(*) AS n FROM w GROUP BY 1), s AS (SELECT ln(CAST(sum(n) AS DOUBLE)) AS total, max(length(word)) AS longest FROM d),
+m AS (SELECT map(list(word), list(ln(CAST(n AS DOUBLE)) - total)) AS shares, any_value(total) AS total, any_value(longest) AS longest FROM d, s),
+b AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS run, length(regexp_replace(lower(p_name), '[^a-z]', '', 'g')) AS i, [0.0::DOUBLE] AS worth FROM part
+  UNION ALL
+  SELECT p_partkey, run, i - 1, list_prepend(list_max(list_transform(range(1, least(longest, length(run) - i + 1) + 1),
+    lambda k: coalesce(shares[substr(run, i, k)], CASE WHEN k = 1 THEN -total ELSE -1e9 END) + worth[k])), worth) FROM b, m WHERE i >= 1)
+SELECT p_partkey, run, round(worth[1], 4) AS worth FROM b WHERE i = 0""")
+def cut_names(spark, d):
+    """Part names without their blanks, cut by the dictionary of all names: what the best cut is worth."""
+    names = table(spark, d, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[^a-z]", "").alias("run"))
+    words = cutter.spaced(table(spark, d, "part").select(F.regexp_replace(F.lower("p_name"), "[^a-z]+", " ").alias("text")))
+    own = cutter.cutter(words, everywhere=True)
+    cut = cutter.cut(names, "run", own).select("p_partkey", "run", F.posexplode_outer("words").alias("i", "word")).join(words, "word", "left")
+    share = F.when(c("word").isNull(), 0.0).otherwise(F.log(F.coalesce("n", F.lit(1)).cast("double")) - F.lit(own.total))
+    return rounded(cut.groupBy("p_partkey", "run").agg(F.sum(share).alias("worth")), "worth", places=4)

@@ -117,10 +117,17 @@ def bleu_4(predicted: Column, wanted: Column) -> Column:
     return score(predicted, wanted)
 
 
-def overlaps(rows: DataFrame, predicted: str = "predict", wanted: str = "labels") -> DataFrame:
-    """The rows with rouge_1, rouge_2, rouge_l and bleu_4."""
+def overlaps(rows: DataFrame, predicted: str = "predict", wanted: str = "labels", cutter: Cutter | None = None) -> DataFrame:
+    """The rows with rouge_1, rouge_2, rouge_l and bleu_4. ``cutter`` parts text that is written without blanks (see ``cutter``): its words are joined by blanks first, BLEU goes by characters."""
     a, b = F.col(predicted), F.col(wanted)
     x, y = F.col("_a"), F.col("_b")
+    if cutter is not None:
+        from .cutter import cut as parted
+
+        both = parted(parted(rows, predicted, cutter, "_p"), wanted, cutter, "_w")
+        texts = both.withColumns({c: F.array_join(c, " ") for c in ("_p", "_w")})
+        scores = {"rouge_1": rouge_n(x, y, 1), "rouge_2": rouge_n(x, y, 2), "rouge_l": rouge_l(F.col("_p"), F.col("_w")), "bleu_4": bleu_4(a, b)}
+        return cut(texts, _a=F.col("_p"), _b=F.col("_w")).withColumns(scores).drop("_a", "_b", "_p", "_w")
     return cut(rows, _a=a, _b=b).withColumns({"rouge_1": rouge_n(x, y, 1), "rouge_2": rouge_n(x, y, 2), "rouge_l": rouge_l(a, b), "bleu_4": bleu_4(a, b)}).drop("_a", "_b")
 
 

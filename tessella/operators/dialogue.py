@@ -91,17 +91,31 @@ def quiz_score(answers: DataFrame, *keys: str) -> DataFrame:
     return answers.groupBy(*keys).agg(F.coalesce(F.avg(one), F.lit(0.0)).alias("quiz_score"))
 
 
-def mastery_fold(actions: Column, start: Column, persona: Column) -> Column:
-    """Mastery after an ordered array of tutor actions, with diminishing returns and no noise."""
+def draw(seed: int, *ids: Column) -> Column:
+    """A number from 0 up to 1 that depends on the seed and the ids alone: 52 bits of their MD5, so any engine can draw it and no order of rows matters."""
+    said = F.concat_ws("/", *[x.cast("string") for x in ids], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def mastery_fold(actions: Column, start: Column, persona: Column, draws: Column | None = None, noise: float = 0.01) -> Column:
+    """Mastery after an ordered array of tutor actions, with diminishing returns; ``draws``, an array beside the actions, moves each step by up to ``noise``."""
     table = F.create_map(*[x for p, rs in RATES.items() for a, r in rs.items() for x in (F.lit(f"{p}/{a}"), F.lit(r))])
     known = F.when(persona.isin(list(RATES)), persona).otherwise("struggling")
     rate = lambda a: F.coalesce(F.try_element_at(table, F.concat(known, F.lit("/"), a)), F.lit(0.03))
-    return F.aggregate(actions, start.cast("double"), lambda s, a: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s + rate(a) * (1 - s * 0.5))))
+    moved = F.transform(actions, lambda a, i: F.struct(rate(a).alias("r"), (F.lit(0.0) if draws is None else (F.get(draws, i) * 2 - 1) * noise).alias("n")))
+    return F.aggregate(moved, start.cast("double"), lambda s, x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s + x["r"] * (1 - s * 0.5) + x["n"])))
 
 
-def quiz_chance(mastery: Column, seed: int, *ids: str) -> Column:
-    """Whether a question is answered right: a fixed draw per row below 0.25 + 0.75 * mastery."""
-    return F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < 0.25 + 0.75 * mastery
+def quiz_answers(questions: DataFrame, seed: int, *ids: str) -> DataFrame:
+    """``questions`` (mastery, correct_answer, options) with student_answer: the right one by a draw below 0.25 + 0.75 * mastery, else one of the others by a second draw.
+
+    Without other options it is A. The draws depend on the values of ``ids``: rows that agree in all of them answer alike.
+    """
+    own = [F.col(i) for i in ids]
+    wrong = F.filter(F.coalesce("options", F.array().cast("array<string>")), lambda o: o != F.col("correct_answer"))
+    other = F.get(F.col("_wrong"), F.floor(draw(seed, *own, F.lit("other")) * F.size("_wrong")).cast("int"))
+    right = draw(seed, *own) < 0.25 + 0.75 * F.coalesce("mastery", F.lit(0.0))
+    return questions.withColumn("_wrong", wrong).withColumn("student_answer", F.when(right, F.col("correct_answer")).otherwise(F.coalesce(other, F.lit("A")))).drop("_wrong")
 
 
 def pes(scores: DataFrame) -> DataFrame:
@@ -184,19 +198,28 @@ def so_far(turns: DataFrame, conv: str = "conv_id", pos: str = "turn_index") ->
     return turns.withColumns({"last_tutor": F.last(F.when(tutor, F.col("utterance")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "tutor_turns": F.count_if(tutor).over(w)})
 
 
-def history(turns: DataFrame, dialogue: str = "dialogue_id", pos: str = "pos") -> DataFrame:
-    """Training rows of a dialogue (problem, system, user per turn): prompt, response, earlier [prompt, response] pairs.
+def history_index(turns: DataFrame, dialogue: str = "dialogue_id", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """Training rows of a dialogue (problem, system, user per turn) without copies of what was said before: (rows, pairs).
 
-    A turn after one without a user text repeats that turn's first response, as the pair it extends keeps its first.
+    ``rows``: the turns with prompt, response and n_history, how many pairs come before. ``pairs``: each dialogue's [prompt, response] pairs once, in order. A turn after one
+    without a user text repeats that turn's first response, as the pair it extends keeps its first.
     """
     w = Window.partitionBy(dialogue).orderBy(pos)
     before = F.lag("user").over(w)
     start = (F.row_number().over(w) == 1) | F.lag(F.coalesce(F.col("user"), F.lit("")) != "").over(w)
     rows = turns.withColumns({"_start": start, "prompt": F.when(F.row_number().over(w) == 1, F.col("problem")).otherwise(before)})
-    rows = rows.withColumn("_pair", F.sum(F.col("_start").cast("int")).over(w)).withColumns({"prompt": F.first("prompt").over(Window.partitionBy(dialogue, "_pair").orderBy(pos)), "response": F.first("system").over(Window.partitionBy(dialogue, "_pair").orderBy(pos))})
-    earlier = F.collect_list(F.when(F.col("_start"), F.array("prompt", "response"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_all", earlier)
-    return rows.withColumn("history", F.slice("_all", F.lit(1), F.size("_all") - 1)).drop("_start", "_pair", "_all")
+    rows = rows.withColumn("_pair", F.sum(F.col("_start").cast("int")).over(w))
+    own = Window.partitionBy(dialogue, "_pair").orderBy(pos)
+    rows = rows.withColumns({"prompt": F.first("prompt").over(own), "response": F.first("system").over(own), "n_history": F.col("_pair") - 1})
+    said = F.array_sort(F.collect_list(F.struct("_pair", "prompt", "response")))
+    pairs = rows.where("_start").groupBy(dialogue).agg(F.transform(said, lambda x: F.array(x["prompt"], x["response"])).alias("pairs"))
+    return rows.drop("_start", "_pair"), pairs
+
+
+def history(turns: DataFrame, dialogue: str = "dialogue_id", pos: str = "pos") -> DataFrame:
+    """The rows of ``history_index`` with ``history``, the earlier [prompt, response] pairs, for a sink: a row's pairs are cut from its dialogue's as it is written."""
+    rows, pairs = history_index(turns, dialogue, pos)
+    return rows.join(pairs, dialogue, "left").withColumn("history", F.slice("pairs", F.lit(1), F.col("n_history").cast("int"))).drop("pairs", "n_history")
 
 
 def session_stats(sessions: DataFrame, *keys: str) -> DataFrame:
