@@ -7,7 +7,7 @@ distance range, the triangle inequality gives |q - x| >= gap and so 2 q.x <= |q|
 
 Each query expands the annuli in the order of its own bounds, in waves that grow by ``GROWTH``; after a wave it goes on only to
 annuli whose bound reaches its k-th score so far, and stops when none does. Queries reach the annuli of a wave, and
-none else, through a shuffle; a large annulus is dealt out in parts. The best of all waves are merged.
+none else, through a shuffle of both; annuli that no query goes to stay where they are, a large one is dealt out in parts. The best of all waves are merged.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pivots are fitted on a sample of at most SAMPLE vectors; every vector is indexed. At most PIVOTS cells of RINGS annuli each, so
-#: many that an annulus holds about TARGET vectors; one of more than PART vectors is dealt out in parts.
+#: Pivots are fitted on a sample of at most SAMPLE vectors; every vector is indexed. As many cells as the square root of the vectors,
+#: at most PIVOTS, of up to RINGS annuli, one for each TARGET vectors; an annulus of more than PART vectors is dealt out in parts.
 SAMPLE, PIVOTS, RINGS, TARGET, PART = 4096, 256, 16, 4096, 16_384
 #: The first wave's annuli, and by how much a wave exceeds the one before.
 WAVE, GROWTH = 2, 8
@@ -112,7 +112,7 @@ def indexed(rows: DataFrame) -> tuple[DataFrame, dict[int, Annuli], str]:
     for dim, n in sizes.items():
         share = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= (1 << 20) * SAMPLE / n)).limit(SAMPLE).select("v")
         sample = np.array([r.v for r in share.collect()] or [[0.0] * max(1, dim)], float)
-        pivots[dim] = choose_pivots(np.unique(sample, axis=0), max(1, min(PIVOTS, n // TARGET)))
+        pivots[dim] = choose_pivots(np.unique(sample, axis=0), max(1, min(PIVOTS, int(n**0.5))))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +162,8 @@ def searched(index: DataFrame, asking: DataFrame, annuli: dict[int, Annuli], k:
     """Rows of FOUND: for each query that met a part of an annulus, its k best there that are at least its worst so far."""
     counts = [(d, int(c), int(r), -(-int(n) // PART)) for d, own in annuli.items() for c, r, n in zip(own.cell, own.ring, own.count, strict=True)]
     parts = F.broadcast(index.sparkSession.createDataFrame(counts, "dim int, cell int, ring int, _parts int"))  # a row for each annulus
-    held = index.join(parts, ["dim", "cell", "ring"]).select("_row", "dim", "v", F.lit(0.0).alias("worst"), "cell", "ring", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int").alias("part"), "vec_id", F.lit(0).alias("kind"))
+    met = F.broadcast(asking.select("dim", "cell", "ring").distinct())  # no more rows than annuli
+    held = index.join(met, ["dim", "cell", "ring"], "left_semi").join(parts, ["dim", "cell", "ring"]).select("_row", "dim", "v", F.lit(0.0).alias("worst"), "cell", "ring", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int").alias("part"), "vec_id", F.lit(0).alias("kind"))
     both = held.unionByName(asking.withColumns({"vec_id": F.lit(None).cast("long"), "kind": F.lit(1)}))
     place = ["dim", "cell", "ring", "part"]
     dealt = both.repartition(common.shuffle_width(index.sparkSession), *place).sortWithinPartitions(*place, "kind", "_row")
@@ -226,10 +227,10 @@ def best(vectors: DataFrame, asked: Column, k: int = 10) -> tuple[DataFrame, dic
     """
     spark = vectors.sparkSession
     own = whole(vectors.withColumn("_asked", F.coalesce(asked, F.lit(False))).select(F.col("vec_id").cast("long"), "embedding", "_asked").where("vec_id IS NOT NULL"))
-    rows, at = common.materialise(own.withColumn("_row", F.monotonically_increasing_id()), "topk-rows")
+    rows, at_rows = common.materialise(own.withColumn("_row", F.monotonically_increasing_id()), "topk-rows")
     index, annuli, at_index = indexed(rows)
     queries = rows.where("_asked").select("_row", F.col("vec_id").alias("query_id"), "dim", "v").withColumn("worst", F.lit(float("-inf")))
-    most, done, wave, found, paths, visited = max((len(a.cell) for a in annuli.values()), default=0), 0, WAVE, None, [at, at_index], 0
+    most, done, wave, found, paths, visited = max((len(a.cell) for a in annuli.values()), default=0), 0, WAVE, None, [], 0
     top = Window.partitionBy("_row").orderBy(F.desc("score"), "vec_id")
     while done < most:
         asking, at_asking = common.materialise(sent(queries, annuli, done, wave), "topk-asking")
@@ -245,9 +246,10 @@ def best(vectors: DataFrame, asked: Column, k: int = 10) -> tuple[DataFrame, dic
         common.discard(spark, at_asking)
         done, wave = done + wave, wave * GROWTH
     if found is None:
+        common.discard(spark, at_rows, at_index)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"), {"pairs": 0, "visited": 0}
     sizes = {r.dim: r["count"] for r in queries.groupBy("dim").count().collect()}
-    common.discard(spark, at_index, *paths[2:-1])
+    common.discard(spark, at_index, *paths[:-1])
     ids = rows.where("_asked").select("_row", F.col("vec_id").alias("query_id"))
     out = found.withColumn("rank", F.row_number().over(top).cast("int")).join(ids, "_row").select("query_id", "rank", "vec_id", "score")
     return out, {"pairs": sum(n * len(annuli[d].cell) for d, n in sizes.items()), "visited": visited}

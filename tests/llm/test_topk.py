@@ -19,7 +19,7 @@ def plain(rows, every, k):
 
 @pytest.mark.parametrize("target, part", [(4096, 16_384), (16, 10)])
 def test_small(spark, monkeypatch, target, part):
-    """With one annulus, and with many of several parts in three waves."""
+    """With one annulus a cell, and with many of several parts."""
     monkeypatch.setattr(topk, "TARGET", target)
     monkeypatch.setattr(topk, "PART", part)
     rng = np.random.default_rng(1)
@@ -52,6 +52,16 @@ def test_stops_early(spark, monkeypatch):
     assert len(got) == 20
 
 
+def test_few_vectors_are_indexed_too(spark):
+    """2,000 vectors in clusters, with the production parameters: most annuli are never visited, and vectors that aren't are not shuffled."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(25, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(centres[rng.integers(0, 25, 2000)] + rng.normal(size=(2000, 16)) * 0.02)]
+    out, tally = topk.best(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, out.collect())) == plain(rows, 100, 10)
+    assert tally["pairs"] >= 20 * 20 and tally["visited"] < tally["pairs"] / 3
+
+
 def test_large_numbers():
     q, x = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [2.0**30, 0.0]])
     assert topk.products(q, x).tolist() == [[2**60 + 3, 2**63 - 1]]
