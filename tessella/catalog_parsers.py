@@ -67,6 +67,16 @@ def woven_selections(spark, d):
     return woven(spark, d, *CHOICES).select("doc_id", text.selection(c("t"), 5).alias("choice"))
 
 
+REASONS = ("conversations", TURN, ["\nSELECTED: 2\n", "\nREASONING: ", "\n", " \n\n ", "REASONING:", "\nreasoning: "], 43)
+
+
+@query(rf"""WITH {weave(*REASONS)}, l AS (SELECT conv_id, turn, list_transform(string_split({strip("t")}, chr(10)), lambda x: {strip("x")}) AS l FROM t),
+p AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: starts_with(x, 'REASONING:')), true), 0) AS spot FROM l)
+SELECT conv_id, turn, md5(CASE WHEN spot = 0 THEN 'No reasoning provided' ELSE array_to_string(list_concat([{strip("string_split(l[spot], 'REASONING:')[2]")}], list_filter(l, lambda x, i: i > spot AND NOT starts_with(x, 'SELECTED:') AND x <> '')), ' ') END) AS reasoning_md5 FROM p""")
+def woven_reasons(spark, d):
+    return woven(spark, d, *REASONS).select("conv_id", "turn", md5(text.selection_reason(c("t"))).alias("reasoning_md5"))
+
+
 TEACHER = ("conversations", TURN, ["Thought: ", "\nAction: give hint\n", "\nAction: SUCCESS\n", "\n ACTION: probe_understanding ", "\nUtterance: \"", "\nutterance: ", "```", "\n", "end_stuck ", "thought: ", "Action: dance ", "' "], 41)
 ACTIONS = listed(text.ACTIONS)
 ACTION = "CASE WHEN list_contains({acts}, n) THEN n {alias} {holds} END".format(

@@ -96,6 +96,15 @@ def selection(text: Column, n: int) -> Column:
     return F.least(F.greatest(F.coalesce(k - 1, F.lit(0)), F.lit(0)), F.lit(n - 1))
 
 
+def selection_reason(text: Column) -> Column:
+    """What the first line "REASONING:" says, and the lines below it but for empty ones and selections, joined by blanks."""
+    lines = F.transform(F.split(strip(text), "\n"), strip)
+    at = F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit("REASONING:"))), True).cast("int")
+    head = strip(F.get(F.split(F.get(lines, at - 1), "REASONING:"), F.lit(1)))
+    rest = F.filter(lines, lambda x, i: (i >= at) & ~F.startswith(x, F.lit("SELECTED:")) & (x != ""))
+    return F.when(at > 0, F.array_join(F.concat(F.array(head), rest), " ")).otherwise(F.lit("No reasoning provided"))
+
+
 def method_analysis(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n"), strip)
 

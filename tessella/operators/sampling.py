@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,13 @@ def first_of(rows: DataFrame, group: str, key: str, targets: DataFrame, seed: in
     counts = slotted.groupBy(group, "_slot").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(sofar) - F.col("_n"))
     edges = counts.join(F.broadcast(targets), group).where("_before < _target AND _before + _n >= _target").select(group, F.col("_slot").alias("_edge"), (F.col("_target") - F.col("_before")).alias("_rest"))
     known = slotted.join(F.broadcast(targets), group, "left").join(F.broadcast(edges), group, "left")  # a row for each group
-    at = F.col("_slot") == F.col("_edge")
-    place = F.row_number().over(Window.partitionBy(group, F.when(at, F.col("_slot")), F.when(~F.coalesce(at, F.lit(False)), F.col(key))).orderBy(*order(key, seed)))
+    at = F.coalesce(F.col("_slot") == F.col("_edge"), F.lit(False))
     whole = F.coalesce(F.col("_target"), F.lit(0)) > 0
-    # Without an edge the group is smaller than its target.
-    return known.withColumn("_in", whole & F.when(F.col("_edge").isNull(), True).when(at, place <= F.col("_rest")).otherwise(F.col("_slot") < F.col("_edge"))).drop("_slot", "_target", "_edge", "_rest")
+    place = F.row_number().over(Window.partitionBy(group, "_slot").orderBy(*order(key, seed)))
+    # Only rows of the edges' slots are shuffled and ranked. Without an edge the group is smaller than its target.
+    ranked = known.where(at).withColumn("_in", whole & (place <= F.col("_rest")))
+    others = known.where(~at).withColumn("_in", whole & F.coalesce(F.col("_slot") < F.col("_edge"), F.lit(True)))
+    return ranked.unionByName(others).drop("_slot", "_target", "_edge", "_rest")
 
 
 def seeded_take(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -61,6 +65,47 @@ def sizes(counts: DataFrame, mode: str, amount: float, include: list[str] | None
     return kept.withColumn("target", target.cast("long"))
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How a sample is drawn: one of ``per_category``, ``percentage`` (of each, over 0 and up to 1) and ``total``; 3 of each category if none is given."""
+
+    per_category: int | None = None
+    percentage: float | None = None
+    total: int | None = None
+    include: tuple[str, ...] | None = None
+    exclude: tuple[str, ...] | None = None
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        given = [x is not None for x in (self.per_category, self.percentage, self.total)]
+        if sum(given) > 1:
+            raise ValueError("only one of per_category, percentage and total")
+        if self.percentage is not None and not 0 < self.percentage <= 1:
+            raise ValueError("percentage is over 0 and at most 1")
+
+    def mode(self) -> tuple[str, float]:
+        if self.percentage is not None:
+            return "percentage", self.percentage
+        return ("cap", self.total) if self.total is not None else ("fixed", 3 if self.per_category is None else self.per_category)
+
+
+def planned(rows: DataFrame, category: str, key: str, plan: Plan) -> DataFrame:
+    """The sample of a plan; a plan that leaves no category is an error."""
+    kept = rows if plan.include is None else rows.where(F.col(category).isin(*plan.include))
+    kept = kept if plan.exclude is None else kept.where(~F.col(category).isin(*plan.exclude))
+    if kept.isEmpty():
+        raise ValueError("no rows are left by include and exclude")
+    return balanced(kept, category, key, *plan.mode(), plan.seed)
+
+
+def one_of(rows: DataFrame, column: str, value: str, key: str, seed: int = 42) -> DataFrame:
+    """A random row among those with a value (a difficulty, say); an error if there are none."""
+    found = seeded_take(rows.where(F.col(column) == value), key, 1, seed)
+    if found.isEmpty():
+        raise ValueError(f"no row with {column} = {value!r}")
+    return found
+
+
 def balanced(rows: DataFrame, category: str, key: str, mode: str, amount: float, seed: int = 42, **filters) -> DataFrame:
     plan = sizes(rows.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("available")), mode, amount, **filters).select(F.col("category").alias(category), F.col("target").alias("_target"))
     return first_of(rows, category, key, plan, seed).where("_in").drop("_in")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -153,6 +155,21 @@ def config(path: str, default: dict | None = None) -> dict:
         return json.load(f)
 
 
+def typed(path: str, kind: type, default: dict | None = None):
+    """A configuration as a dataclass, whose own checks apply; names that it doesn't have are an error."""
+    values = config(path, default)
+    if unknown := sorted(set(values) - {f.name for f in dataclasses.fields(kind)}):
+        raise ValueError(f"{kind.__name__} has no {', '.join(unknown)}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
+
+def weights(**values: float) -> dict[str, float]:
+    """Weights that add up to 1, within a hundredth."""
+    if not math.isclose(sum(values.values()), 1.0, rel_tol=0.01):
+        raise ValueError(f"weights add up to {sum(values.values())}, not 1")
+    return values
+
+
 def save_config(values: dict, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(values, f, indent=2, ensure_ascii=False)
@@ -180,6 +197,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_splits(rows: DataFrame, path: str, csv_too: bool = False) -> None:
+    """A folder for each ``split``, JSON lines or CSV with a header."""
+    writer = rows.write.mode("overwrite").partitionBy("split")
+    (writer.option("header", True).option("escape", '"').csv if csv_too else writer.option("ignoreNullFields", False).json)(path)
+
+
 def write_text(rows: DataFrame, path: str, text: str = "report", *keys: str) -> None:
     """One text column; a folder for each value of the keys, if any are given."""
     writer = rows.select(*keys, text).write.mode("overwrite").option("lineSep", "\n\n")
