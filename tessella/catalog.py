@@ -266,8 +266,7 @@ n AS (SELECT pos, sqrt(sum(x * x)) AS n FROM x GROUP BY 1), u AS (SELECT pos, te
 @query(f"WITH {DOCS_TF} SELECT a.pos AS i, b.pos AS j, round(sum(a.w * b.w), 5) AS similarity FROM u a JOIN u b ON a.term = b.term AND b.pos < a.pos GROUP BY ALL HAVING sum(a.w * b.w) >= 0.9")
 def tfidf_pairs(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
-    n = spark.sparkContext.defaultParallelism
-    return rounded(dedup.similar_pairs(staged(dedup.vectors(docs.repartition(n)), "tfidf")), "similarity", places=5)
+    return rounded(dedup.similar_pairs(staged(dedup.vectors(docs), "tfidf")), "similarity", places=5)
 
 
 @query(f"""WITH RECURSIVE {DOCS_TF}, p AS (SELECT a.pos AS i, b.pos AS j FROM u a JOIN u b ON a.term = b.term AND b.pos < a.pos GROUP BY ALL HAVING sum(a.w * b.w) >= 0.9),
@@ -275,7 +274,7 @@ n AS (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS k FROM p GROUP
 s AS (SELECT 0::BIGINT AS k, js AS kept FROM f UNION ALL SELECT n.k, CASE WHEN list_has_any(kept, n.js) THEN kept ELSE list_append(kept, n.i) END FROM s JOIN n ON n.k = s.k + 1),
 e AS (SELECT unnest(kept) AS i FROM s WHERE k = (SELECT max(k) FROM s)) SELECT doc_id AS pos FROM documents WHERE doc_id NOT IN (SELECT i FROM p) OR doc_id IN (SELECT i FROM e)""".replace(", n AS (SELECT pos, sqrt", ", nn AS (SELECT pos, sqrt").replace("n AS (SELECT pos, sqrt(sum(x * x)) AS n FROM x GROUP BY 1)", "nn AS (SELECT pos, sqrt(sum(x * x)) AS n FROM x GROUP BY 1)").replace("FROM x JOIN n USING (pos)", "FROM x JOIN nn USING (pos)"))
 def tfidf_deduplicated(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text").repartition(spark.sparkContext.defaultParallelism)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
     return dedup.deduplicated(docs)[0].select("pos")
 
 

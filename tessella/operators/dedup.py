@@ -8,11 +8,14 @@ on the pair table in rounds: a row is kept once all similar rows before it are r
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quantiles
@@ -22,55 +25,152 @@ from .staging import discarded, staged
 BLOCK, TILE = 2048, 512
 #: Words left out of the vocabulary: a short list of function words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "she", "that", "the", "they", "this", "to", "was", "we", "were", "will", "with", "you"]
+STOP = frozenset(STOP_WORDS)
+
+
+#: Different terms that a task counts before it passes them on.
+HELD = 1 << 20
+WORD = re.compile(r"\b\w\w+\b")
+
+
+def width(rows: DataFrame) -> int:
+    """Partitions of work that is more than its bytes tell: a number that is stated is not coalesced."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def terms(text: str | None) -> list[str]:
+    """Words of two letters or more but for stop words, and pairs of those that follow each other."""
+    words = [w for w in WORD.findall((text or "").lower()) if w not in STOP]
+    return words + [f"{a} {b}" for a, b in pairwise(words)]
+
+
+def vocabulary(rows: DataFrame, max_features: int) -> list[tuple[str, int]]:
+    """(term, df) of the max_features terms with most occurrences, ties by term, the rarest first. Tasks add up their own texts' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        inside: Counter = Counter()
+
+        def passed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([inside[t] for t in total], pa.int64())], ["term", "total", "df"])
+            total.clear()
+            inside.clear()
+            return out
+
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                own = Counter(terms(text))
+                total.update(own)
+                inside.update(own.keys())
+                if len(total) >= HELD:
+                    yield passed()
+        yield passed()
+
+    counts = rows.mapInArrow(run, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    best = counts.orderBy(F.desc("total"), "term").limit(max_features).collect()
+    return sorted(((r.term, r.df) for r in best), key=lambda x: (x[1], x[0]))
 
 
 def vectors(docs: DataFrame, max_features: int = 5000, text: str = "text", pos: str = "pos") -> DataFrame:
-    """(pos, term, w): unit tf-idf vectors over words and word pairs; idf = ln((1 + n) / (1 + df)) + 1.
+    """(pos, t, w): unit tf-idf vectors over words and word pairs; idf = ln((1 + n) / (1 + df)) + 1. ``t``: numbers of terms, ascending, the rarest term 0.
 
-    The vocabulary is the max_features terms with most occurrences (ties by term). Texts without a term have no row.
+    The vocabulary is the max_features terms with most occurrences (ties by term); it goes to every task. Texts without a term have no row. Texts are read twice and
+    nothing of them is shuffled.
     """
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0), lambda w: ~w.isin(STOP_WORDS))
-    rows = docs.select(F.col(pos).alias("pos"), words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tf = rows.select("pos", F.explode(F.concat("w", pairs)).alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"))
-    tf = staged(tf, "tfidf-tf")
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    n = docs.count()
-    idf = stats.select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    raw = tf.join(F.broadcast(idf), "term").select("pos", "term", "df", (F.col("tf") * F.col("idf")).alias("x"))  # the vocabulary has max_features rows at most
-    norm = raw.groupBy("pos").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
-    return raw.join(norm, "pos").select("pos", "term", "df", (F.col("x") / F.col("norm")).alias("w"))
+    rows = docs.select(F.col(pos).cast("long").alias("pos"), F.col(text))
+    if rows.rdd.getNumPartitions() < width(rows):
+        rows = rows.repartition(width(rows))
+    known, n = vocabulary(rows, max_features), docs.count()
+    number = {t: i for i, (t, _) in enumerate(known)}
+    idf = np.log((n + 1.0) / (np.array([df for _, df in known], float) + 1.0)) + 1.0
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, t, w = [], [], []
+            for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = Counter(number[x] for x in terms(text) if x in number)
+                if own:
+                    ids = np.array(sorted(own), np.int32)
+                    x = np.array([own[i] for i in ids.tolist()], float) * idf[ids]
+                    at.append(p)
+                    t.append(ids)
+                    w.append(x / np.sqrt((x**2).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(t, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float64()))], ["pos", "t", "w"])
 
-def similar_pairs(weights: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """(i, j, similarity) with j < i and similarity at least the threshold.
+    return rows.mapInArrow(run, "pos long, t array<int>, w array<double>")
 
-    Whole vectors, of some hundred terms, go to the terms of their prefixes, where they are multiplied block against block; only pairs at the
-    threshold leave a task. A term of more than ``BLOCK`` vectors is dealt out as pairs of blocks.
+
+#: A vector as it is sent: term numbers and weights in single precision. What the rounding leaves uncertain is decided on exact weights.
+PACKED, ROUNDING = np.dtype([("t", "<u4"), ("w", "<f4")]), 1e-4
+
+
+def candidates(weights: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """(i, j), j < i, of all pairs with a similarity of at least the threshold, and of those that fall short of it by rounding only.
+
+    Vectors go, packed, to the terms of their prefixes that other vectors share, where they are multiplied block against block; only pairs about
+    the threshold leave a task. A term of more than ``BLOCK`` vectors is dealt out as pairs of blocks.
     """
-    rest = Window.partitionBy("pos").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    ranked = weights.withColumn("left", F.sum(F.col("w") ** 2).over(rest)).withColumn("first", F.col("left") >= threshold**2 - 1e-9)
-    names = ranked.groupBy("term").agg(F.count_if("first").alias("n")).orderBy("term").collect()  # at most max_features rows
-    numbers = {r.term: k for k, r in enumerate(names)}
-    number = F.broadcast(weights.sparkSession.createDataFrame([(t, k, -(-names[k].n // BLOCK)) for t, k in numbers.items()], "term string, number int, blocks int"))
-    rows = ranked.join(number, "term").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("number", "w"))).alias("v"), F.collect_list(F.when(F.col("first"), F.struct("number", "blocks"))).alias("prefix"))
-    own = F.pmod(F.xxhash64("pos"), F.col("at.blocks").cast("long")).cast("int")
-    sent = rows.select("pos", "v", F.explode("prefix").alias("at")).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)))
-    keyed = sent.select(F.col("at.number").alias("number"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("pos").cast("long").alias("pos"), F.col("v.number").alias("t"), F.col("v.w").alias("w"))
+
+    def prefixes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the batch's vectors in their terms and weights, and which terms are of a prefix: the rarest ones, until what is left is too short to reach the threshold."""
+        lists = b.column(1)
+        cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        t, w = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+        sofar = np.concatenate([[0.0], np.cumsum(w**2)])
+        left = np.repeat(sofar[cut[1:]], np.diff(cut)) - sofar[:-1]
+        return cut, t, w, left >= threshold**2 - 1e-9
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, np.int64)
+        for b in batches:
+            if len(b):
+                _, t, _, first = prefixes(b)
+                own = np.bincount(t[first])
+                if len(own) < len(n):
+                    own, n = n, own
+                own[: len(n)] += n
+                n = own
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["t", "n"])
+
+    rows = weights.select(F.col("pos").cast("long").alias("pos"), "t", "w")
+    sizes = rows.mapInArrow(counted, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).where("n > 1").collect()  # at most max_features rows
+    parts = np.zeros(max((r.t for r in sizes), default=-1) + 2, np.int64)
+    for r in sizes:
+        parts[r.t] = -(-r.n // BLOCK)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            pos = b.column(0).to_numpy()
+            cut, t, w, first = prefixes(b)
+            blocks = parts[np.minimum(t, len(parts) - 1)]
+            whole = np.empty(len(t), PACKED)
+            whole["t"], whole["w"] = t, w
+            doc = np.repeat(np.arange(len(pos)), np.diff(cut))
+            at = np.flatnonzero(first & (blocks > 0))
+            copies = np.repeat(at, blocks[at])
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks[at]) - blocks[at], blocks[at])
+            own = (pos[doc[copies]] * 0x9E3779B1 % (1 << 31)) % blocks[copies]
+            bodies = pa.array([whole[s:e].tobytes() for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ints(t[copies]), ints(np.minimum(own, other)), ints(np.maximum(own, other)), ints(own), pa.array(pos[doc[copies]]), bodies.take(pa.array(doc[copies]))], ["number", "lo", "hi", "block", "pos", "v"])
+
+    sent = rows.mapInArrow(packed, "number int, lo int, hi int, block int, pos long, v binary")
     # Posting lists are work of their own weight; many partitions deal it out evenly.
-    dealt = keyed.repartition("number", "lo", "hi").sortWithinPartitions("number", "lo", "hi", "block", "pos")
+    dealt = sent.repartition(4 * width(weights), "number", "lo", "hi").sortWithinPartitions("number", "lo", "hi", "block", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         here = None
 
         def pairs() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            pos, block = t.column("pos").to_numpy(), t.column("block").to_numpy()
-            lists = t.column("t").combine_chunks()
-            row = np.repeat(np.arange(len(pos)), np.diff(lists.offsets.to_numpy()))
-            terms, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-            w = t.column("w").combine_chunks().flatten().to_numpy()
+            table = pa.Table.from_batches(held)
+            pos, block, bodies = table.column("pos").to_numpy(), table.column("block").to_numpy(), table.column("v").to_pylist()
+            row = np.repeat(np.arange(len(pos)), [len(x) // PACKED.itemsize for x in bodies])
+            whole = np.frombuffer(b"".join(bodies), PACKED)
+            terms, column = np.unique(whole["t"], return_inverse=True)
             out = []
             cut = int(np.searchsorted(block, here[2])) if here[1] != here[2] else len(pos)
             left, right = np.arange(cut), np.arange(cut if here[1] != here[2] else 0, len(pos))
@@ -80,16 +180,15 @@ def similar_pairs(weights: DataFrame, threshold: float = 0.90) -> DataFrame:
                     y = right[b : b + TILE]
                     both = []
                     for part in (x, y):
-                        m = np.zeros((len(part), len(terms)))
-                        of = (row >= part[0]) & (row <= part[-1])
-                        m[row[of] - part[0], column[of]] = w[of]
+                        m = np.zeros((len(part), len(terms)), np.float32)
+                        s, e = np.searchsorted(row, [part[0], part[-1] + 1])
+                        m[row[s:e] - part[0], column[s:e]] = whole["w"][s:e]
                         both.append(m)
-                    s = both[0] @ both[1].T
-                    i, j = np.nonzero(s >= threshold - 1e-9)
+                    i, j = np.nonzero(both[0] @ both[1].T >= threshold - ROUNDING)
                     p, q = pos[x[i]], pos[y[j]]
                     keep = p != q if here[1] != here[2] else p < q
-                    out.append((np.maximum(p, q)[keep], np.minimum(p, q)[keep], s[i, j][keep]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*(o[k] for o in out), np.zeros(0, d)]).astype(d)) for k, d in enumerate((np.int64, np.int64, np.float64))], ["i", "j", "similarity"])
+                    out.append((np.maximum(p, q)[keep], np.minimum(p, q)[keep]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*(o[k] for o in out), np.zeros(0, np.int64)]).astype(np.int64)) for k in range(2)], ["i", "j"])
 
         for b in batches:
             keys = np.column_stack([b.column(k).to_numpy() for k in range(3)]) if len(b) else np.zeros((0, 3), int)
@@ -103,9 +202,23 @@ def similar_pairs(weights: DataFrame, threshold: float = 0.90) -> DataFrame:
         if held:
             yield pairs()
 
-    found = dealt.mapInArrow(run, "i long, j long, similarity double")
-    # A pair is met under each prefix term it shares, with sums that may differ in the last bits.
-    return found.groupBy("i", "j").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold)
+    return dealt.mapInArrow(run, "i long, j long").distinct()  # a pair is met under each prefix term it shares
+
+
+def similar_pairs(weights: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """(i, j, similarity) with j < i and similarity at least the threshold; similarities are sums of exact products of the weights."""
+
+    @F.arrow_udf("double")
+    def product(t_i: pa.Array, w_i: pa.Array, t_j: pa.Array, w_j: pa.Array) -> pa.Array:
+        out = []
+        for a, x, b, y in zip(t_i, w_i, t_j, w_j, strict=True):
+            _, k, m = np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), True, True)
+            out.append(float((x.values.to_numpy()[k] * y.values.to_numpy()[m]).sum()))
+        return pa.array(out, pa.float64())
+
+    side = lambda name: weights.select(F.col("pos").alias(name), F.col("t").alias(f"t_{name}"), F.col("w").alias(f"w_{name}"))
+    both = candidates(weights, threshold).join(side("i"), "i").join(side("j"), "j")
+    return both.select("i", "j", product("t_i", "w_i", "t_j", "w_j").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
