@@ -17,7 +17,7 @@ def plain(key, weights):
 def test_query(spark):
     rows = [(i, f"text {i}") for i in range(400)] + [(5, "text 5"), (5, None), (None, ""), (None, "é")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, shard int")
-    got = sharding.sharded(docs, [1.0] * 8, buckets=16).collect()
+    got = sharding.sharded(docs, [1.0] * 8, buckets=16, parts=3).collect()
     assert len(got) == len(rows)
     slots = defaultdict(list)
     for r in got:
@@ -35,3 +35,19 @@ def test_weights(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'x' AS text")
     n = {r.shard: r["count"] for r in sharding.sharded(docs, [1.0, 3.0, 0.0]).groupBy("shard").count().collect()}
     assert set(n) == {0, 1} and 0.2 < n[0] / 4000 < 0.3
+
+
+def test_many_rows_of_one_id_and_long_texts(spark):
+    """A third of the rows have no id: they are numbered in many parts, and a very long text is hashed whole."""
+    rows = [(None, f"text {i}") for i in range(2000)] + [(i, "same") for i in range(4000)] + [(9, "x" * 3_000_000 + "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.sharded(docs, [1.0] * 8)
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+    got = out.collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 1
+    long = max(got, key=lambda r: r.size)
+    assert long.size == 3_000_003 and long.text_crc32 == zlib.crc32(("x" * 3_000_000 + "é").encode())
