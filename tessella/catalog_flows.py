@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import providers
 from .catalog import META, R, RUNS, S, query, ratings, results, rounded, runs, table
-from .catalog_domain import asked, stub_judge
+from .catalog_domain import asked, stub_judge, talks
 from .operators import curation, rubrics, sampling
-from .plans import flows
+from .plans import episodes, flows
 
 c = F.col
 
@@ -111,3 +111,25 @@ def training_metadata(spark, d):
     out = curation.training_rows(rows, "s", metadata=True)
     said = F.array_join(F.flatten(F.transform("messages", lambda m: F.array(m["role"], m["content"]))), "|")
     return rounded(out.select("metadata.sample_id", F.md5(said.cast("binary")).alias("messages_md5"), "metadata.persona_name", "metadata.weighted_score"), "weighted_score")
+
+
+TENTH = {n: i for i, n in enumerate(episodes.JUDGED)}
+
+
+def scoring_judge(what: str, messages: list[dict]) -> str:
+    """A score by what is judged and how long the last message is: bare, fenced, out of range, as a text, or none."""
+    n = len(messages[-1]["content"]) if messages else 0
+    if what == "summary":
+        return f"{len(messages)} turns, {n} letters"
+    k = TENTH[what]
+    score = (n * (k + 1)) % 8 - 1
+    return [f'{{"score": {score}}}', f'Well:\n```json\n{{"score": {score}, "why": "x"}}\n```', f'{{"score": "{score}"}}', "no score", f'{{"score": {score}.7}}'][(n + k) % 5]
+
+
+SCORED = ", ".join(f"CASE WHEN (n + {k}) % 5 = 3 THEN 3 ELSE least(5, greatest(1, n * {k + 1} % 8 - 1)) END::INT AS {name}" for name, k in TENTH.items())
+
+
+@query(f"WITH m AS (SELECT conv_id, count(*) AS turns, length(arg_max(text, turn)) AS n FROM conversations GROUP BY 1) SELECT conv_id, {SCORED}, turns || ' turns, ' || n || ' letters' AS summary FROM m")
+def judged_conversations(spark, d):
+    """Ten scores and a summary of each conversation, by eleven replies in five shapes."""
+    return episodes.conversation_judged(talks(spark, d).withColumnRenamed("messages", "conversation"), scoring_judge).drop("conversation")

@@ -5,7 +5,6 @@ Every session is one row, so a lost task plays its sessions again and no other;
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -115,35 +114,24 @@ def experiment(questions: DataFrame, variants: dict[str, tuple[Call, Call]], ver
     return turns, dialogue.replayed(keyed, "run").withColumns({"variant": F.split_part("run", F.lit("/"), F.lit(1)), "session_id": F.split_part("run", F.lit("/"), F.lit(2))}).drop("run")
 
 
-def conversation_judged(conversations: DataFrame, judge: Call) -> DataFrame:
+def conversation_judged(conversations: DataFrame, judge: Call, **limits) -> DataFrame:
     """The rows (with ``conversation``: array of role and content) with a score from 1 to 5 for each of JUDGED, and a summary.
 
-    Eleven calls a row; an answer is JSON with "score", bare or fenced. A failed call, or one without a score, counts 3.
+    Eleven calls a row, each a row of its own that is asked on its own; the replies are written before they are read. A reply is JSON with "score", bare or fenced: a failed call, or one
+    without a score that is a number, counts 3. ``limits``: as of ``providers.respond``.
     """
+    from ..providers import respond
 
-    def score(said: str) -> int:
-        found = re.search(r"```(?:json)?\s*(.*?)```", said, re.S)
-        try:
-            value = json.loads(found.group(1) if found else said)["score"]
-            return min(5, max(1, int(value)))
-        except (ValueError, KeyError, TypeError):
-            return MISSING
-
-    def ask(what: str, row: dict) -> str:
-        try:
-            return judge(what, row["conversation"] or [])
-        except Exception:
-            return ""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.select(["conversation"]).to_pylist()
-            scores = [pa.array([score(ask(name, r)) for r in rows], pa.int32()) for name in JUDGED]
-            summary = pa.array([ask("summary", r) for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, *scores, summary], [*b.schema.names, *JUDGED, "summary"])
-
-    schema = conversations.select("*", *[F.lit(0).alias(n) for n in JUDGED], F.lit("").alias("summary")).schema
-    return conversations.mapInArrow(run, schema)
+    rows = staged(conversations.withColumn("_row", F.monotonically_increasing_id()), "conversations")
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    asked = rows.select("_row", F.coalesce("conversation", none).alias("messages"), F.explode(F.lit([*JUDGED, "summary"])).alias("system_prompt"))
+    said = staged(respond(asked, judge, **limits).select("_row", F.col("system_prompt").alias("what"), "response"), "judged")
+    value = text.fenced_json(F.col("response"), "score string")["score"].try_cast("double")
+    score = F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), value.try_cast("int"))), F.lit(MISSING))
+    found = said.withColumn("score", F.when(value.isNull(), MISSING).otherwise(score)).groupBy("_row").agg(
+        *[F.max(F.when(F.col("what") == n, F.col("score"))).alias(n) for n in JUDGED], F.max(F.when(F.col("what") == "summary", F.col("response"))).alias("summary")
+    )
+    return rows.join(found, "_row").drop("_row")
 
 
 def answers_judged(rows: DataFrame, judge: Call, truth: str = "ground_truth", answer: str = "answer") -> DataFrame:
