@@ -3,7 +3,8 @@
 Pairs are sought among distinct fingerprints only. For each of these the distances to 49 reference fingerprints (pivots) are
 measured once. Coordinates to 33 of them (a middle one and neighbours of it) key the cells in which
 candidates meet: two fingerprints within the radius agree in all but ``radius`` of the groups of these coordinates, so that they share
-a cell. There the table of distances to 16 spread pivots discards every pair whose largest coordinate
+a cell. As each of these pivots differs from the middle one in two bits of its own, a coordinate tells how far a fingerprint is from it in these two
+bits: the cells are a banding over pairs of bits, written as distances. There the table of distances to 16 spread pivots discards every pair whose largest coordinate
 difference exceeds the radius (triangle inequality), and survivors are verified bit by bit. Of a cell's links only a
 spanning forest of chains is kept, and components come from min-label propagation with pointer jumping.
 """
