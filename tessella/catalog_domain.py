@@ -503,7 +503,10 @@ def simulated_sessions(spark, d):
     return out.select("variant", "session_id", "total_turns", "terminated_naturally", "forced_termination", "final_answer", "final_judge_verdict")
 
 
-@query("SELECT CAST(n AS INT) AS n, round(t, 4)::DOUBLE AS t FROM (VALUES (2, 12.7062047), (3, 4.3026527), (31, 2.0422725), (201, 1.9718962), (100001, 1.9599877)) v(n, t)")
+@query("""WITH t(n, t) AS (VALUES (2, 12.7062047), (3, 4.3026527), (4, 3.1824463), (5, 2.7764451), (6, 2.5705818), (7, 2.4469119), (8, 2.3646243)),
+g AS (SELECT l_orderkey, count(*) AS n, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CAST(g.n AS INT) AS n, round(t.t, 4)::DOUBLE AS t, round(coalesce(t.t * sd / sqrt(g.n), 0), 2)::DOUBLE AS margin FROM g LEFT JOIN t ON t.n = g.n WHERE g.n < 9""")
 def critical_values(spark, d):
-    rows = spark.createDataFrame([(n,) for n in (2, 3, 31, 201, 100_001)], "n int")
-    return rounded(rows.select("n", stats.t_critical(c("n")).alias("t")), "t", places=4)
+    """Critical values and margins for the mean quantity of each order's lines, beside published quantiles."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), F.stddev_samp("l_quantity").alias("sd")).where("n < 9")
+    return rounded(rounded(rows.select("l_orderkey", "n", stats.t_critical(c("n")).alias("t"), stats.margin(c("n"), F.coalesce("sd", F.lit(0.0))).alias("margin")), "t", places=4), "margin", places=2)

@@ -28,6 +28,15 @@ EXPLANATION = ["let me explain", "here's how", "the way to", "step by step", "fi
 PRACTICE = ["try this", "practice problem", "work through", "solve this"]
 WRAP_UP = ["to summarize", "in summary", "we've covered", "that's all", "great work today"]
 
+# Patterns of the replies.
+VERDICT, REASON = "JUDGMENT:", "EXPLANATION:"
+SELECTED = r"(?i)SELECTED:.*?(\d+)"
+THOUGHT, ACTION, UTTERANCE = r"(?is)Thought:\s*(.+?)(?=\n\s*Action:|$)", r"(?i)Action:\s*(\w+)", r"(?is)Utterance:\s*(.+?)(?:```|$)"
+LEGACY_NAME, LEGACY_ARGUMENT = r"(?i)Action:\s*(\w+)\s*\(", r"(?is)Action:\s*\w+\s*\((.*)\)"
+LAST_FINAL, FIRST_FINAL = r"(?is).*FINAL:\s*([^\n]*)", r"(?i)FINAL:\s*(.+?)(?:\n|$)"
+OF_PI, POWER = r"^(-?\d*\.?\d*)\s*[*×]?\s*(π|pi)$", r"^(-?\d*\.?\d+)\s*[×*]\s*10\^?\s*(-?\d+)$"
+FENCED = r"(?s)```(?:json)?\s*(.*?)```"
+
 
 def holds_any(text: Column, needles: list[str]) -> Column:
     out = F.lit(False)
@@ -83,8 +92,8 @@ def use_case(batch: Column) -> Column:
 def judgement(text: Column) -> Column:
     """struct(passed, explanation): the last JUDGMENT line decides; without one, failed and the first 200 characters."""
     lines = F.transform(F.split(text, "\n"), strip)
-    verdicts = F.filter(lines, lambda x: F.startswith(F.upper(x), F.lit("JUDGMENT:")))
-    reasons = F.filter(lines, lambda x: F.startswith(F.upper(x), F.lit("EXPLANATION:")))
+    verdicts = F.filter(lines, lambda x: F.startswith(F.upper(x), F.lit(VERDICT)))
+    reasons = F.filter(lines, lambda x: F.startswith(F.upper(x), F.lit(REASON)))
     passed = F.coalesce(F.contains(F.upper(F.try_element_at(verdicts, F.lit(-1))), F.lit("PASS")), F.lit(False))
     reason = F.coalesce(strip(F.substring(F.try_element_at(reasons, F.lit(-1)), 13, 1_000_000)), F.substring(text, 1, 200))
     return F.struct(passed.alias("passed"), reason.alias("explanation"))
@@ -92,7 +101,7 @@ def judgement(text: Column) -> Column:
 
 def selection(text: Column, n: int) -> Column:
     """Zero-based choice among n from a line "SELECTED: k", held to the range; 0 without one."""
-    k = F.regexp_extract(text, r"(?i)SELECTED:.*?(\d+)", 1).try_cast("int")
+    k = F.regexp_extract(text, SELECTED, 1).try_cast("int")
     return F.least(F.greatest(F.coalesce(k - 1, F.lit(0)), F.lit(0)), F.lit(n - 1))
 
 
@@ -133,10 +142,10 @@ def action(name: Column) -> Column:
 def teacher_turn(raw: Column) -> Column:
     """struct(thought, action, utterance, is_valid, is_terminal) of a Thought / Action / Utterance triple."""
     t = strip(raw)
-    thought = F.regexp_replace(strip(F.regexp_extract(t, r"(?is)Thought:\s*(.+?)(?=\n\s*Action:|$)", 1)), "`+$", "")
-    named = F.upper(F.regexp_extract(t, r"(?i)Action:\s*(\w+)", 1))
+    thought = F.regexp_replace(strip(F.regexp_extract(t, THOUGHT, 1)), "`+$", "")
+    named = F.upper(F.regexp_extract(t, ACTION, 1))
     chosen = F.when(named == "", "").otherwise(F.coalesce(action(named), named))
-    said = strip(F.regexp_replace(strip(F.regexp_extract(t, r"(?is)Utterance:\s*(.+?)(?:```|$)", 1)), r"""^["']|["']$""", ""))
+    said = strip(F.regexp_replace(strip(F.regexp_extract(t, UTTERANCE, 1)), r"""^["']|["']$""", ""))
     return F.struct(thought.alias("thought"), chosen.alias("action"), said.alias("utterance"), (chosen.isin(ACTIONS) & (said != "")).alias("is_valid"), chosen.isin(TERMINAL).alias("is_terminal"))
 
 
@@ -154,8 +163,8 @@ def repaired_turn(raw: Column, turn: Column) -> Column:
 
 def legacy_action(text: Column) -> Column:
     """struct(name, argument) of "Action: Name(argument)"; the argument ends at the last parenthesis, matching quotes removed."""
-    name = F.regexp_extract(text, r"(?i)Action:\s*(\w+)\s*\(", 1)
-    inner = strip(F.regexp_extract(text, r"(?is)Action:\s*\w+\s*\((.*)\)", 1))
+    name = F.regexp_extract(text, LEGACY_NAME, 1)
+    inner = strip(F.regexp_extract(text, LEGACY_ARGUMENT, 1))
     return F.struct(name.alias("name"), F.regexp_replace(inner, r"""(?s)^(["'])(.*)\1$""", "$2").alias("argument"))
 
 
@@ -181,11 +190,11 @@ def inferred_action(text: Column) -> Column:
 
 def last_final(text: Column) -> Column:
     """Answer after the last FINAL:, to the end of its line; null if empty."""
-    return F.nullif(F.regexp_replace(strip(F.regexp_extract(text, r"(?is).*FINAL:\s*([^\n]*)", 1)), "[.,;:]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(strip(F.regexp_extract(text, LAST_FINAL, 1)), "[.,;:]+$", ""), F.lit(""))
 
 
 def first_final(text: Column) -> Column:
-    return F.nullif(F.regexp_replace(strip(F.regexp_extract(text, r"(?i)FINAL:\s*(.+?)(?:\n|$)", 1)), "[.,;:]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(strip(F.regexp_extract(text, FIRST_FINAL, 1)), "[.,;:]+$", ""), F.lit(""))
 
 
 def confidence(text: Column) -> Column:
@@ -198,12 +207,11 @@ def number(text: Column) -> Column:
     for unit in UNITS:
         s = F.regexp_replace(s, rf"\s*{unit}\s*$", "")
     s = strip(F.translate(s, "$, ", ""))
-    coefficient = F.regexp_extract(s, r"^(-?\d*\.?\d*)\s*[*×]?\s*(π|pi)$", 1)
+    coefficient = F.regexp_extract(s, OF_PI, 1)
     pi = F.when(coefficient.isin("", "-"), F.concat(coefficient, F.lit("1"))).otherwise(coefficient).try_cast("double") * math.pi
-    power = r"^(-?\d*\.?\d+)\s*[×*]\s*10\^?\s*(-?\d+)$"
-    scaled = F.regexp_extract(s, power, 1).try_cast("double") * F.pow(F.lit(10.0), F.regexp_extract(s, power, 2).try_cast("double"))
+    scaled = F.regexp_extract(s, POWER, 1).try_cast("double") * F.pow(F.lit(10.0), F.regexp_extract(s, POWER, 2).try_cast("double"))
     plain = F.when(~s.rlike("[df]$"), s.try_cast("double"))
-    return F.when(F.endswith(s, F.lit("%")), F.rtrim(s, F.lit("%")).try_cast("double") / 100).when(s.rlike(r"^(-?\d*\.?\d*)\s*[*×]?\s*(π|pi)$"), pi).when(s.rlike(power), scaled).otherwise(plain)
+    return F.when(F.endswith(s, F.lit("%")), F.rtrim(s, F.lit("%")).try_cast("double") / 100).when(s.rlike(OF_PI), pi).when(s.rlike(POWER), scaled).otherwise(plain)
 
 
 def numbers_agree(truth: Column, answer: Column, tolerance: float = 0.01) -> Column:
@@ -240,7 +248,7 @@ def short_answer_score(truth: Column, answer: Column) -> Column:
 
 def fenced_json(text: Column, schema: str) -> Column:
     """A JSON object in a fenced block, or the whole text; a struct of nulls if it is not JSON."""
-    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(text, FENCED, 1)
     return F.from_json(F.when(inner != "", inner).otherwise(text), schema)
 
 

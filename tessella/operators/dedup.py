@@ -38,13 +38,13 @@ def width(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def terms(text: str | None) -> list[str]:
+def terms(text: str | None, stop: frozenset[str] = STOP) -> list[str]:
     """Words of two letters or more but for stop words, and pairs of those that follow each other."""
-    words = [w for w in WORD.findall((text or "").lower()) if w not in STOP]
+    words = [w for w in WORD.findall((text or "").lower()) if w not in stop]
     return words + [f"{a} {b}" for a, b in pairwise(words)]
 
 
-def vocabulary(rows: DataFrame, max_features: int) -> list[tuple[str, int]]:
+def vocabulary(rows: DataFrame, max_features: int, stop: frozenset[str] = STOP) -> list[tuple[str, int]]:
     """(term, df) of the max_features terms with most occurrences, ties by term, the rarest first. Tasks add up their own texts' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def vocabulary(rows: DataFrame, max_features: int) -> list[tuple[str, int]]:
 
         for b in batches:
             for text in b.column(1).to_pylist():
-                own = Counter(terms(text))
+                own = Counter(terms(text, stop))
                 total.update(own)
                 inside.update(own.keys())
                 if len(total) >= HELD:
@@ -71,16 +71,16 @@ def vocabulary(rows: DataFrame, max_features: int) -> list[tuple[str, int]]:
     return sorted(((r.term, r.df) for r in best), key=lambda x: (x[1], x[0]))
 
 
-def vectors(docs: DataFrame, max_features: int = 5000, text: str = "text", pos: str = "pos") -> DataFrame:
+def vectors(docs: DataFrame, max_features: int = 5000, text: str = "text", pos: str = "pos", stop: frozenset[str] = STOP) -> DataFrame:
     """(pos, t, w): unit tf-idf vectors over words and word pairs; idf = ln((1 + n) / (1 + df)) + 1. ``t``: numbers of terms, ascending, the rarest term 0.
 
-    The vocabulary is the max_features terms with most occurrences (ties by term); it goes to every task. Texts without a term have no row. Texts are read twice and
+    The vocabulary is the max_features terms with most occurrences (ties by term), without the ``stop`` words; it goes to every task. Texts without a term have no row. Texts are read twice and
     nothing of them is shuffled.
     """
     rows = docs.select(F.col(pos).cast("long").alias("pos"), F.col(text))
     if rows.rdd.getNumPartitions() < width(rows):
         rows = rows.repartition(width(rows))
-    known, n = vocabulary(rows, max_features), docs.count()
+    known, n = vocabulary(rows, max_features, stop), docs.count()
     number = {t: i for i, (t, _) in enumerate(known)}
     idf = np.log((n + 1.0) / (np.array([df for _, df in known], float) + 1.0)) + 1.0
 
@@ -88,7 +88,7 @@ def vectors(docs: DataFrame, max_features: int = 5000, text: str = "text", pos:
         for b in batches:
             at, t, w = [], [], []
             for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = Counter(number[x] for x in terms(text) if x in number)
+                own = Counter(number[x] for x in terms(text, stop) if x in number)
                 if own:
                     ids = np.array(sorted(own), np.int32)
                     x = np.array([own[i] for i in ids.tolist()], float) * idf[ids]
@@ -235,11 +235,11 @@ def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             return nodes.join(state, "pos", "left").select("pos", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, threshold: float = 0.90, text: str = "text", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+def deduplicated(docs: DataFrame, threshold: float = 0.90, text: str = "text", pos: str = "pos", stop: frozenset[str] = STOP) -> tuple[DataFrame, DataFrame]:
     """Kept rows, and (removed, kept, similarity) with the most similar kept row (ties to the first) for each removed one."""
     rows = docs.select(F.col(pos).alias("pos"), F.coalesce(text, F.lit("")).alias("text"))
     first = staged(rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("pos").alias("pos"), F.count("*").alias("copies")), "dedup-first")
-    weights = staged(vectors(rows, text="text"), "dedup-vectors")  # statistics count every copy
+    weights = staged(vectors(rows, text="text", stop=stop), "dedup-vectors")  # statistics count every copy
     own = weights.join(first.select("pos"), "pos", "left_semi")
     pairs = staged(similar_pairs(own, threshold), "dedup-pairs")
     state = staged(greedy(first.select("pos"), pairs), "dedup-greedy")

@@ -45,11 +45,12 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return filled.withColumn("rubrics", F.when(good, F.col("rubrics")).otherwise(F.raise_error(F.lit("rubric without criterion, allowed weight or known dimension"))))
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with quoted, multi-line cells; columns by name, in any order; missing ones null, others left out."""
+def csv(spark: SparkSession, path: str, schema: str, defaults: dict[str, str] | None = None) -> DataFrame:
+    """CSV with quoted, multi-line cells; columns by name, in any order; others are left out. Missing columns and empty cells are null, or what ``defaults`` has."""
     raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     wanted = T.StructType.fromDDL(schema)
-    return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+    own = lambda f: (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType)
+    return raw.select(*[(F.coalesce(own(f), F.lit(defaults[f.name])) if f.name in (defaults or {}) else own(f)).alias(f.name) for f in wanted])
 
 
 RAW_CSV = "SUBJECT string, PROMPT string, UC1_INITIAL_EXPLANATION string, FOLLOW_UP_PROMPT string, RUBRICS string, bloom_taxonomy string"
