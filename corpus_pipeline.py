@@ -40,7 +40,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 4096 tokens; null and empty texts are their end token, each row is packed on its own."""
+    """Pieces of the documents in windows of 4096 tokens.
+
+    Null and empty texts are their end token; each row is packed on its own, repeated rows and ids too. Very long texts are encoded whole and cut into as many pieces as
+    they need; an empty table gives no pieces.
+    """
     return packing.packed(docs, packing.vocabulary())
 
 
