@@ -102,7 +102,11 @@ def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def quality_rule_ablations(spark, sf_dir: str) -> DataFrame:
-    """For each policy version and rule of it: documents rejected at all, failing the rule, and kept if the rule were dropped."""
+    """For each policy version and rule of it: documents rejected at all, failing the rule, and kept if the rule were dropped.
+
+    Every row counts, whatever its id and however often it is there; null and empty texts fail as texts of no words do. An empty table gives the rows of all rules,
+    with zeros.
+    """
     rows = ledger(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))).select("failures")
     return ablations(rows, "base").unionByName(ablations(rows, "v1"))
 

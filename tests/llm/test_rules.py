@@ -49,3 +49,14 @@ def test_ablations(spark):
     rows = spark.createDataFrame([(0,), (1,), (1,), (3,), (4,), (6,)], "failures int")
     got = {r.rule: (r.rejected, r.failed, r.alone) for r in rules.ablations(rows, "base").collect()}
     assert got == {"few_words": (4, 3, 2), "repeated_windows": (4, 2, 1)}
+
+
+def test_ablations_of_odd_tables(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, and no rows at all."""
+    rows = [(None, None), (1, ""), (1, ""), (2, "good words " * 60), (3, " ".join(f"w{i}" for i in range(80)))]
+    for name, some in (("full", rows), ("none", [])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame([(*r, 1) for r in some], "doc_id long, text string, failures int").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = {(r.policy, r.rule): (r.rejected, r.failed, r.alone) for r in rules.quality_rule_ablations(spark, f"{tmp_path}/full").collect()}
+    assert got["base", "few_words"] == (4, 3, 3) and got["base", "repeated_windows"] == (4, 1, 1) and len(got) == 8
+    assert {(r.rejected, r.failed, r.alone) for r in rules.quality_rule_ablations(spark, f"{tmp_path}/none").collect()} == {(0, 0, 0)}
