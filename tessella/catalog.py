@@ -180,10 +180,22 @@ def t_test(spark, d):
     return rubrics.t_test(arms, "arm", "value", "a", "b", "dimension").select("dimension", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), "n_a", "n_b", F.round("t", 5).alias("t"))
 
 
-@query()
+# The two-sided p-value of Student's t is a finite sum in the angle atan(|t| / sqrt(df)), of odd or even powers of its cosine.
+SERIES = "list_sum(list_transform(range({last} + 1), lambda k: pow(c2, k) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: {ratio})), 1)))"
+
+
+@query(f"""WITH {R}, {RUNS}, g AS (SELECT dimension, avg(v) FILTER (run_id <= 3) AS ma, avg(v) FILTER (run_id > 3) AS mb, var_samp(v) FILTER (run_id <= 3) AS va, var_samp(v) FILTER (run_id > 3) AS vb,
+  count(*) FILTER (run_id <= 3) AS na, count(*) FILTER (run_id > 3) AS nb FROM w GROUP BY dimension),
+t AS (SELECT *, na + nb - 2 AS df, CASE WHEN na > 1 AND nb > 1 THEN (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) END AS t FROM g),
+c AS (SELECT *, atan(abs(t) / sqrt(df)) AS th, 1 / (1 + t * t / df) AS c2 FROM t),
+p AS (SELECT *, CASE WHEN t IS NULL THEN NULL WHEN df % 2 = 0 THEN 1 - sin(th) * {SERIES.format(last="(df - 2) // 2", ratio="(2.0::DOUBLE * j - 1) / (2 * j)")}
+  ELSE 1 - 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * cos(th) * {SERIES.format(last="(df - 3) // 2", ratio="2.0::DOUBLE * j / (2 * j + 1)")} ELSE 0 END) END AS p FROM c)
+SELECT dimension, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, na AS n_a, nb AS n_b, round(t, 5) AS t, round(p, 7) AS p_value, coalesce(p < 0.05, false) AS significant,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p""")
 def t_test_p_value(spark, d):
     arms = runs(spark, d).withColumn("arm", F.when(F.col("run_id") <= 3, "a").otherwise("b"))
-    return rubrics.t_test(arms, "arm", "value", "a", "b", "dimension").withColumn("stars", text.stars(F.col("p_value")))
+    out = rubrics.t_test(arms, "arm", "value", "a", "b", "dimension").withColumn("stars", text.stars(F.col("p_value")))
+    return rounded(rounded(rounded(out, "mean_a", "mean_b"), "t", places=5), "p_value", places=7)
 
 
 @query(f"""WITH {R}, b AS (SELECT dimension, avg(CAST(passed AS INT)) AS v FROM r WHERE run_id = 1 GROUP BY 1), c AS (SELECT dimension, avg(CAST(passed AS INT)) AS v FROM r WHERE run_id = 2 GROUP BY 1)

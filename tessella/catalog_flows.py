@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import providers
-from .catalog import META, R, RUNS, S, query, ratings, results, rounded, runs, table
+from .catalog import META, PES, PESV, R, RUNS, S, T, judged_parts, query, ratings, results, rounded, runs, table, turns
 from .catalog_domain import asked, stub_judge, talks
-from .operators import curation, rubrics, sampling
+from .operators import curation, dialogue, rubrics, sampling, tuning
 from .plans import episodes, flows
 
 c = F.col
@@ -133,3 +133,42 @@ SCORED = ", ".join(f"CASE WHEN (n + {k}) % 5 = 3 THEN 3 ELSE least(5, greatest(1
 def judged_conversations(spark, d):
     """Ten scores and a summary of each conversation, by eleven replies in five shapes."""
     return episodes.conversation_judged(talks(spark, d).withColumnRenamed("messages", "conversation"), scoring_judge).drop("conversation")
+
+
+# ---- whole rows where other queries count ------------------------------------------------------------------------------
+
+
+@query(f"WITH {PES}, {PESV} SELECT name, pes_score, pes_category FROM c WHERE name % 10 <> 0")
+def valid_evaluation_rows(spark, d):
+    rows = dialogue.pes(judged_parts(spark, d)).withColumn("pes_category", F.when(c("name") % 10 == 0, "Error").otherwise(c("pes_category")))
+    return dialogue.judged_well(rows).select("name", "pes_score", "pes_category")
+
+
+@query(f"""WITH {T} SELECT conv_id, md5(string_agg(turn_index || '|' || speaker || '|' || utterance || '|' || action_type, '|' ORDER BY turn_index)) AS turns_md5, 'agent' || conv_id % 3 AS agent_type,
+  (conv_id * 37 % 101) / 100.0::DOUBLE AS pre_quiz_score, round((conv_id * 53 % 101) / 100.0::DOUBLE - (conv_id * 37 % 101) / 100.0::DOUBLE, 6) AS learning_gain FROM t GROUP BY conv_id""")
+def episode_texts(spark, d):
+    """Episode records with all their turns, scores and kind of agent."""
+    rows, k = turns(spark, d), c("conv_id")
+    pre, post = k * 37 % 101 / 100.0, k * 53 % 101 / 100.0
+    own = rows.select("conv_id").distinct().withColumns({"agent_type": F.concat(F.lit("agent"), (k % 3).cast("string")), "student_persona": F.lit("p"), "task_id": k.cast("string"), "metrics": F.create_map(F.lit("m"), F.lit(1.0)), "pre_quiz_score": pre, "post_quiz_score": post, "learning_gain": post - pre})
+    out = dialogue.episode_record(own, rows, "conv_id")
+    said = F.array_join(F.transform("turns", lambda t: F.concat_ws("|", t["turn_index"].cast("string"), t["speaker"], t["utterance"], t["action_type"])), "|")
+    return rounded(out.select("conv_id", F.md5(said.cast("binary")).alias("turns_md5"), c("agent.type").alias("agent_type"), c("quiz.pre").alias("pre_quiz_score"), c("quiz.learning_gain").alias("learning_gain")), "learning_gain")
+
+
+@query("""SELECT 0 AS part, c_custkey AS id, c_name AS name, NULL::DOUBLE AS price FROM customer UNION ALL SELECT 1, o_orderkey, NULL, round(CAST(o_totalprice AS DOUBLE), 2) FROM orders""")
+def concatenated_rows(spark, d):
+    """Two tables of different columns as one."""
+    out = tuning.concatenated(table(spark, d, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name")), table(spark, d, "orders").select(c("o_orderkey").alias("id"), c("o_totalprice").cast("double").alias("price")))
+    return rounded(out.select("part", "id", "name", "price"), "price", places=2)
+
+
+CHANGE = "printf('%s: %.2f%% -> %.2f%% (%s%.2f%%)', key, 100 * baseline, 100 * variant, CASE WHEN variant > baseline THEN '+' ELSE '' END, 100 * (variant - baseline))"
+
+
+@query(f"WITH {R}, {ARMS}, k AS (SELECT * FROM b WHERE baseline IS NOT NULL AND variant IS NOT NULL) SELECT 'dimension' AS breakdown, string_agg({CHANGE}, chr(10) ORDER BY variant - baseline DESC, key) AS page FROM k")
+def comparison_pages(spark, d):
+    """A comparison as text, the largest gains first."""
+    rows = runs(spark, d).select(F.lit("dimension").alias("breakdown"), c("dimension").alias("key"), "run_id", c("value").alias("overall_score"))
+    out = flows.comparison(rows.where("run_id <= 3").drop("run_id"), rows.where("run_id > 3").drop("run_id"), True)
+    return rubrics.comparison_page(out.drop("significant", "p_value"))

@@ -161,7 +161,7 @@ def judged_well(scored: DataFrame, error: str = "Error") -> DataFrame:
 
 def episode_record(episodes: DataFrame, turns: DataFrame, key: str = "episode_id", pos: str = "turn_index") -> DataFrame:
     """One nested record an episode: agent, task, student, its turns in order, metrics, scores and quiz results."""
-    told = turns.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "speaker", "utterance"))), lambda t: t).alias("turns"))
+    told = turns.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "speaker", "utterance", *[c for c in ("action_type",) if c in turns.columns]))), lambda t: t).alias("turns"))
     agent, student, task = (F.struct(F.col(c).alias(n)).alias(s) for c, n, s in (("agent_type", "type", "agent"), ("student_persona", "persona", "student"), ("task_id", "id", "task")))
     quiz = F.struct(F.col("pre_quiz_score").alias("pre"), F.col("post_quiz_score").alias("post"), "learning_gain").alias("quiz")
     scores = F.struct(*[c for c in ("pedagogy_score", "learning_score", "quality_score", "total_score") if c in episodes.columns]).alias("scores")

@@ -134,6 +134,14 @@ def summary_page(report: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("breakdown", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("page"))
 
 
+def comparison_page(comparison: DataFrame) -> DataFrame:
+    """(breakdown, page): a line for each key of a comparison, the largest gains first; with a p-value, its stars."""
+    line = F.format_string("%s: %s -> %s (%s)", F.col("key"), text.percent(F.col("baseline")), text.percent(F.col("variant")), text.signed_percent(F.col("delta")))
+    line = F.concat(line, F.coalesce(F.concat(F.lit(" "), F.nullif(text.stars(F.col("p_value")), F.lit(""))), F.lit(""))) if "p_value" in comparison.columns else line
+    rows = comparison.groupBy("breakdown").agg(F.array_sort(F.collect_list(F.struct((-F.col("delta")).alias("d"), F.col("key"), line.alias("line")))).alias("l"))  # closed sets of keys
+    return rows.select("breakdown", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("page"))
+
+
 def with_metadata(results: DataFrame, samples: DataFrame, how: str = "left") -> DataFrame:
     """Results with their sample's columns; of repeated sample ids the last row (by ``pos``) counts."""
     last = samples.groupBy("sample_id").agg(F.max_by(F.struct(*[c for c in samples.columns if c != "sample_id"]), "pos").alias("_s")).select("sample_id", "_s.*")
