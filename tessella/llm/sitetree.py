@@ -49,7 +49,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 SAYS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal",
     "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "sidebar", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
-    "pagination", "pager", "footer", "masthead", "toolbar", "copyright", "header",
+    "pagination", "pager", "footer", "masthead", "toolbar", "copyright", "header", "alert", "gdpr", "overlay", "teaser", "teasers", "trending", "recommendations",
 }
 REMARKS = {"comment", "comments", "disqus", "replies", "respond"}
 
@@ -230,9 +230,9 @@ def extracted(page: str, tree: dict[int, tuple[float, float]], roles: bool = Tru
         own = tree.get(n.key, (1.0, 1.0))[0] if n.tag not in ("", "html", "body") else 0.0
         looks[id(n)] = max(own, looks[id(n.parent)] if n.parent is not None else 0.0)
     kept = [r for r in runs if id(r[0]) not in out]
-    if roles:  # a page that says which part is its article is believed, if that is the larger part
+    if roles:  # a page that says which part is its article is believed, unless that is a small one
         within = [r for r in kept if r[0].inside]
-        if 2 * sum(len(r[1]) for r in within) >= sum(len(r[1]) for r in kept):
+        if 10 * sum(len(r[1]) for r in within) >= sum(len(r[1]) for r in kept):
             kept = within
     worth = [1.0 if roles and n.plain or n.key not in tree else (tree[n.key][1] + looks[id(n)]) / 2 for n, _, _ in kept]
     least = min(LEAST, max(worth, default=0.0) - 0.05)  # nothing important: the best there is

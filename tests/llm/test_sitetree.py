@@ -69,6 +69,8 @@ def test_meanings():
      line<!-- hidden --><p>Two <b>bold</b><span class="ad">buy</span> end<ul><li>a<li>b</ul><div class="comments"><p>first!</div></article></main><aside>beside</aside></div>
     <form>Name <input><button>go</button></form><nav>menu</nav><p hidden>h<p style="display: none">n<footer>&copy;</footer>"""
     assert sitetree.extracted(page, {}) == "T & x !\nOne line\nTwo bold end\na\nb"
+    assert sitetree.extracted("<div>a longer line beside it, without a name of its own</div><article><p>short one</p></article>", {}) == "short one"
+    assert sitetree.extracted("<article>x</article><div>the text of this page is here</div>", {}) == "x\nthe text of this page is here"
     assert sitetree.extracted("plain < text<br>on &lt;p&gt;", {}) == "plain < text on <p>"
     assert sitetree.extracted('<div class="sidebar">the only text, and a long one</div><div class="ad">x</div>', {}) == "the only text, and a long one"
     assert sitetree.extracted("<nav>only menu</nav>", {}) == "" == sitetree.extracted("", {})
