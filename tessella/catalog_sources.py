@@ -103,26 +103,26 @@ def line_counts(spark, d):
 @query("""SELECT 'dialogue' || conv_id || '_0' AS dialogue_id, CAST(turn AS INT) AS pos, md5(text) AS system_md5 FROM conversations c WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) % 2 = 0)
   AND turn = (SELECT count(*) FROM conversations e WHERE e.conv_id = c.conv_id AND e.turn < c.turn)""")
 def dialogue_map(spark, d):
-    """One nested map of problems, as a file of one line; only dialogues whose last turn ends them count, here those of an even number of turns."""
+    """Nested maps of problems, fifty conversations a file; only dialogues whose last turn ends them count, here those of an even number of turns."""
     path = scratch(spark, "dialogues")
     last = lambda i: F.when((i == F.size("messages") - 1) & (F.size("messages") % 2 == 0), "yes")
     each = talks(spark, d).withColumn("t", F.transform("messages", lambda m, i: F.struct(m["content"].alias("system"), F.lit("u").alias("user"), last(i).alias("END"))))
     none = F.lit(None).cast("string")
     problem = F.struct(F.concat(F.lit("q"), c("conv_id").cast("string")).alias("question"), none.alias("analysis"), none.alias("answer"), F.create_map(F.lit("0"), c("t")).alias("dialogues"))
-    one = each.select(F.concat(F.lit("dialogue"), c("conv_id").cast("string")).alias("k"), problem.alias("p")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "p")))).alias("value"))
-    one.write.text(path)
+    keyed = each.select(F.concat(F.lit("dialogue"), c("conv_id").cast("string")).alias("k"), problem.alias("p"), F.floor(c("conv_id") / 50).alias("file"))
+    keyed.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "p")))).alias("value")).write.partitionBy("file").text(path)
     return io.dialogues(spark, path).select("dialogue_id", c("pos").cast("int").alias("pos"), F.md5(c("system").cast("binary")).alias("system_md5"))
 
 
 @query("""SELECT c_mktsegment AS category, CAST(c_custkey AS VARCHAR) AS question_id, c_name AS question, CAST(c_custkey % 2 AS INT) AS answer_index FROM customer WHERE c_custkey % 4 <> 3""")
 def stratified_map(spark, d):
-    """A map of categories and questions; the first response counts, questions without one are left out."""
+    """Maps of categories and questions, two hundred a file; the first response counts, questions without one are left out."""
     path = scratch(spark, "strata")
     response = lambda name: F.struct(name.alias("question"), F.array(F.lit("a"), F.lit("b")).alias("options"), (c("c_custkey") % 2).alias("answer_index"))
     both = F.when(c("c_custkey") % 4 == 3, F.array(response(F.lit(""))).cast("array<struct<question:string,options:array<string>,answer_index:bigint>>")).otherwise(F.array(response(c("c_name")), response(F.lit("second"))))
-    rows = table(spark, d, "customer").select("c_mktsegment", c("c_custkey").cast("string").alias("k"), F.struct(both.alias("responses")).alias("r"))
-    maps = rows.groupBy("c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct("k", "r"))).alias("m"))
-    maps.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "m")))).alias("value")).write.text(path)
+    rows = table(spark, d, "customer").select("c_mktsegment", c("c_custkey").cast("string").alias("k"), F.struct(both.alias("responses")).alias("r"), F.floor(c("c_custkey") / 200).alias("file"))
+    maps = rows.groupBy("file", "c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct("k", "r"))).alias("m"))
+    maps.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "m")))).alias("value")).write.partitionBy("file").text(path)
     return io.stratified_questions(spark, path).select("category", "question_id", "question", c("answer_index").cast("int").alias("answer_index"))
 
 
