@@ -13,12 +13,16 @@ CRITICAL, OVERALL, MIN_PASS, UNGRADED = 0.70, 0.70, 0.25, 0.80
 #: Upper edges of the score histogram; a score falls to the first edge that is not below it.
 EDGES = [0.80, 0.85, 0.90, 0.95, 1.00]
 BRANCHING_SUBJECTS = ["Calculus", "Physics"]
+#: Rows of a catalogue that is sent to every task, at most.
+CATALOGUE = 10_000
 LEGACY_KEY = ["sample_id", "persona_name"]
 FULL_KEY = [*LEGACY_KEY, "variation_idx"]
 
 
 def grid(samples: DataFrame, personas: DataFrame, variations: int) -> DataFrame:
-    """Every sample with every persona and variation; personas and variations are catalogues of fixed, small size."""
+    """Every sample with every persona and variation. Personas are a catalogue that goes to every task: one of over CATALOGUE rows is an error."""
+    if personas.limit(CATALOGUE + 1).count() > CATALOGUE:
+        raise ValueError(f"more than {CATALOGUE} personas")
     return samples.crossJoin(F.broadcast(personas)).withColumn("variation_idx", F.explode(F.sequence(F.lit(0), F.lit(variations - 1))))
 
 

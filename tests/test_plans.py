@@ -61,3 +61,13 @@ def test_splits_have_folders(spark, tmp_path, csv):
     io.write_splits(rows, str(tmp_path / "out"), csv)
     read = lambda s: (spark.read.option("header", True).option("escape", '"').schema("id int, t string").csv if csv else spark.read.schema("id int, t string").json)(str(tmp_path / f"out/split={s}")).collect()
     assert [tuple(r) for r in read("train")] == [(1, 'a "b"')] and [tuple(r) for r in read("test")] == [(2, None)]
+
+
+def test_a_grid_sends_a_catalogue_only(spark, monkeypatch):
+    from tessella.operators import curation
+
+    samples, personas = spark.range(3).withColumnRenamed("id", "sample_id"), spark.createDataFrame([("a",), ("b",)], "persona_name string")
+    assert curation.grid(samples, personas, 2).count() == 12
+    monkeypatch.setattr(curation, "CATALOGUE", 1)
+    with pytest.raises(ValueError, match="personas"):
+        curation.grid(samples, personas, 2)
