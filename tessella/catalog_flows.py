@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import providers
-from .catalog import META, PES, PESV, R, RUNS, S, T, judged_parts, query, ratings, results, rounded, runs, table, turns
+from .catalog import META, O, PES, PESV, R, RUNS, S, T, TIERS, judged_parts, query, ratings, responses, results, rounded, runs, table, turns
 from .catalog_domain import asked, stub_judge, talks
 from .operators import curation, dialogue, rubrics, sampling, tuning
 from .plans import episodes, flows
@@ -172,3 +172,36 @@ def comparison_pages(spark, d):
     rows = runs(spark, d).select(F.lit("dimension").alias("breakdown"), c("dimension").alias("key"), "run_id", c("value").alias("overall_score"))
     out = flows.comparison(rows.where("run_id <= 3").drop("run_id"), rows.where("run_id > 3").drop("run_id"), True)
     return rubrics.comparison_page(out.drop("significant", "p_value"))
+
+
+# ---- curation ----------------------------------------------------------------------------------------------------------
+
+
+def with_ratings(spark, d):
+    """Responses with three rubric results each; some have not failed any."""
+    k = c("pos")
+    one = lambda i, ok: F.struct(F.concat(F.lit(f"c{i} "), k.cast("string")).alias("criterion"), F.lit([5, 1, -5][i]).alias("weight"), F.lit("critical").alias("severity"), ok.alias("passed"), F.lit("why").alias("explanation"))
+    return responses(spark, d).withColumn("rubric_results", F.array(one(0, k % 3 != 0), one(1, F.when(k % 5 != 0, k % 2 == 0)), one(2, k % 7 != 0)))
+
+
+FAILED = "list_filter([CASE WHEN pos % 3 = 0 THEN 'c0 ' || pos END, CASE WHEN pos % 5 <> 0 AND pos % 2 <> 0 THEN 'c1 ' || pos END, CASE WHEN pos % 7 = 0 THEN 'c2 ' || pos END], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {O}, x AS (SELECT *, {TIERS} FROM o), n AS (SELECT sample_id, greatest(1, CAST(floor(count(*) * 0.25) AS BIGINT)) - count(*) FILTER (a AND b) AS shortfall FROM x GROUP BY 1),
+r AS (SELECT x.sample_id, pos, row_number() OVER (PARTITION BY x.sample_id ORDER BY weighted_score DESC, critical_pass_rate DESC, pos) AS revision_rank FROM x JOIN n USING (sample_id) WHERE shortfall > 0 AND NOT (a AND b) QUALIFY revision_rank <= shortfall)
+SELECT sample_id, pos, array_to_string({FAILED}, '|') AS failed, len({FAILED}) AS failed_criteria_count FROM r WHERE len({FAILED}) > 0""")
+def revision_tasks(spark, d):
+    """The best failing responses of samples that lack passing ones, with the criteria they failed; those that failed none are left out."""
+    rows = curation.revision_tasks(with_ratings(spark, d))
+    return rows.select("sample_id", "pos", F.array_join(F.transform("failed_criteria", lambda f: f["criterion"]), "|").alias("failed"), c("failed_criteria_count").cast("long").alias("failed_criteria_count"))
+
+
+@query(f"""WITH {O}, x AS (SELECT *, {TIERS} FROM o), n AS (SELECT sample_id, greatest(1, CAST(floor(count(*) * 0.25) AS BIGINT)) - count(*) FILTER (a AND b) AS shortfall FROM x GROUP BY 1),
+r AS (SELECT x.*, row_number() OVER (PARTITION BY x.sample_id ORDER BY weighted_score DESC, critical_pass_rate DESC, pos) AS revision_rank FROM x JOIN n USING (sample_id) WHERE shortfall > 0 AND NOT (a AND b) QUALIFY revision_rank <= shortfall),
+u AS (SELECT pos, 100 + pos % 997 AS n, 'text ' || (100 + pos % 997) AS response FROM x WHERE a AND b UNION ALL SELECT pos + 1099511627776, 100 + pos % 997, '[1] text ' || (100 + pos % 997) FROM r WHERE len({FAILED}) > 0)
+SELECT min(pos) AS pos, arg_min(response, pos) AS response FROM u GROUP BY n""")
+def curated_rows(spark, d):
+    """Passing responses and revisions of failing ones, of texts with one number, which have the same words, the first; other numbers make them unlike each other."""
+    graded = with_ratings(spark, d).withColumn("response", F.concat(F.lit("text "), (c("pos") % 997 + 100).cast("string")))
+    kept, _ = flows.curated(graded, providers.echo)
+    return kept.select("pos", "response")

@@ -147,3 +147,15 @@ def keyed_rubrics(spark, d):
     rows = parts(spark, d, pos="p_partkey", SUBJECT="p_brand", PROMPT="p_name", UC1_INITIAL_EXPLANATION="p_type", FOLLOW_UP_PROMPT="p_type", RUBRICS=f"CASE WHEN p_partkey % 5 = 0 THEN '[]' ELSE {rubric} END")
     first = F.get("rubrics", F.lit(0))
     return io.keyed_rubrics(rows).select("sample_id", first["weight"].alias("weight"), first["evaluation_dimension"].alias("dimension"), first["tutoring_skill"].alias("skill"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS sample_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS system_prompt, p_name AS asked, [5, 1, -5][p_partkey % 3 + 1] AS weight, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 4 = 0 END, true) AS is_objective, p_partkey % 5 = 0 AS is_multimodal FROM part""")
+def array_samples(spark, d):
+    """Samples in files that are one JSON array each, a hundred a file; absent fields get their defaults, rubrics are checked."""
+    path, k = scratch(spark, "arrays"), c("p_partkey")
+    rubric = F.struct(F.lit("c").alias("criterion"), F.element_at(F.lit([5, 1, -5]), (k % 3 + 1).cast("int")).alias("weight"), F.lit("style_tone").alias("evaluation_dimension"), F.when(k % 2 == 0, k % 4 == 0).alias("is_objective"))
+    sample = F.struct(k.cast("string").alias("sample_id"), F.when(k % 3 == 0, c("p_brand")).alias("system_prompt"), F.array(F.struct(F.lit("user").alias("role"), c("p_name").alias("content"))).alias("messages"), F.array(rubric).alias("rubrics"), F.when(k % 5 == 0, True).alias("is_multimodal"))
+    files = table(spark, d, "part").select(F.floor(k / 100).alias("file"), sample.alias("s")).groupBy("file").agg(F.to_json(F.collect_list("s")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    out = io.samples(spark, path)
+    return out.select("sample_id", "system_prompt", c("messages")[0]["content"].alias("asked"), c("rubrics")[0]["weight"].alias("weight"), c("rubrics")[0]["is_objective"].alias("is_objective"), "is_multimodal")
