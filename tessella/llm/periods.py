@@ -164,7 +164,7 @@ def rewritten(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def op13_periods(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", rewritten().alias("text"))
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", rewritten().alias("text"))
     found = collapsed(docs)
     best = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
     listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")

@@ -307,4 +307,4 @@ def main_texts(pages: DataFrame, roles: bool = True) -> DataFrame:
 
 
 def op12_html(spark, sf_dir: str) -> DataFrame:
-    return main_texts(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return main_texts(common.spread(common.table(spark, sf_dir, "pages").select("page_id", "url", "html")))
