@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import providers
-from .catalog import O, PES, PESV, R, S, SUMMARY, T, META, judged_parts, query, quoted, ratings, responses, results, rounded, table, turns
+from .catalog import O, PES, PESV, R, S, SUMMARY, T, META, judged_parts, query, ratings, responses, results, rounded, table, turns
 from .functions import prompts, stats, text
 from .operators import curation, dedup, dialogue, rubrics, sampling, tuning
 from .plans import episodes, flows
