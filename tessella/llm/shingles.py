@@ -345,6 +345,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id and component_id: the smallest doc_id that links reach, null only where no id is reachable.
 
     Null and empty texts have no shingles and are copies of each other; repeated rows stay; other columns are ignored; an empty table gives no rows.
+    Very long texts are compared whole: a text's shingles are an array of one row.
     """
     rows, seen = signed_sets(docs.select(F.col("doc_id").cast("long"), "text"))
     rows, at = common.materialise(rows, "shingle-rows")

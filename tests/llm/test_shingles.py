@@ -91,3 +91,18 @@ def test_rows_that_repeat_an_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (5, b), (6, c), (6, d)]
+
+
+def test_very_long_texts(spark):
+    """120,000 words with few and with many edits, near the similarity itself: of n shingles an edit of one word takes five."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120_000)]
+    n = len(base) - 4
+    most = n // 45  # 5 k shingles differ on either side: (n - 5 k) / (n + 5 k) is 4/5 at k = n / 45
+    texts = [" ".join(base), edited(rng, base, 10), " ".join(base[: -most * 10]), " ".join(base[:60_000])]
+    docs = spark.createDataFrame([(*r, "x") for r in enumerate(texts)], "doc_id long, text string, component_id string")
+    got = {r.doc_id: r.component_id for r in shingles.grouped(docs).collect()}
+    sets = [plain(t) for t in texts]
+    near = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    assert [near(0, 1), near(0, 2), near(0, 3)] == [True, False, False]
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
