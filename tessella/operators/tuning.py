@@ -53,8 +53,10 @@ def training_ids(context: Column, answer: Column, eos: int, pad: int, max_source
     a = F.slice(context, 1, max_source) if cut_context else context
     b = F.concat(F.slice(answer, 1, max_target), F.array(F.lit(eos)))
     fill = _repeated(pad, F.lit(max_source + max_target + 1) - F.size(a) - F.size(b))
-    labels = F.concat(F.transform(a, lambda _: F.lit(pad)), b, fill)
-    return F.concat(a, b, fill), F.transform(labels, lambda x: F.when(x == pad, IGNORED).otherwise(x)) if mask else labels
+    hidden = IGNORED if mask else pad
+    shown = F.transform(b, lambda x: F.when(x == pad, IGNORED).otherwise(x)) if mask else b
+    gap = _repeated(hidden, F.lit(max_source + max_target + 1) - F.size(a) - F.size(b))
+    return F.concat(a, b, fill), F.concat(_repeated(hidden, F.size(a)), shown, gap)
 
 
 def left_padded(ids: Column, length: Column, pad: int, multiple: int = 1) -> Column:
@@ -72,8 +74,9 @@ def left_padded(ids: Column, length: Column, pad: int, multiple: int = 1) -> Col
 def effective_length(ids: Column, pad: int) -> Column:
     """Ids before the first padding behind the first largest id (so that padding on the left is passed over)."""
     peak = F.array_position(ids, F.array_max(ids)).cast("int")
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), lambda i: (i >= peak) & F.try_element_at(ids, i).isin(pad, IGNORED))
-    return F.coalesce(F.try_element_at(ends, F.lit(1)) - 1, F.size(ids))
+    behind = F.slice(ids, peak, F.size(ids))
+    end = F.least(*[F.nullif(F.array_position(behind, F.lit(x)), F.lit(0)).cast("int") for x in (pad, IGNORED)])  # the first there is
+    return F.coalesce(peak + end - 2, F.size(ids))
 
 
 def collated(rows: DataFrame, batch: str, pad: int, ids: str = "input_ids", labels: str = "labels") -> DataFrame:
