@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import quantiles
+from .staging import dealt, staged
 
 # Thresholds, histogram edges, the score of ungraded revisions, subjects with methods to branch on.
 CRITICAL, OVERALL, MIN_PASS, UNGRADED = 0.70, 0.70, 0.25, 0.80
@@ -75,13 +76,15 @@ def best_of(responses: DataFrame, k: int = 1, key: list[str] = LEGACY_KEY) -> Da
 def shortfall(responses: DataFrame, critical: float = CRITICAL, overall: float = OVERALL, min_pass: float = MIN_PASS) -> DataFrame:
     """The best failing rows of each sample, as many as it lacks of max(1, floor(min_pass * rows)) passing ones.
 
-    Counts come from a partial aggregation, so a large sample is not a task's window.
+    Counts come from a partial aggregation, so a large sample is not a task's window; they also say over how many tasks the failing rows are sorted.
     """
     a, b = passes(critical, overall)
-    counts = responses.groupBy("sample_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(min_pass))).alias("_need"), F.count_if(a & b).alias("_ok"))
+    counts = staged(responses.groupBy("sample_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(min_pass))).alias("_need"), F.count_if(a & b).alias("_ok"), F.count("*").alias("_all")), "counts")
+    failing = counts.agg(F.sum(F.col("_all") - F.col("_ok"))).first()[0] or 0
     lacking = counts.where("_need > _ok").select("sample_id", (F.col("_need") - F.col("_ok")).alias("shortfall"))
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.coalesce("weighted_score", F.lit(0.0))), F.desc(F.coalesce("critical_pass_rate", F.lit(0.0))), "pos")
-    return responses.where(~(a & b)).join(lacking, "sample_id").withColumn("revision_rank", F.row_number().over(order)).where("revision_rank <= shortfall")
+    rows = dealt(responses.where(~(a & b)), failing, "sample_id").join(lacking, "sample_id")
+    return rows.withColumn("revision_rank", F.row_number().over(order)).where("revision_rank <= shortfall")
 
 
 def failed_criteria(results: Column, missing_passes: bool = True) -> Column:

@@ -33,6 +33,12 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = 250_000) -> DataFrame:
+    """``df`` of so many rows, dealt out so that a task has about ``most`` of them (a key's rows stay together), however many there are: what it sorts doesn't grow."""
+    wide = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+    return df.repartition(wide, *keys)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for t in tables:
