@@ -177,13 +177,15 @@ def counted(rows: DataFrame, seen: Broadcast) -> DataFrame:
     return sent.repartition(common.shuffle_width(spark), "h").sortWithinPartitions("h", "sig").mapInArrow(count, "sig long, c long, h long")
 
 
-PREFIX = "h long, _sig long, _n long, place long, _bits binary"
+#: A row of a prefix: the shingle, its set, and the two shingles before it in the prefix (the set's own hash where there is none).
+PREFIX = "h long, _sig long, _n long, place long, _p long, _q long, _bits binary"
 
 
 def prefixes(sets: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows of PREFIX: the shingles of a set's prefix that other sets may hold."""
     spark = sets.sparkSession
-    last = sets.select(F.posexplode("_last").alias("at", "h"), "_sig", "_n", "_few", "_bits").select("h", "_sig", "_n", (F.col("_few") + F.col("at")).alias("place"), "_bits")
+    before = lambda k: F.coalesce(F.when(F.col("at") >= k, F.get("_last", F.col("at") - k)), "_sig")
+    last = sets.select(F.posexplode("_last").alias("at", "h"), "_sig", "_n", "_few", "_last", "_bits").select("h", "_sig", "_n", (F.col("_few") + F.col("at")).alias("place"), before(1).alias("_p"), before(2).alias("_q"), "_bits")
     zero = F.lit(0).cast("long")
     both = sets.select(F.col("_sig").alias("sig"), zero.alias("c"), zero.alias("h"), "_n", "_few", "_bits").unionByName(counts.withColumns({"_n": zero, "_few": zero, "_bits": F.lit(None).cast("binary")}))
     dealt = both.repartition(common.shuffle_width(spark), "sig").sortWithinPartitions("sig", "c", "h")
@@ -200,7 +202,8 @@ def prefixes(sets: DataFrame, counts: DataFrame) -> DataFrame:
             place = alone + np.arange(len(sig)) - head - 1
             take = np.flatnonzero((np.arange(len(sig)) > head) & (place < prefix_size(n[head])))
             bits = t.column("_bits").combine_chunks().take(pa.array(head[take]))
-            return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(sig[take]), pa.array(n[head[take]]), pa.array(place[take]), bits], [c.split()[0] for c in PREFIX.split(", ")])
+            before = [pa.array(np.where(take - k > head[take], h[take - k], sig[take])) for k in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(sig[take]), pa.array(n[head[take]]), pa.array(place[take]), *before, bits], [c.split()[0] for c in PREFIX.split(", ")])
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -216,15 +219,22 @@ def prefixes(sets: DataFrame, counts: DataFrame) -> DataFrame:
     return last.unionByName(dealt.mapInArrow(run, PREFIX))
 
 
-def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bits: np.ndarray, full: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bits: np.ndarray, full: bool, before: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one shingle's sets of different components that their sizes, places and bitmaps allow: all of a few sets; of many, those
-    with one of four centres, or (``full``) all."""
+    with one of four centres, or (``full``) all.
+
+    ``before``: the shingles just before this one in each prefix. Where all pairs are made, a pair that shares one of them is left to it: at the first
+    shingle of such a run of shared ones it is made, by this round if that has many sets, else by the one before, and similar sets pass the other tests at every shingle.
+    """
 
     def allowed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = np.minimum(np.minimum(n[i], n[j]), np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j]))
         keep = 9 * most >= 4 * (n[i] + n[j])
         keep &= root[i] != root[j]
         i, j = i[keep], j[keep]
+        if before is not None and (full or m <= FEW):
+            keep = ~(before[i][:, :, None] == before[j][:, None, :]).any((1, 2))
+            i, j = i[keep], j[keep]
         keep = 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
         return i[keep], j[keep]
 
@@ -242,10 +252,10 @@ def pairs_of(h: int, sig: np.ndarray, n: np.ndarray, place: np.ndarray, root: np
 def candidates(prefix: DataFrame, second: bool) -> DataFrame:
     """(a, b) of sets of different components that meet under a shingle of their prefixes (with ``root``); the first round leaves out
     pairs of crowded shingles."""
-    met = prefix.select("h", "_sig", "_n", "place", "root", "_bits").repartition(common.shuffle_width(prefix.sparkSession), "h").sortWithinPartitions("h", "_sig")
+    met = prefix.select("h", "_sig", "_n", "place", "root", "_p", "_q", "_bits").repartition(common.shuffle_width(prefix.sparkSession), "h").sortWithinPartitions("h", "_sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, rest_bits = np.zeros((0, 5), np.int64), np.zeros((0, BITS // 64), np.uint64)
+        rest, rest_bits = np.zeros((0, 7), np.int64), np.zeros((0, BITS // 64), np.uint64)
 
         def made(rows: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
             at = common.runs(rows[:, 0])
@@ -256,7 +266,7 @@ def candidates(prefix: DataFrame, second: bool) -> DataFrame:
                 if second and m <= FEW or (g[:, 4] == g[0, 4]).all():
                     continue
                 sig = np.ascontiguousarray(g[:, 1])
-                for i, j in pairs_of(int(g[0, 0]), sig, g[:, 2], g[:, 3], g[:, 4], bits[start : start + m], second):
+                for i, j in pairs_of(int(g[0, 0]), sig, g[:, 2], g[:, 3], g[:, 4], bits[start : start + m], second, g[:, 5:]):
                     out.append((sig[i], sig[j]))
                     held += len(i)
                     if held > CUT:
@@ -267,8 +277,8 @@ def candidates(prefix: DataFrame, second: bool) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            new = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(batch), -1)
-            rows, bits = np.vstack([rest, np.column_stack([batch.column(k).to_numpy() for k in range(5)])]), np.vstack([rest_bits, new])
+            new = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(len(batch), -1)
+            rows, bits = np.vstack([rest, np.column_stack([batch.column(k).to_numpy() for k in range(7)])]), np.vstack([rest_bits, new])
             cut = common.runs(rows[:, 0])[-2]
             yield from made(rows[:cut], bits[:cut])
             rest, rest_bits = rows[cut:], bits[cut:]

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 
 from tessella.llm import shingles, simhash
 
@@ -106,3 +107,14 @@ def test_very_long_texts(spark):
     near = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
     assert [near(0, 1), near(0, 2), near(0, 3)] == [True, False, False]
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_a_pair_is_made_once_for_a_run_of_shared_shingles():
+    """Of sets that share all of their prefixes only the first shingle makes their pairs; one that follows other shingles makes them again."""
+    sig, n, place, root = np.arange(4), np.full(4, 50), np.full(4, 3), np.arange(4)
+    bits = np.zeros((4, 8), np.uint64)
+    made = lambda before, full: sum(len(i) for i, _ in shingles.pairs_of(1, sig, n, place, root, bits, full, np.array(before)))
+    for full in (False, True):
+        assert made([[100 + k, 200 + k] for k in range(4)], full) == 6
+        assert made([[7, 8]] * 4, full) == 0
+        assert made([[7, 100], [101, 7], [102, 103], [104, 105]], full) == 5
