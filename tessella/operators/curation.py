@@ -83,8 +83,9 @@ def shortfall(responses: DataFrame, critical: float = CRITICAL, overall: float =
     failing = counts.agg(F.sum(F.col("_all") - F.col("_ok"))).first()[0] or 0
     lacking = counts.where("_need > _ok").select("sample_id", (F.col("_need") - F.col("_ok")).alias("shortfall"))
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.coalesce("weighted_score", F.lit(0.0))), F.desc(F.coalesce("critical_pass_rate", F.lit(0.0))), "pos")
-    rows = dealt(responses.where(~(a & b)), failing, "sample_id").join(lacking, "sample_id")
-    return rows.withColumn("revision_rank", F.row_number().over(order)).where("revision_rank <= shortfall")
+    # Ranked before they are joined, so that a task sorts its rows once: the join takes them in the ranks' order.
+    ranked = dealt(responses.where(~(a & b)), failing, "sample_id").withColumn("revision_rank", F.row_number().over(order))
+    return ranked.join(lacking, "sample_id").where("revision_rank <= shortfall").select(*responses.columns, "shortfall", "revision_rank")
 
 
 def failed_criteria(results: Column, missing_passes: bool = True) -> Column:

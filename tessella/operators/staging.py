@@ -34,9 +34,21 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, rows: int, *keys: str, most: int = 250_000) -> DataFrame:
-    """``df`` of so many rows, dealt out so that a task has about ``most`` of them (a key's rows stay together), however many there are: what it sorts doesn't grow."""
-    wide = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
-    return df.repartition(wide, *keys)
+    """``df`` of so many rows, dealt out so that a task has about ``most`` of them (a key's rows stay together), however many there are: what it sorts doesn't grow.
+
+    A shuffle by keys to few tasks (Spark's bypassMergeThreshold) is written as the rows come; one to more holds a split's rows and sorts them. So a task gets up to four times ``most`` before there are more tasks than that.
+    """
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    streamed = int(df.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    wide = -(-rows // most)
+    if keys and wide > streamed:
+        wide = max(streamed, -(-rows // (4 * most)))
+    return df.repartition(max(own, wide), *keys)
+
+
+def dealt_if_many(df: DataFrame, rows: int, *keys: str, most: int = 250_000) -> DataFrame:
+    """A side of a join whose larger side has so many rows: as it is where Spark's own number of tasks gives each at most ``most`` of them, else dealt out for them."""
+    return df if rows <= most * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else dealt(df, rows, *keys, most=most)
 
 
 def discarded(*tables: DataFrame) -> None:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import curation, staging, tuning
+from tessella.operators import curation, dedup, staging, tuning
 from tessella.plans import episodes
 
 
@@ -29,6 +29,43 @@ def test_failing_rows_are_sorted_over_as_many_tasks_as_they_need(spark, monkeypa
     assert curation.shortfall(rows.limit(0)).count() == 0
 
 
+def test_failing_rows_are_sorted_once(spark):
+    """Also where the counts are too many to be sent to every task; the other sort is theirs."""
+    rows = spark.range(300).select((F.col("id") % 60).alias("sample_id"), F.col("id").alias("pos"), F.lit(0.1).alias("weighted_score"), F.lit(0.1).alias("critical_pass_rate"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = curation.shortfall(rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [") == 2
+        assert sorted((r.sample_id, r.pos, r.shortfall, r.revision_rank) for r in out.collect()) == [(i, i, 1, 1) for i in range(60)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_shuffle_by_keys_is_streamed_until_tasks_would_be_four_times_as_large(spark):
+    width = lambda rows, *keys: staging.dealt(spark.range(1), rows, *keys, most=10).rdd.getNumPartitions()
+    assert [width(n, "id") for n in (0, 79, 300, 2000, 2020, 8000, 8001, 20000)] == [8, 8, 30, 200, 200, 200, 201, 500]
+    assert width(2020) == 202
+
+
+def test_copies_leave_over_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Kept rows and the log stay the same whether joins are dealt out or not: copies of kept and of removed texts, and of texts without words."""
+    rows = spark.range(600).select(F.col("id").alias("pos"), F.concat(F.element_at(F.array(*map(F.lit, ["alpha beta", "Alpha, beta", "gamma delta", "a", "", "only words here"])), (F.col("id") % 6 + 1).cast("int"))).alias("text"))
+    seen = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (250_000, 10):
+            monkeypatch.setattr(dedup, "dealt_if_many", lambda df, n, *keys, most=most: staging.dealt_if_many(df, n, *keys, most=most))
+            kept, log = dedup.deduplicated(rows)
+            seen.append((kept.rdd.getNumPartitions(), sorted(r.pos for r in kept.collect()), sorted((r.removed, r.kept, round(r.similarity, 9)) for r in log.collect())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stay = sorted([0, 2, 5, *range(3, 600, 6), *range(4, 600, 6)])
+    gone = sorted([(i, i % 6 if i % 6 != 1 else 0, 1.0) for i in range(600) if i not in set(stay)])
+    assert [s[1:] for s in seen] == [(stay, gone)] * 2
+    assert seen[0][0] <= 8 and seen[1][0] == 60
+
+
 def test_sessions_are_played_and_replayed_over_as_many_tasks_as_they_need(spark, monkeypatch):
     """Also those of a table of one split."""
     monkeypatch.setattr(episodes, "SESSIONS", 5)
